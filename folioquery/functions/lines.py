@@ -20,7 +20,7 @@ MANUAL_NOISE = (rules.STYLESHEET_LINE, rules.XML_NAME_LINE)
 
 def page_lines(text: Column) -> Column:
     """Trimmed lines of a page."""
-    return F.transform(F.split(text, "\n"), F.trim)
+    return F.transform(F.split(text, "\n"), lambda l: F.trim(l))
 
 
 def any_match(line: Column, patterns: Iterable[str]) -> Column:

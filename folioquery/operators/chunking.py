@@ -43,7 +43,8 @@ def _word_atoms(sentence: Column, target: int) -> Column:
 def _sentence_atoms(paragraph: Column, target: int) -> Column:
     sentences = F.filter(
         F.transform(
-            F.regexp_extract_all(paragraph, F.lit(rules.SENTENCE), F.lit(0)), F.trim
+            F.regexp_extract_all(paragraph, F.lit(rules.SENTENCE), F.lit(0)),
+            lambda s: F.trim(s),
         ),
         lambda s: F.length(s) > 0,
     )
@@ -57,7 +58,7 @@ def _sentence_atoms(paragraph: Column, target: int) -> Column:
 
 def _atoms(text: Column, target: int) -> Column:
     paragraphs = F.filter(
-        F.transform(F.split(text, "\n"), F.trim), lambda p: F.length(p) > 0
+        F.transform(F.split(text, "\n"), lambda l: F.trim(l)), lambda p: F.length(p) > 0
     )
 
     def pieces(p: Column) -> Column:
