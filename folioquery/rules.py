@@ -29,15 +29,16 @@ ALARM_WORD = "ВНИМАНИЕ"
 NOT_APPLICABLE_WORD = "неприменим"
 
 # ---------------------------------------------------------------------------
-# Line shapes of the two page layouts. Portable between Java and
-# RE2 syntax (no look-around), so the same text serves the SQL checks.
+# Line shapes of the two page layouts. Repeated groups are
+# possessive (``*+``): Java then loops instead of recursing, so a line or token
+# of any length is safe.
 # ---------------------------------------------------------------------------
 PAGE_LABEL_LINE = r"^\d+\.\d+$"
-HEADING_LINE = r"^\p{Lu}[\p{Lu}\p{N} ,./-]{3,}(?:\([^)]*\) ?)*(?::.*)?$"
+HEADING_LINE = r"^\p{Lu}[\p{Lu}\p{N} ,./-]{3,}(?:\([^)]*\) ?)*+(?::.*)?$"
 PRINTER_COLOUR_LINE = r"^Jaune\b.*\bNoir\b.*$"
 LAYOUT_ID_LINE = r"^[A-Z]{3}_[A-Z]{2}[A-Za-z0-9_-]*\d[A-Za-z0-9_-]*$"
 FOREIGN_HEADING_LINE = r"\(X\d\d Ph\d - \p{L}+\)$"
-CALLOUT_LINE = r"^\d{1,2}(?: +\d{1,2})+$|^\d$"
+CALLOUT_LINE = r"^\d{1,2}(?: +\d{1,2})++$|^\d$"
 CONTINUATION_COUNTER = r" *\(\d+/\d+\) *$"
 STEP_LINE = r"^- (\d+) -$"
 STYLESHEET_LINE = r"^XSL version\b.*$"
@@ -48,7 +49,7 @@ TORQUE_VALUE = r"\d+(?:[.,]\d+)? *N\.? ?m\b"
 # ---------------------------------------------------------------------------
 # Tokens: decimals, then words with inner hyphens.
 # ---------------------------------------------------------------------------
-TOKEN = r"\p{N}+(?:\.\p{N}+)+|[\p{L}\p{N}]+(?:-[\p{L}\p{N}]+)*"
+TOKEN = r"\p{N}+(?:\.\p{N}+)++|[\p{L}\p{N}]+(?:-[\p{L}\p{N}]+)*+"
 SENTENCE = r"[^.!?]*[.!?]+|[^.!?]+$"
 
 # ---------------------------------------------------------------------------

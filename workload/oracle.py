@@ -5,7 +5,12 @@ from __future__ import annotations
 from folioquery import rules
 from folioquery.functions import russian as R
 
-TOKEN = rules.TOKEN
+def plain(pattern: str) -> str:
+    """The pattern without possessive marks, which RE2 neither has nor needs."""
+    return pattern.replace("*+", "*").replace("++", "+")
+
+
+TOKEN = plain(rules.TOKEN)
 STOPS = ", ".join(f"'{w}'" for w in rules.STOP_WORDS)
 
 
@@ -209,11 +214,11 @@ IS_FOOTER = (
     f"(regexp_matches(line, '{rules.STYLESHEET_LINE}') OR regexp_matches(line, '{rules.XML_NAME_LINE}'))"
 )
 IS_LABEL = f"regexp_matches(line, '{rules.PAGE_LABEL_LINE}')"
-IS_CALLOUT = f"regexp_matches(line, '{rules.CALLOUT_LINE}')"
+IS_CALLOUT = f"regexp_matches(line, '{plain(rules.CALLOUT_LINE)}')"
 
 
 def is_heading(line: str = "line") -> str:
-    return f"regexp_matches({line}, '{rules.HEADING_LINE}')"
+    return f"regexp_matches({line}, '{plain(rules.HEADING_LINE)}')"
 
 
 DEHYPHEN = r"regexp_replace({t}, '(\p{{L}}) ?-\n(\p{{Ll}})', '\1\2', 'g')"
