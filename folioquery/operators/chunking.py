@@ -152,7 +152,8 @@ def units_to_chunks(units: DataFrame, target: int = rules.CHUNK_TARGET) -> DataF
     parts = (
         units.select(*kept, "unit_id", block, chunk_unit(F.col("text"), target).alias("_parts"))
         .withColumn("unit_parts", F.size("_parts"))
-        .select(*kept, "unit_id", "block", "unit_parts", F.posexplode("_parts").alias("part", "text"))
+        .select(*kept, "unit_id", "block", "unit_parts", F.posexplode_outer("_parts").alias("part", "text"))
+        .filter(F.col("text").isNotNull())
     )
     if "block" in units.columns:
         whole = Window.partitionBy("doc", "unit_id")

@@ -10,10 +10,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.lets import let
+from ..functions.lets import explode_once, let
 from ..functions.text import (
     is_compound,
     stem,
@@ -23,7 +23,7 @@ from ..functions.text import (
     without_stop_words,
 )
 from ..rules import SearchParams
-from ..session import small_or_none
+from ..session import lookup, small_or_none
 from .index import CorpusIndex, term_bucket
 
 KEY_GLUE = "\u0001"
@@ -40,7 +40,8 @@ def query_words(queries: DataFrame, params: SearchParams) -> DataFrame:
         is_compound(F.col("surface")), F.split("surface", "-")
     ).otherwise(F.array())
     return (
-        queries.select("query_id", F.posexplode(kept).alias("pos", "surface"))
+        queries.select("query_id", F.posexplode_outer(kept).alias("pos", "surface"))
+        .filter(F.col("surface").isNotNull())
         .withColumn("_stems", stems(F.concat(F.array("surface"), pieces)))
         .select(
             "query_id", "pos", "surface", F.get("_stems", F.lit(0)).alias("stem"),
@@ -100,52 +101,77 @@ def prepare_dictionary(
     return Dictionary(groups, groups.agg(F.max("key_len")).first()[0])
 
 
-def known_words(words: DataFrame, index: CorpusIndex, dict_: Dictionary | None) -> DataFrame:
+def known_words(
+    words: DataFrame, index: CorpusIndex, dict_: Dictionary | None, params: SearchParams
+) -> DataFrame:
     """Stems of query words found in the index or in the dictionary's key phrases."""
     wanted = words.select(F.col("stem").alias("term")).distinct().withColumn(
         "bucket", term_bucket(F.col("term"), index.buckets)
     )
-    known = index.terms.join(wanted, ["bucket", "term"]).select("term")
+    known = lookup(index.terms, wanted, ["bucket", "term"], params.broadcast_rows).select("term")
     if dict_ is not None:
         in_keys = dict_.groups.select(F.explode(F.split("key", KEY_GLUE)).alias("term"))
         known = known.unionByName(in_keys)
     return known.distinct()
 
 
-def nearest_surfaces(unknown: DataFrame, index: CorpusIndex, threshold: float) -> DataFrame:
+def nearest_surfaces(unknown: DataFrame, index: CorpusIndex, params: SearchParams) -> DataFrame:
     """Best index word for each unknown word by trigram Jaccard.
 
-    ``unknown(surface)``, distinct, gives ``(surface, correction, shared, united)``. Words
-    meet on trigrams. Only index words whose trigram count can reach the
-    threshold at all are compared, which loses no candidate.
+    ``unknown(surface)``, distinct, gives ``(surface, correction, shared, united)``.
+    A word of ``n`` trigrams must share at least ``ceil(threshold * n)`` of them
+    with its correction, so one of its ``n - ceil(threshold * n) + 1`` rarest is
+    among the shared: candidates meet on those only, and the commonest trigrams,
+    which half the vocabulary has, are never joined. Size and overlap bounds drop
+    pairs that cannot reach the threshold; the rest is compared in full. No
+    candidate at or above the threshold is lost.
     """
-    asked = (
-        unknown.select("surface")
-        .withColumn("_grams", trigrams(F.col("surface")))
-        .select("surface", F.size("_grams").alias("_asked"), F.explode("_grams").alias("gram"))
-        .withColumn("bucket", term_bucket(F.col("gram"), index.buckets))
-    )
-    candidates = index.grams.withColumnRenamed("surface", "correction").join(
-        asked, ["bucket", "gram"]
-    )
+    threshold = params.fuzzy_threshold
     slack = threshold - 1e-9
-    possible = (F.col("n_grams") >= F.col("_asked") * slack) & (
+    asked = explode_once(
+        unknown.withColumn("_grams", trigrams(F.col("surface"))),
+        F.col("_grams"), "gram", "surface", F.size("_grams").alias("_asked"),
+    ).withColumn("bucket", term_bucket(F.col("gram"), index.buckets))
+    # Trigrams the index lacks count as the rarest of all: they use up probes.
+    rarest = Window.partitionBy("surface").orderBy("_n", "gram")
+    present = F.count("*").over(Window.partitionBy("surface"))
+    probes = (
+        lookup(
+            index.gram_counts.withColumnRenamed("n", "_n"), asked, ["bucket", "gram"],
+            params.broadcast_rows,
+        )
+        .withColumn("_order", F.row_number().over(rarest))
+        .withColumn("_probes", present - F.ceil(F.col("_asked") * slack) + 1)
+        .filter(F.col("_order") <= F.col("_probes"))
+        .drop("_n", "_order")
+    )
+    possible_size = (F.col("n_grams") >= F.col("_asked") * slack) & (
         F.col("n_grams") * slack <= F.col("_asked")
     )
-    united = F.col("_asked") + F.col("n_grams") - F.col("shared")
+    # The test on _seen stays inside the expression: as a filter on the group's key
+    # columns alone, the comparison would be pushed below the join.
+    most_shared = F.col("_seen") + F.ceil(F.col("_asked") * slack) - 1
+    least_needed = (F.col("_asked") + F.col("n_grams")) * (slack / (1 + slack))
+    shared = F.when(
+        most_shared >= least_needed,
+        F.size(F.array_intersect(trigrams(F.col("surface")), trigrams(F.col("correction")))),
+    )
     return (
-        candidates.filter(possible)
+        lookup(
+            index.grams.withColumnRenamed("surface", "correction"), probes, ["bucket", "gram"],
+            params.broadcast_rows,
+        )
+        .filter(possible_size)
         .groupBy("surface", "correction", "_asked", "n_grams")
-        .agg(F.count("*").alias("shared"))
-        .withColumn("united", united)
+        .agg(F.count("*").alias("_seen"))
+        .withColumn("shared", shared)
+        .withColumn("united", F.col("_asked") + F.col("n_grams") - F.col("shared"))
         .withColumn("_jaccard", F.round(F.col("shared") / F.col("united"), 6))
         .filter(F.col("_jaccard") >= threshold)
         .groupBy("surface")
         .agg(
             F.min(
-                F.struct(
-                    (-F.col("_jaccard")).alias("j"), "correction", "shared", "united"
-                )
+                F.struct((-F.col("_jaccard")).alias("j"), "correction", "shared", "united")
             ).alias("_best")
         )
         .select("surface", "_best.correction", "_best.shared", "_best.united")
@@ -153,11 +179,11 @@ def nearest_surfaces(unknown: DataFrame, index: CorpusIndex, threshold: float) -
 
 
 def unknown_words(
-    words: DataFrame, index: CorpusIndex, dict_: Dictionary | None
+    words: DataFrame, index: CorpusIndex, dict_: Dictionary | None, params: SearchParams
 ) -> DataFrame:
     """Query words neither the index nor the dictionary has, compounds aside:
     their parts are alternatives already."""
-    known = known_words(words, index, dict_)
+    known = known_words(words, index, dict_, params)
     return (
         words.filter(~is_compound(F.col("surface")))
         .join(known, words["stem"] == known["term"], "left_anti")
@@ -168,13 +194,13 @@ def unknown_words(
 def repair_words(words: DataFrame, index: CorpusIndex, dict_: Dictionary | None,
                  params: SearchParams) -> DataFrame:
     """Replace unknown words by their nearest index word, before synonyms apply."""
-    unknown = unknown_words(words, index, dict_)
+    unknown = unknown_words(words, index, dict_, params)
     small = small_or_none(unknown, params.broadcast_rows)
     if small is not None:
         if not small.rows:
             return words
         unknown = small.df
-    fixes = nearest_surfaces(unknown, index, params.fuzzy_threshold).select(
+    fixes = nearest_surfaces(unknown, index, params).select(
         "surface", stem(F.col("correction")).alias("_fixed")
     )
     return words.join(fixes, "surface", "left").select(
@@ -264,7 +290,7 @@ def concepts(words: DataFrame, dict_: Dictionary | None, params: SearchParams) -
     else:
         matched = (
             flagged.select(
-                "query_id", F.explode(_spans(F.col("_stems"), dict_.longest)).alias("_s")
+                "query_id", F.explode_outer(_spans(F.col("_stems"), dict_.longest)).alias("_s")
             )
             .select("query_id", "_s.start", "_s.len", "_s.key")
             .join(dict_.groups.select("key", "alternatives"), "key")
@@ -317,8 +343,9 @@ def concepts(words: DataFrame, dict_: Dictionary | None, params: SearchParams) -
         with_groups.withColumn("_concepts", listed)
         .select(
             "query_id", F.size("_concepts").alias("n_concepts"), "wants_torque",
-            F.posexplode("_concepts").alias("concept_id", "_c"),
+            F.posexplode_outer("_concepts").alias("concept_id", "_c"),
         )
+        .filter(F.col("concept_id").isNotNull())
         .select("query_id", "n_concepts", "wants_torque", "concept_id",
                 F.col("_c.phrases").alias("phrases"))
     )

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.lets import let
+from ..functions.lets import explode_once, let
 from ..functions.lines import has_torque
 from ..functions.text import stem, surface_tokens, token_forms, tokenize, trigrams
 from .corpus import as_chunks
@@ -48,9 +48,11 @@ def _runs(occurrences: Column) -> Column:
         )
 
         def entry(start: Column, end: Column) -> Column:
+            # Reads single elements: slicing would copy the whole array per term.
             tf = end - start
+            own = F.transform(F.sequence(start, end - 1), lambda i: F.get(places, i))
             return let(
-                F.filter(F.slice(places, start + 1, tf), lambda p: p >= 0),
+                F.filter(own, lambda p: p >= 0),
                 lambda body: F.struct(
                     F.get(terms, start).alias("term"),
                     tf.alias("tf"),
@@ -103,11 +105,22 @@ def chunk_terms(chunks: DataFrame) -> DataFrame:
     )
 
 
+def chunk_lengths(chunks: DataFrame) -> DataFrame:
+    """Tokens per chunk, title included; tokenises only."""
+    def count(text: str) -> Column:
+        return F.size(tokenize(F.coalesce(F.col(text), F.lit(""))))
+
+    return as_chunks(chunks).select(
+        F.col("id").alias("chunk_id"), (count("section") + count("text")).alias("chunk_len")
+    )
+
+
 def build_postings(chunks: DataFrame, buckets: int = TERM_BUCKETS) -> DataFrame:
     """``(term, chunk_id, tf, title_tf, positions, chunk_len, ...)``; map-only."""
     return (
         chunk_terms(chunks)
-        .select("chunk_id", *FILTER_COLUMNS, "has_torque", "chunk_len", F.inline("entries"))
+        .select("chunk_id", *FILTER_COLUMNS, "has_torque", "chunk_len", F.inline_outer("entries"))
+        .filter(F.col("term").isNotNull())
         .withColumn("bucket", term_bucket(F.col("term"), buckets))
     )
 
@@ -128,20 +141,27 @@ def corpus_statistics(lengths: DataFrame) -> DataFrame:
 def surface_forms(chunks: DataFrame) -> DataFrame:
     """Distinct words as written (lower case), for the repair of unknown words."""
     text = F.concat_ws("\n", "section", "text")
-    return as_chunks(chunks).select(
-        F.explode(F.array_distinct(tokenize(text))).alias("surface")
+    return explode_once(
+        as_chunks(chunks), F.array_distinct(tokenize(text)), "surface"
     ).distinct()
 
 
 def trigram_index(surfaces: DataFrame, buckets: int = TERM_BUCKETS) -> DataFrame:
     """``(gram, surface, n_grams)`` for every distinct surface form."""
     return (
-        surfaces.withColumn("_grams", trigrams(F.col("surface")))
-        .select("surface", F.size("_grams").alias("n_grams"), F.explode("_grams").alias("gram"))
+        explode_once(
+            surfaces.withColumn("_grams", trigrams(F.col("surface"))),
+            F.col("_grams"), "gram", "surface", F.size("_grams").alias("n_grams"),
+        )
         .withColumn("bucket", term_bucket(F.col("gram"), buckets))
     )
 
 
+def gram_frequency(grams: DataFrame) -> DataFrame:
+    """Number of surface forms that have each trigram."""
+    return grams.groupBy("bucket", "gram").agg(F.count("*").alias("n"))
+
+
 @dataclass(frozen=True)
 class CorpusIndex:
     """The index tables plus the two corpus totals (one row, read once)."""
@@ -150,6 +170,7 @@ class CorpusIndex:
     postings: DataFrame
     terms: DataFrame
     grams: DataFrame
+    gram_counts: DataFrame
     n_chunks: int
     n_tokens: int
     buckets: int = TERM_BUCKETS
@@ -190,6 +211,9 @@ def write_index(chunks: DataFrame, path: str, buckets: int = TERM_BUCKETS) -> No
     store(
         trigram_index(surface_forms(rows), buckets), "grams", "bucket", "bucket", "gram", "n_grams"
     )
+    store(
+        gram_frequency(spark.read.parquet(f"{path}/grams")), "gram_counts", None, "bucket", "gram"
+    )
     totals = postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n_tokens"))
     (
         spark.read.parquet(f"{path}/chunks").agg(F.count("*").alias("n_chunks"))
@@ -206,6 +230,7 @@ def open_index(spark: SparkSession, path: str) -> CorpusIndex:
         postings=spark.read.parquet(f"{path}/postings"),
         terms=spark.read.parquet(f"{path}/terms"),
         grams=spark.read.parquet(f"{path}/grams"),
+        gram_counts=spark.read.parquet(f"{path}/gram_counts"),
         n_chunks=totals["n_chunks"],
         n_tokens=totals["n_tokens"],
         buckets=totals["buckets"],
@@ -216,12 +241,14 @@ def index_in_memory(chunks: DataFrame) -> CorpusIndex:
     """An index over a small corpus without storing it; tables stay lazy plans."""
     rows = as_chunks(chunks)
     postings = build_postings(rows)
-    totals = corpus_statistics(chunk_terms(rows)).first()
+    grams = trigram_index(surface_forms(rows))
+    totals = corpus_statistics(chunk_lengths(rows)).first()
     return CorpusIndex(
         chunks=rows.withColumn("id_bucket", id_bucket(F.col("id"))),
         postings=postings,
         terms=document_frequency(postings),
-        grams=trigram_index(surface_forms(rows)),
+        grams=grams,
+        gram_counts=gram_frequency(grams),
         n_chunks=totals["n_chunks"],
         n_tokens=totals["n_tokens"],
     )

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lets import let
 from ..rules import SearchParams
+from ..session import lookup
 from .index import CorpusIndex, term_bucket
 
 
@@ -26,11 +27,11 @@ def term_score(index: CorpusIndex, params: SearchParams) -> Column:
     return F.col("idf") * tf * (params.k1 + 1) / (tf + params.k1 * norm)
 
 
-def with_idf(terms: DataFrame, index: CorpusIndex) -> DataFrame:
+def with_idf(terms: DataFrame, index: CorpusIndex, params: SearchParams) -> DataFrame:
     """Query terms with their idf; a term the corpus lacks is left out."""
     keyed = terms.withColumn("bucket", term_bucket(F.col("term"), index.buckets))
     return (
-        index.terms.join(keyed, ["bucket", "term"])
+        lookup(index.terms, keyed, ["bucket", "term"], params.broadcast_rows)
         .withColumn("idf", idf(F.col("df").cast("double"), index.n_chunks))
         .drop("df")
     )

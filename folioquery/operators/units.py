@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import rules
+from ..functions.lets import explode_once
 
 
 def running_total(
@@ -213,7 +214,7 @@ def derive_coverage(chunks: DataFrame, codes: Column) -> DataFrame:
     a document with very many chunks costs one small row per task.
     """
     return (
-        chunks.select("doc", F.explode(codes).alias("engine"))
+        explode_once(chunks, codes, "engine", "doc")
         .groupBy("doc", "engine")
         .agg(F.count("*").alias("mentions"))
     )

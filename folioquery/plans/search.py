@@ -14,7 +14,7 @@ from ..operators.expansion import Dictionary
 from ..operators.filters import engine_condition, where_condition
 from ..operators.index import CorpusIndex, id_bucket
 from ..rules import SearchParams
-from ..session import small_or_none
+from ..session import lookup, small_or_none
 from ..sources.corpus import Vehicle
 
 
@@ -32,7 +32,7 @@ def question_terms(
 ) -> DataFrame:
     """Terms of every phrase of every concept, with idf."""
     return scoring.with_idf(
-        expansion.query_terms(question_concepts(index, queries, synonyms, params)), index
+        expansion.query_terms(question_concepts(index, queries, synonyms, params)), index, params
     )
 
 
@@ -69,12 +69,7 @@ def match_postings(
         postings = postings.drop("positions")
     small = small_or_none(terms, params.broadcast_rows)
     if small is not None:
-        if not small.rows:
-            return postings.filter(F.lit(False)).join(small.df, ["bucket", "term"])
-        wanted = F.col("bucket").isin(small.values("bucket")) & F.col("term").isin(
-            small.values("term")
-        )
-        return postings.filter(wanted).join(small.df, ["bucket", "term"])
+        return lookup(postings, small.df, ["bucket", "term"], params.broadcast_rows)
     salted = terms.withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), F.lit(params.salts - 1)))
     )
@@ -121,16 +116,8 @@ def with_chunks(index: CorpusIndex, hits: DataFrame, params: SearchParams) -> Da
     """Hits with the columns of their chunk; reads only the hits' buckets and ids."""
     keyed = hits.withColumn("id_bucket", id_bucket(F.col("chunk_id"), index.buckets))
     chunks = index.chunks.drop("doc").withColumnRenamed("id", "chunk_id")
-    small = small_or_none(keyed, params.broadcast_rows)
-    if small is not None:
-        keyed = small.df
-        chunks = chunks.filter(
-            F.col("id_bucket").isin(small.values("id_bucket"))
-            & F.col("chunk_id").isin(small.values("chunk_id"))
-            if small.rows else F.lit(False)
-        )
     return (
-        chunks.join(keyed, ["id_bucket", "chunk_id"])
+        lookup(chunks, keyed, ["id_bucket", "chunk_id"], params.broadcast_rows)
         .withColumnRenamed("chunk_id", "id").drop("id_bucket")
     )
 

@@ -58,3 +58,29 @@ def small_or_none(df: DataFrame, max_rows: int) -> Small | None:
         return None
     local = df.sparkSession.createDataFrame(table, df.schema)
     return Small(F.broadcast(local), table.to_pylist())
+
+
+# Up to this many distinct keys are written into the scan filter as literals.
+LITERAL_KEYS = 2000
+
+
+def lookup(table: DataFrame, keys: DataFrame, on: list[str], max_rows: int) -> DataFrame:
+    """Rows of a stored table whose key is asked for, joined with the asking rows.
+
+    ``on`` names the folder column first. If at most ``max_rows`` rows ask, their
+    folders (and their keys, if few) become a scan filter that prunes folders and
+    row groups, and the asking side is broadcast. Otherwise the two sides meet in
+    a shuffle join.
+    """
+    small = small_or_none(keys, max_rows)
+    if small is None:
+        return table.join(keys, on)
+    if not small.rows:
+        wanted = F.lit(False)
+    else:
+        wanted = F.lit(True)
+        for column in on:
+            values = small.values(column)
+            if len(values) <= LITERAL_KEYS:
+                wanted = wanted & F.col(column).isin(values)
+    return table.filter(wanted).join(small.df, on)

@@ -96,7 +96,7 @@ def parts_as_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "documents")).select(
-        "doc_id", "source", F.posexplode(F.split("text", "\n")).alias("line_no", "line")
+        "doc_id", "source", F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line")
     )
 
 

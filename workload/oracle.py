@@ -620,8 +620,8 @@ FROM benchmark b LEFT JOIN hay ON hay.query_id = b.item_id WHERE b.item_id % 4 >
   count(*) FILTER (source IS NULL) AS missing_doc, count(*) FILTER (source IS NULL) AS missing_doc_title,
   count(*) FILTER (lang IS NULL) AS missing_lang, count(*) FILTER (text IS NULL) AS missing_text,
   0::BIGINT AS missing_unit_parts, count(*) FILTER (NOT contains(text, chr(10))) AS missing_section FROM documents""",
-    "document_set_difference": """WITH l AS (SELECT DISTINCT source AS doc FROM documents WHERE lang = 'fr'),
-r AS (SELECT DISTINCT source AS doc FROM documents WHERE lang = 'de' AND doc_id % 7 < 2)
+    "document_set_difference": """WITH l AS (SELECT DISTINCT source AS doc FROM documents WHERE lang = 'fr' AND length(text) > 6000),
+r AS (SELECT DISTINCT source AS doc FROM documents WHERE lang = 'de' AND length(text) > 6000)
 SELECT doc, 'left' AS side FROM l WHERE doc NOT IN (SELECT doc FROM r)
 UNION ALL SELECT doc, 'right' FROM r WHERE doc NOT IN (SELECT doc FROM l)""",
     "title_ratio": f"""WITH {packed('documents', 'doc_id', rules.CHUNK_TARGET)}

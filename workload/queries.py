@@ -11,6 +11,7 @@ from folioquery import rules
 from folioquery.functions import lines as L
 from folioquery.functions import text as T
 from folioquery.functions.citation import chunk_citation, snippet
+from folioquery.functions.lets import explode_once
 from folioquery.functions.russian import stem_russian
 from folioquery.operators import applicability as app
 from folioquery.operators import chunking, expansion, index, quality, scoring, units
@@ -192,7 +193,7 @@ def snippet_window(spark, sf):
 
 
 def _tokens_out(df, tokens):
-    return df.select("doc_id", F.explode(tokens).alias("token")).groupBy("doc_id", "token").agg(
+    return explode_once(df, tokens, "token", "doc_id").groupBy("doc_id", "token").agg(
         F.count("*").alias("n")
     )
 
@@ -217,7 +218,7 @@ def compound_split(spark, sf):
 @query
 def stem_en(spark, sf):
     d = src.spread(A.table(spark, sf, "documents"))
-    words = d.select(F.explode(F.array_distinct(T.tokenize(F.col("text")))).alias("token")).distinct()
+    words = explode_once(d, F.array_distinct(T.tokenize(F.col("text"))), "token").distinct()
     return words.select("token", T.stem(F.col("token")).alias("stem"))
 
 
@@ -231,7 +232,7 @@ def stem_ru(spark, sf):
     d = src.spread(A.table(spark, sf, "documents"))
     cyrillic = F.translate(F.lower("text"), LATIN, CYRILLIC)
     words = F.filter(T.surface_tokens(cyrillic), lambda t: t.rlike("^[а-я]+$"))
-    tokens = d.select(F.explode(F.array_distinct(words)).alias("token")).distinct()
+    tokens = explode_once(d, F.array_distinct(words), "token").distinct()
     return tokens.select("token", stem_russian(F.col("token")).alias("stem"))
 
 
@@ -280,7 +281,7 @@ def parse_manual_page(spark, sf):
 @query
 def line_classify(spark, sf):
     lines = A.page_texts(spark, sf).select(
-        F.explode(L.page_lines(F.col("text"))).alias("line")
+        F.explode_outer(L.page_lines(F.col("text"))).alias("line")
     )
     return lines.groupBy(L.line_class(F.col("line")).alias("line_class")).agg(
         F.count("*").alias("n")
@@ -337,7 +338,8 @@ def chunk_page(spark, sf):
     parts = chunking.chunk_page(
         L.html_title(F.col("html")), L.html_paragraphs(F.col("html")), target=300
     )
-    return p.select("page_id", F.posexplode(parts).alias("part", "text")).select(
+    exploded = p.select("page_id", F.posexplode_outer(parts).alias("part", "text"))
+    return exploded.filter(F.col("text").isNotNull()).select(
         "page_id", F.col("part").cast("bigint").alias("part"), "text"
     )
 
@@ -433,7 +435,7 @@ def df(spark, sf):
 
 @query
 def doc_len(spark, sf):
-    lengths = index.chunk_terms(A.documents_as_chunks(spark, sf))
+    lengths = index.chunk_lengths(A.documents_as_chunks(spark, sf))
     total = index.corpus_statistics(lengths)
     return lengths.select(
         "chunk_id", F.col("chunk_len").cast("bigint").alias("chunk_len"),
@@ -625,7 +627,7 @@ def _misspelt(spark, sf):
     longest = F.max(F.struct(F.length("word"), "word"))["word"]
     return (
         A.table(spark, sf, "benchmark")
-        .select("item_id", F.explode(words).alias("word"))
+        .select("item_id", F.explode_outer(words).alias("word"))
         .groupBy("item_id").agg(longest.alias("word"))
         .select("item_id", F.concat("word", F.right("word", F.lit(1))).alias("surface"))
     )
@@ -636,7 +638,7 @@ def fuzzy_term(spark, sf):
     """Nearest index word of misspelt words, by trigrams."""
     ix = A.corpus_index(spark, sf)
     unknown = _misspelt(spark, sf).select("surface").distinct()
-    return expansion.nearest_surfaces(unknown, ix, 0.3).select(
+    return expansion.nearest_surfaces(unknown, ix, PLAIN).select(
         "surface", "correction", F.col("shared").cast("bigint").alias("shared"),
         F.col("united").cast("bigint").alias("united"),
     )
@@ -770,8 +772,8 @@ def completeness(spark, sf):
 def document_set_difference(spark, sf):
     """Sources on one side only: those with French texts against those with German ones."""
     d = A.documents_as_chunks(spark, sf)
-    fr = d.filter(F.col("lang") == "fr").select("doc")
-    de = d.filter((F.col("lang") == "de") & (F.col("chapter") < 2)).select("doc")
+    fr = d.filter((F.col("lang") == "fr") & (F.length("text") > 6000)).select("doc")
+    de = d.filter((F.col("lang") == "de") & (F.length("text") > 6000)).select("doc")
     return quality.set_difference(fr, de)
 
 
