@@ -47,12 +47,10 @@ def engines_in(text: Column, names: Mapping[str, str]) -> Column:
     canonical = F.create_map(
         *[F.lit(x) for pair in sorted(names.items()) for x in (pair[0].lower(), pair[1])]
     )
-    words = F.regexp_extract_all(
-        F.lower(text),
-        F.lit(rf"(?:^|[^\p{{L}}\p{{N}}])({_alternatives(names)})(?:$|[^\p{{L}}\p{{N}}])"),
-        F.lit(1),
-    )
-    return F.array_distinct(F.transform(words, lambda w: F.element_at(canonical, w)))
+    known = F.array(*[F.lit(name.lower()) for name in sorted(names)])
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    codes = F.filter(words, lambda w: F.array_contains(known, w))
+    return F.array_distinct(F.transform(codes, lambda w: F.element_at(canonical, w)))
 
 
 def engines_in_text(text: str, vehicle: Vehicle | None = None) -> list[str]:
@@ -62,6 +60,15 @@ def engines_in_text(text: str, vehicle: Vehicle | None = None) -> list[str]:
     return list(dict.fromkeys(names[f.upper()] for f in found))
 
 
+def without_codes(query: Column, names: Mapping[str, str]) -> Column:
+    """The question without engine codes, unless it is nothing else.
+
+    A code chooses documents and diagrams; their texts need not repeat it.
+    """
+    rest = F.regexp_replace(query, rf"(?i)\b(?:{_alternatives(names)})\b", " ")
+    return F.when(F.trim(rest) != "", rest).otherwise(query)
+
+
 def asked_drive(query: str) -> str | None:
     """``belt`` or ``chain`` when the query is about that kind of timing drive."""
     text = query.lower()
@@ -81,6 +88,8 @@ def check(query: str, vehicle: Vehicle, profile_engine: str | None = None) -> Ap
     coverage = vehicle.document_engines
     allowed = sorted(d for d, covers in coverage.items() if not covers or engine in covers)
     blocked = sorted(set(coverage) - set(allowed))
+    if not coverage:
+        allowed = None  # no map at all: nothing is known against any document
     warnings = []
     if blocked:
         warnings.append(
@@ -116,6 +125,26 @@ def resolve_engine(named: Column, profile: Column) -> Column:
     return F.coalesce(F.get(named, F.lit(0)), profile)
 
 
+def admitted(engine: Column, vehicle: Vehicle) -> Column:
+    """Documents of the applicability map that may answer for an engine; null when
+    no engine is known, which restricts nothing."""
+    if not vehicle.document_engines:
+        return F.lit(None).cast("array<string>")
+    documents = F.array(
+        *[
+            F.struct(
+                F.lit(doc).alias("doc"),
+                F.array(*[F.lit(e) for e in covers]).cast("array<string>").alias("covers"),
+            )
+            for doc, covers in sorted(vehicle.document_engines.items())
+        ]
+    )
+    fitting = F.filter(
+        documents, lambda d: (F.size(d["covers"]) == 0) | F.array_contains(d["covers"], engine)
+    )
+    return F.when(engine.isNotNull(), fitting["doc"])
+
+
 def document_coverage(documents: DataFrame, coverage: DataFrame) -> DataFrame:
     """``(doc, covers)``: the engines of each document, null when it states none.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -30,3 +30,21 @@ def engine_condition(engine: str | None, tags: str = "engines") -> Column:
     if engine is None:
         return F.lit(True)
     return F.col(tags).isNull() | F.array_contains(tags, engine)
+
+
+# Optional per-query columns of a batch; null means the query sets no such limit.
+LIMITS = ("only_docs", "only_engine", "only_lang", "only_chapter")
+
+
+def limits_condition(present: Iterable[str]) -> Column:
+    """Per-query limits carried by the query side, on rows already joined with it."""
+    tests = {
+        "only_docs": lambda c: F.array_contains(c, F.col("doc")),
+        "only_engine": lambda c: F.col("engines").isNull() | F.array_contains("engines", c),
+        "only_lang": lambda c: F.col("lang") == c,
+        "only_chapter": lambda c: F.col("chapter") == c,
+    }
+    condition = F.lit(True)
+    for name in present:
+        condition = condition & (F.col(name).isNull() | tests[name](F.col(name)))
+    return condition

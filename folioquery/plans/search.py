@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -11,7 +12,7 @@ from ..functions.citation import chunk_citation, snippet
 from ..operators import applicability as app
 from ..operators import expansion, scoring
 from ..operators.expansion import Dictionary
-from ..operators.filters import engine_condition, where_condition
+from ..operators.filters import LIMITS, engine_condition, limits_condition, where_condition
 from ..operators.index import CorpusIndex, id_bucket
 from ..rules import SearchParams
 from ..session import lookup, small_or_none
@@ -62,20 +63,25 @@ def match_postings(
 
     Few terms: their buckets and words become a scan filter (folder and row-group
     pruning) and the query side is broadcast. Many terms: an equi-join salted by
-    chunk, so a frequent term spreads over ``salts`` tasks.
+    chunk, so a frequent term spreads over ``salts`` tasks. ``where`` and
+    ``engine`` hold for all queries and reach the scan; limits of single queries
+    come as columns of ``terms`` and are tested on the joined rows.
     """
     postings = index.postings.filter(where_condition(where) & engine_condition(engine))
     if not params.proximity_bonus:
         postings = postings.drop("positions")
+    limits = [c for c in LIMITS if c in terms.columns]
     small = small_or_none(terms, params.broadcast_rows)
     if small is not None:
-        return lookup(postings, small.df, ["bucket", "term"], params.broadcast_rows)
-    salted = terms.withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.lit(params.salts - 1)))
-    )
-    return postings.withColumn(
-        "_salt", F.pmod(F.hash("chunk_id"), F.lit(params.salts))
-    ).join(salted, ["bucket", "term", "_salt"]).drop("_salt")
+        joined = lookup(postings, small.df, ["bucket", "term"], params.broadcast_rows)
+    else:
+        salted = terms.withColumn(
+            "_salt", F.explode(F.sequence(F.lit(0), F.lit(params.salts - 1)))
+        )
+        joined = postings.withColumn(
+            "_salt", F.pmod(F.hash("chunk_id"), F.lit(params.salts))
+        ).join(salted, ["bucket", "term", "_salt"]).drop("_salt")
+    return joined.filter(limits_condition(limits)).drop(*limits)
 
 
 def score_queries(
@@ -88,9 +94,14 @@ def score_queries(
 ) -> DataFrame:
     """Every matching chunk of every query with its score.
 
-    Corpus statistics stay those of the whole corpus whatever the filters are.
+    ``queries(query_id, query)`` may carry limits of its own per query (see
+    ``LIMITS``). Corpus statistics stay those of the whole corpus whatever the
+    filters are.
     """
     terms = question_terms(index, queries, synonyms, params)
+    limits = [c for c in LIMITS if c in queries.columns]
+    if limits:
+        terms = terms.join(queries.select("query_id", *limits), "query_id")
     matches = match_postings(index, terms, params, where, engine)
     phrases = scoring.phrase_matches(matches, index, params)
     return scoring.chunk_scores(scoring.concept_scores(phrases, params), params)
@@ -112,6 +123,22 @@ def search(
     return scoring.top_hits(scored, top_k, per_doc)
 
 
+def guarded_queries(
+    queries: DataFrame, vehicle: Vehicle, profile_engine: str | None = None
+) -> DataFrame:
+    """Queries with the limits the applicability guard sets, as columns; an engine
+    code becomes such a limit and is no longer searched as a word."""
+    names = app.code_names(vehicle)
+    engine = app.resolve_engine(
+        app.engines_in(F.col("query"), names), F.lit(profile_engine).cast("string")
+    )
+    return (
+        queries.withColumn("only_engine", engine)
+        .withColumn("only_docs", app.admitted(F.col("only_engine"), vehicle))
+        .withColumn("query", app.without_codes(F.col("query"), names))
+    )
+
+
 def with_chunks(index: CorpusIndex, hits: DataFrame, params: SearchParams) -> DataFrame:
     """Hits with the columns of their chunk; reads only the hits' buckets and ids."""
     keyed = hits.withColumn("id_bucket", id_bucket(F.col("chunk_id"), index.buckets))
@@ -127,9 +154,12 @@ def ask(
     request: SearchRequest,
     synonyms: Dictionary | None = None,
     params: SearchParams = SearchParams(),
+    drop_codes: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """One question: hits with chunk columns, ordered by rank."""
     queries = index.spark.createDataFrame([(0, request.query)], "query_id long, query string")
+    if drop_codes:
+        queries = queries.withColumn("query", app.without_codes(F.col("query"), drop_codes))
     hits = search(
         index, queries, synonyms, top_k=request.top_k, per_doc=request.per_doc,
         where=request.where, engine=request.engine, params=params,
@@ -151,7 +181,7 @@ def ask_guarded(
         request.query, request.top_k, app.restrict(request.where, verdict),
         request.per_doc, verdict.engine,
     )
-    return ask(index, guarded, synonyms, params), verdict
+    return ask(index, guarded, synonyms, params, app.code_names(vehicle)), verdict
 
 
 def rendered(hits: DataFrame, terms: list[str]) -> DataFrame:
