@@ -203,7 +203,7 @@ def write_index(chunks: DataFrame, path: str, buckets: int = TERM_BUCKETS) -> No
 
     store(build_postings(rows, buckets), "postings", "bucket", "bucket", "term", "chunk_id")
     postings = spark.read.parquet(f"{path}/postings")
-    store(document_frequency(postings), "terms", None, "bucket", "term")
+    store(document_frequency(postings), "terms", "bucket", "bucket", "term")
     store(
         rows.withColumn("id_bucket", id_bucket(F.col("id"), buckets)),
         "chunks", "id_bucket", "id_bucket", "id",

@@ -33,10 +33,33 @@ def with_idf(terms: DataFrame, index: CorpusIndex, params: SearchParams) -> Data
     return (
         lookup(index.terms, keyed, ["bucket", "term"], params.broadcast_rows)
         .withColumn("idf", idf(F.col("df").cast("double"), index.n_chunks))
-        .drop("df")
     )
 
 
+def leading_concepts(rows: list[dict], max_rows: int) -> list[dict] | None:
+    """Terms of the rarest concept of each query, if those concepts stay rare.
+
+    A chunk that must cover every concept covers the rarest one, and a phrase is
+    found in at most as many chunks as its rarest term. ``None`` if some query has
+    a single concept, or if the bound over all queries exceeds ``max_rows``, or if
+    it would not narrow the postings to a small share.
+    """
+    phrases: dict[tuple, list[dict]] = {}
+    for row in rows:
+        phrases.setdefault((row["query_id"], row["concept_id"], row["phrase_id"]), []).append(row)
+    bound: dict[tuple, int] = {}
+    for (query_id, concept_id, _), terms in phrases.items():
+        key = (query_id, concept_id)
+        bound[key] = bound.get(key, 0) + min(t["df"] for t in terms)
+    lead: dict[int, tuple[int, int]] = {}
+    for (query_id, concept_id), n in bound.items():
+        lead[query_id] = min(lead.get(query_id, (n, concept_id)), (n, concept_id))
+    total = sum(n for n, _ in lead.values())
+    if len(bound) == len(lead) or total > max_rows or total * 10 > sum(r["df"] for r in rows):
+        return None
+    return [r for r in rows if lead[r["query_id"]][1] == r["concept_id"]]
+
+
 def phrase_matches(
     matches: DataFrame, index: CorpusIndex, params: SearchParams
 ) -> DataFrame:

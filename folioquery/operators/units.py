@@ -110,28 +110,27 @@ def interval_join(
     """Points inside half-open intervals ``[start, end)``, null end meaning open.
 
     Both sides meet on ``(group, bucket)`` with buckets of ``width`` points, so
-    the match is an equi-join; an interval is listed once per bucket it covers.
-    An open interval is closed at its group's last point first.
+    the match is an equi-join that also splits a very large group; an interval is
+    listed once per bucket it covers. Open intervals, few per group, are closed
+    at their group's last point first.
     """
-    last = points.groupBy(group).agg(F.max(point).alias("_last"))
-    listed = (
-        intervals.join(last, group)
-        .withColumn("_end", F.coalesce(F.col(end), F.col("_last") + 1))
-        .filter(F.col("_end") > F.col(start))
-        .withColumn(
-            "_bucket",
-            F.explode(
-                F.sequence(
-                    F.floor(F.col(start) / width), F.floor((F.col("_end") - 1) / width)
-                )
-            ),
-        )
+    closed = intervals.filter(F.col(end).isNotNull()).withColumn("_end", F.col(end))
+    open_ = intervals.filter(F.col(end).isNull())
+    last = points.join(open_.select(group).distinct(), group, "left_semi").groupBy(group).agg(
+        (F.max(point) + 1).alias("_end")
+    )
+    bounded = closed.unionByName(open_.join(last, group).select(*closed.columns))
+    listed = bounded.filter(F.col("_end") > F.col(start)).withColumn(
+        "_bucket",
+        F.explode(
+            F.sequence(F.floor(F.col(start) / width), F.floor((F.col("_end") - 1) / width))
+        ),
     )
     placed = points.withColumn("_bucket", F.floor(F.col(point) / width))
     return (
         placed.join(listed, [group, "_bucket"])
         .filter((F.col(point) >= F.col(start)) & (F.col(point) < F.col("_end")))
-        .drop("_bucket", "_end", "_last")
+        .drop("_bucket", "_end")
     )
 
 

@@ -74,6 +74,14 @@ def match_postings(
     small = small_or_none(terms, params.broadcast_rows)
     if small is not None:
         joined = lookup(postings, small.df, ["bucket", "term"], params.broadcast_rows)
+        lead = (
+            scoring.leading_concepts(small.rows, params.broadcast_rows)
+            if params.coverage == "strict" else None
+        )
+        if lead:
+            joined = joined.join(
+                F.broadcast(_candidates(postings, lead)), ["query_id", "chunk_id"], "left_semi"
+            )
     else:
         salted = terms.withColumn(
             "_salt", F.explode(F.sequence(F.lit(0), F.lit(params.salts - 1)))
@@ -84,6 +92,27 @@ def match_postings(
     return joined.filter(limits_condition(limits)).drop(*limits)
 
 
+def _candidates(postings: DataFrame, lead: list[dict]) -> DataFrame:
+    """``(query_id, chunk_id)`` that hold a term of the query's rarest concept.
+
+    Their number is bounded by the document frequencies checked before. Only one
+    term per phrase is looked up, the rarest.
+    """
+    rarest: dict[tuple, dict] = {}
+    for row in lead:
+        key = (row["query_id"], row["phrase_id"])
+        if key not in rarest or row["df"] < rarest[key]["df"]:
+            rarest[key] = row
+    keys = postings.sparkSession.createDataFrame(
+        [(r["query_id"], r["bucket"], r["term"]) for r in rarest.values()],
+        "query_id long, bucket int, term string",
+    )
+    found = lookup(
+        postings.select("bucket", "term", "chunk_id"), keys, ["bucket", "term"], len(rarest)
+    )
+    return found.select("query_id", "chunk_id").distinct()
+
+
 def score_queries(
     index: CorpusIndex,
     queries: DataFrame,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import threading
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from folioquery.functions import lines as L
 from folioquery.operators.expansion import Dictionary, prepare_dictionary
 from folioquery.operators.index import CorpusIndex, open_index, write_index
 from folioquery.session import new_scratch_path
-from folioquery.sources.corpus import spread, synonym_table
+from folioquery.sources.corpus import Vehicle, spread, synonym_table
 
 # Synonym groups over words that occur in `documents` at every scale: one to
 # another language, one with a phrase key, one with a phrase alternative.
@@ -20,13 +21,15 @@ SYNONYMS = {
     "ananble anlyes": ["bleble"],
     "reed": ["anhely atshsh", "erst"],
 }
-# Engines covered by a source; a source not listed here states no coverage.
-COVERAGE = {f"src{i}": engines for i, engines in {
-    0: ["K7M", "K4M"], 1: ["K7M"], 2: ["K9K"], 3: ["D4F", "K7M"], 4: ["K4M", "K9K"],
-    5: ["H4M"], 6: ["D4F"], 7: ["K7M", "H4M"],
-}.items()}
-
-_INDEXES: dict[tuple[str, str], CorpusIndex] = {}
+# Applicability map over the sources: the first ten state engines, the others none.
+VEHICLE = Vehicle(
+    document_engines={
+        f"src{i}": [["K7M", "K4M"], ["K9K"], ["H4M"]][i % 3] if i < 10 else [] for i in range(20)
+    },
+    profile={"engine": "K7M"},
+)
+
+_INDEXES: dict[tuple[str, str, str], CorpusIndex] = {}
 _LOCK = threading.Lock()
 
 
@@ -150,13 +153,17 @@ def manual_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def corpus_index(spark: SparkSession, sf_dir: str) -> CorpusIndex:
-    """The stored index over `documents`, written once per application and table set."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+def corpus_index(
+    spark: SparkSession,
+    sf_dir: str,
+    chunks: Callable[[SparkSession, str], DataFrame] = documents_as_chunks,
+) -> CorpusIndex:
+    """A stored index over a chunk relation, written once per application and table set."""
+    key = (spark.sparkContext.applicationId, sf_dir, chunks.__name__)
     with _LOCK:
         if key not in _INDEXES:
             path = new_scratch_path(spark, "index")
-            write_index(documents_as_chunks(spark, sf_dir), path)
+            write_index(chunks(spark, sf_dir), path)
             _INDEXES[key] = open_index(spark, path)
         return _INDEXES[key]
 

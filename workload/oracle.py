@@ -363,6 +363,8 @@ def in_order(list_sql: str) -> str:
     )
 
 
+ASKED_ENGINE = "(CASE q.query_id % 3 WHEN 0 THEN 'K9K' WHEN 1 THEN 'H4M' ELSE 'K7M' END)"
+
 COVERED = """
 tags AS (
   SELECT DISTINCT source AS doc, unnest(CASE doc_id % 5 WHEN 1 THEN ['K7M'] WHEN 2 THEN ['K4M']
@@ -432,7 +434,7 @@ WHERE engines IS NULL OR list_contains(engines, 'K7M')""",
     "min_length": f"WITH {CHUNKS} SELECT id, length(text) AS chars FROM chunks WHERE length(text) >= 40",
     "citation": f"""WITH {CHUNKS}, c AS (SELECT *, chapter + 1 AS unit_parts FROM chunks)
 SELECT id, {CITATION} AS citation FROM c""",
-    "snippet_window": f"WITH {CHUNKS} SELECT id, {snippet(80, 'thing', 'eau')} AS snippet FROM chunks",
+    "snippet": f"WITH {CHUNKS} SELECT id, {snippet(80, 'thing', 'eau')} AS snippet FROM chunks",
     "tokenize": f"""SELECT doc_id, token, count(*) AS n
 FROM (SELECT doc_id, unnest({words('text')}) AS token FROM documents) GROUP BY ALL""",
     "compound_split": f"""WITH t AS (SELECT doc_id, lang || '-Stop-' || lang || ' ' || source || '-' || lang || ' '
@@ -474,6 +476,13 @@ SELECT page_id, TRY_CAST(regexp_extract(step_line, '{rules.STEP_LINE}', 1) AS IN
     "line_classify": f"""WITH {HANDBOOK} SELECT CASE WHEN length(line) = 0 THEN 'blank' WHEN {IS_LABEL} THEN 'label'
   WHEN {IS_NOISE} OR {IS_FOOTER} THEN 'noise' WHEN {IS_CALLOUT} THEN 'callout'
   WHEN {is_heading()} THEN 'heading' ELSE 'text' END AS line_class, count(*) AS n FROM lines GROUP BY 1""",
+    "noise_lines": f"""WITH h AS (WITH {HANDBOOK} SELECT page_id, line FROM lines),
+m AS (WITH {MANUAL} SELECT page_id, line FROM lines)
+SELECT page_id, count(*) AS lines FROM (SELECT * FROM h UNION ALL SELECT * FROM m)
+WHERE NOT ({IS_NOISE} OR {IS_FOOTER}) GROUP BY page_id""",
+    "callout_lines": """SELECT event_id, line FROM (SELECT event_id, CASE WHEN event_id % 3 = 0
+  THEN (user_id % 100) || ' ' || hour(ts) ELSE (user_id % 20)::VARCHAR END AS line FROM events)
+WHERE contains(line, ' ') OR length(line) = 1""",
     "heading_lines": f"""WITH {DOC_LINES} SELECT doc_id, line_no, trim(line) AS line FROM lines
 WHERE {is_heading(PLAIN_LINE)}""",
     "dehyphenate": """SELECT doc_id, text FROM documents""",
@@ -566,6 +575,16 @@ capped AS (SELECT * FROM (
         ), 10,
     ),
     "bm25_batch": ranked(bm25_hits(BENCHMARK_TERMS, strict=False), 3),
+    "bm25_guarded": ranked(
+        bm25_hits(
+            BENCHMARK_TERMS, strict=False,
+            where="(CASE WHEN CAST(replace(c.doc, 'src', '') AS INTEGER) >= 10 THEN TRUE "
+            "ELSE list_contains(CASE CAST(replace(c.doc, 'src', '') AS INTEGER) % 3 "
+            "WHEN 0 THEN ['K7M', 'K4M'] WHEN 1 THEN ['K9K'] ELSE ['H4M'] END, "
+            f"{ASKED_ENGINE}) END) AND (c.engines IS NULL OR list_contains(c.engines, {ASKED_ENGINE}))",
+        ), 3,
+    ),
+    "coverage_selective": ranked(bm25_hits(one_word_concepts("ananbl", "er", "re", "thing")), 50),
     "fuzzy_term": f"""WITH {CHUNKS},{SURFACES},{MISSPELT},
 g AS (SELECT surface AS correction, len({grams('surface')}) AS n, unnest({grams('surface')}) AS gram FROM surfaces),
 u AS (SELECT surface, len({grams('surface')}) AS n, unnest({grams('surface')}) AS gram FROM unknown),

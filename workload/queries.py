@@ -33,6 +33,14 @@ def query(f: Query) -> Query:
     return f
 
 
+def named(name: str) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        QUERIES[name] = f
+        return f
+
+    return register
+
+
 # --- sources -----------------------------------------------------------------
 
 
@@ -181,7 +189,7 @@ def citation(spark, sf):
     return c.select("id", chunk_citation().alias("citation"))
 
 
-@query
+@named("snippet")
 def snippet_window(spark, sf):
     c = A.documents_as_chunks(spark, sf)
     return c.select(
@@ -288,6 +296,27 @@ def line_classify(spark, sf):
     )
 
 
+@query
+def noise_lines(spark, sf):
+    """What is left of both page layouts once the publisher's layout lines are dropped."""
+    both = A.page_texts(spark, sf).unionByName(A.manual_texts(spark, sf))
+    kept = F.filter(
+        L.page_lines(F.col("text")), lambda l: ~(L.is_handbook_noise(l) | L.is_manual_noise(l))
+    )
+    lines = explode_once(both, kept, "line", "page_id")
+    return lines.groupBy("page_id").agg(F.count("*").alias("lines"))
+
+
+@query
+def callout_lines(spark, sf):
+    """Illustration callouts among lines made of event, user and hour numbers."""
+    e = A.table(spark, sf, "events")
+    line = F.when(
+        F.col("event_id") % 3 == 0, F.concat_ws(" ", F.col("user_id") % 100, F.hour("ts"))
+    ).otherwise((F.col("user_id") % 20).cast("string"))
+    return e.select("event_id", line.alias("line")).filter(L.is_callout(F.col("line")))
+
+
 @query
 def heading_lines(spark, sf):
     return (
@@ -589,7 +618,7 @@ def bm25_proximity(spark, sf):
 def bm25_numeric_boost(spark, sf):
     """A torque question prefers notes that state one."""
     params = SearchParams(**{**PLAIN.__dict__, "torque_bonus": 0.25})
-    ix = index.index_in_memory(A.parts_as_chunks(spark, sf))
+    ix = A.corpus_index(spark, sf, A.parts_as_chunks)
     hits = S.search(ix, _queries(spark, "ring tightening torque"), top_k=200, params=params)
     return _hits(hits)
 
@@ -621,6 +650,26 @@ def bm25_batch(spark, sf):
     return _hits(S.search(ix, _benchmark_queries(spark, sf), top_k=3, params=soft))
 
 
+@query
+def bm25_guarded(spark, sf):
+    """Benchmark texts, some naming an engine, behind the applicability guard."""
+    ix = A.corpus_index(spark, sf)
+    soft = SearchParams(**{**PLAIN.__dict__, "coverage": "soft"})
+    code = F.when(F.col("item_id") % 3 == 0, " K9K").when(F.col("item_id") % 3 == 1, " for HR16DE")
+    asked = A.table(spark, sf, "benchmark").select(
+        F.col("item_id").alias("query_id"),
+        F.concat("text", F.coalesce(code, F.lit(""))).alias("query"),
+    )
+    guarded = S.guarded_queries(asked, A.VEHICLE, A.VEHICLE.profile["engine"])
+    return _hits(S.search(ix, guarded, top_k=3, params=soft))
+
+
+@query
+def coverage_selective(spark, sf):
+    """A rare word with common ones: all must be covered."""
+    return _search(spark, sf, "ananble er re thing", top_k=50)
+
+
 def _misspelt(spark, sf):
     """The longest word of each benchmark text with its last letter doubled."""
     words = T.surface_tokens(F.col("text"))
