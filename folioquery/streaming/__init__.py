@@ -1,0 +1 @@
+"""Empty on purpose: corpora are rebuilt in batch and no operator is a stream."""
