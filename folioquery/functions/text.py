@@ -14,7 +14,7 @@ from .russian import stem_russian
 
 def fold(text: Column) -> Column:
     """Lower case with ё read as е."""
-    return F.translate(F.lower(text), "ё", "е")
+    return F.replace(F.lower(text), F.lit("ё"), F.lit("е"))
 
 
 def surface_tokens(text: Column) -> Column:
@@ -75,18 +75,30 @@ def is_cyrillic(token: Column) -> Column:
     return (token >= "а") & (token < "ѐ")
 
 
-def stem(token: Column) -> Column:
-    """Per-token dispatch: digits untouched, Cyrillic and Latin by their own rules."""
-    return let(
-        token,
-        lambda t: F.when(has_digit(t), t)
-        .when(is_cyrillic(t), stem_russian(t))
-        .otherwise(stem_english(t)),
+def _may_inflect(token: Column) -> Column:
+    """Cheap test: only these last letters can be an English ending."""
+    return F.right(token, F.lit(1)).isin("s", "e", "d", "g")
+
+
+def stem_word(token: Column) -> Column:
+    """Stem of a token that is a plain column or lambda variable (it is read often).
+
+    Dispatch per token: digits untouched, Cyrillic and Latin by their own rules.
+    """
+    return (
+        F.when(is_cyrillic(token), F.when(has_digit(token), token).otherwise(stem_russian(token)))
+        .when(~_may_inflect(token) | has_digit(token), token)
+        .otherwise(stem_english(token))
     )
 
 
+def stem(token: Column) -> Column:
+    """Stem of any token expression."""
+    return let(token, stem_word)
+
+
 def stems(tokens: Column) -> Column:
-    return F.transform(tokens, stem)
+    return F.transform(tokens, stem_word)
 
 
 def trigrams(word: Column) -> Column:

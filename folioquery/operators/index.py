@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lets import explode_once, let
 from ..functions.lines import has_torque
-from ..functions.text import stem, surface_tokens, token_forms, tokenize, trigrams
+from ..functions.text import is_compound, stem_word, surface_tokens, tokenize, trigrams
 from .corpus import as_chunks
 
 TERM_BUCKETS = 64
@@ -25,16 +25,31 @@ FILTER_COLUMNS = ["doc", "lang", "chapter", "engines"]
 
 
 def _occurrences(text: Column, in_title: bool) -> Column:
-    """Index terms of a text with their word position; -1 marks the title."""
+    """Index terms of a text with their word position; -1 marks the title.
 
-    def forms(token: Column, i: Column) -> Column:
+    Every word gives one entry; the parts of compounds, rare in most texts, are
+    added at the position of their word.
+    """
+
+    def entry(term: Column, i: Column) -> Column:
         position = F.lit(-1) if in_title else i
+        return F.struct(stem_word(term).alias("term"), position.cast("int").alias("pos"))
+
+    def parts(word: Column, i: Column) -> Column:
         return F.transform(
-            token_forms(token),
-            lambda t: F.struct(stem(t).alias("term"), position.cast("int").alias("pos")),
+            F.when(is_compound(word), F.split(word, "-")).otherwise(
+                F.array().cast("array<string>")
+            ),
+            lambda p: entry(p, i),
         )
 
-    return F.flatten(F.transform(surface_tokens(F.coalesce(text, F.lit(""))), forms))
+    def listed(words: Column) -> Column:
+        whole = F.transform(words, entry)
+        return F.when(
+            F.exists(words, is_compound), F.concat(whole, F.flatten(F.transform(words, parts)))
+        ).otherwise(whole)
+
+    return let(surface_tokens(F.coalesce(text, F.lit(""))), listed)
 
 
 def _runs(occurrences: Column) -> Column:

@@ -40,12 +40,16 @@ def parse_manual(pages: DataFrame) -> DataFrame:
 
 
 def units_by_layout_id(pages: DataFrame) -> DataFrame:
-    """Pages with the same printed section id form a unit, its first heading the title."""
-    keyed = pages.filter(F.col("layout_id").isNotNull())
+    """Pages with the same printed section id form a unit, its first heading the title.
+
+    A page without an id is a unit of its own.
+    """
+    own = F.concat(F.lit("p"), F.col("pdf_page"))
+    keyed = pages.withColumn("layout_id", F.coalesce("layout_id", own))
     heads = keyed.groupBy("doc", "layout_id").agg(
         F.min_by(L.section_key(F.col("section")), "pdf_page").alias("section"),
         F.min("chapter").alias("chapter"),
-        F.first("lang").alias("lang"),
+        F.min("lang").alias("lang"),
     )
     gathered = U.gather_units(keyed, ["doc", "layout_id"], "pdf_page", "text")
     return gathered.join(heads, ["doc", "layout_id"]).withColumnRenamed("layout_id", "unit_id")
@@ -62,7 +66,7 @@ def units_by_heading(pages: DataFrame, block: int = 4096) -> DataFrame:
     heads = marked.groupBy("doc", "island").agg(
         F.min_by(L.section_key(F.col("section")), "pdf_page").alias("section"),
         F.min("chapter").alias("chapter"),
-        F.first("lang").alias("lang"),
+        F.min("lang").alias("lang"),
     )
     gathered = U.gather_units(marked, ["doc", "island"], "pdf_page", "text")
     return gathered.join(heads, ["doc", "island"]).withColumn(
@@ -71,18 +75,30 @@ def units_by_heading(pages: DataFrame, block: int = 4096) -> DataFrame:
 
 
 def units_by_bookmarks(pages: DataFrame, bookmarks: DataFrame, width: int = 256) -> DataFrame:
-    """A bookmark's page range is a unit; the bookmark's title is its title."""
-    ranges = U.bookmark_ranges(bookmarks).withColumnRenamed("title", "section").withColumnRenamed(
-        "first_page", "unit_start"
+    """A bookmark's page range is a unit; the bookmark's title is its title.
+
+    Pages before a document's first bookmark form an untitled unit.
+    """
+    ranges = U.bookmark_ranges(bookmarks).withColumnsRenamed(
+        {"title": "section", "first_page": "unit_start"}
+    )
+    begins = pages.groupBy("doc").agg(F.min("pdf_page").alias("unit_start"))
+    firsts = ranges.groupBy("doc").agg(F.min("unit_start").alias("next_page"))
+    front = (
+        begins.join(firsts, "doc", "left")
+        .filter(F.col("next_page").isNull() | (F.col("unit_start") < F.col("next_page")))
+        .withColumn("section", F.lit(None).cast("string"))
     )
     placed = U.interval_join(
-        pages.select("doc", "lang", "pdf_page", "text"), ranges, "doc", "pdf_page",
-        "unit_start", "next_page", width,
+        pages.select("doc", "lang", "pdf_page", "text"), ranges.unionByName(front), "doc",
+        "pdf_page", "unit_start", "next_page", width,
+    )
+    keys = ["doc", "lang", "unit_start"]
+    titles = placed.groupBy(*keys).agg(F.max("section").alias("section"))
+    return (
+        U.gather_units(placed, keys, "pdf_page", "text").join(titles, keys)
+        .withColumn("unit_id", F.col("unit_start").cast("string")).drop("unit_start")
     )
-    keys = ["doc", "lang", "unit_start", "section"]
-    return U.gather_units(placed, keys, "pdf_page", "text").withColumn(
-        "unit_id", F.col("unit_start").cast("string")
-    ).drop("unit_start")
 
 
 def chunk_units(

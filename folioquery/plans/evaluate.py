@@ -46,7 +46,8 @@ def gate_hits(
     kept = hits.join(cases.select("query_id", "top_k"), "query_id").filter(
         F.col("rank") <= F.col("top_k")
     )
-    return S.with_chunks(index, kept, params)
+    bound = cases.agg(F.sum("top_k")).first()[0] or 0
+    return S.with_chunks(index, kept, params, bound)
 
 
 def run_gate(

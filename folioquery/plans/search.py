@@ -168,14 +168,22 @@ def guarded_queries(
     )
 
 
-def with_chunks(index: CorpusIndex, hits: DataFrame, params: SearchParams) -> DataFrame:
-    """Hits with the columns of their chunk; reads only the hits' buckets and ids."""
+def with_chunks(
+    index: CorpusIndex, hits: DataFrame, params: SearchParams, most: int | None = None
+) -> DataFrame:
+    """Hits with the columns of their chunk; reads only the hits' buckets and ids.
+
+    ``most`` is a known bound on the number of hits: above ``broadcast_rows`` the
+    two sides meet in a shuffle join at once, without looking at the hits first.
+    """
     keyed = hits.withColumn("id_bucket", id_bucket(F.col("chunk_id"), index.buckets))
     chunks = index.chunks.drop("doc").withColumnRenamed("id", "chunk_id")
-    return (
-        lookup(chunks, keyed, ["id_bucket", "chunk_id"], params.broadcast_rows)
-        .withColumnRenamed("chunk_id", "id").drop("id_bucket")
-    )
+    on = ["id_bucket", "chunk_id"]
+    if most is not None and most > params.broadcast_rows:
+        joined = chunks.join(keyed, on)
+    else:
+        joined = lookup(chunks, keyed, on, params.broadcast_rows)
+    return joined.withColumnRenamed("chunk_id", "id").drop("id_bucket")
 
 
 def ask(
