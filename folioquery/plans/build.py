@@ -39,6 +39,12 @@ def parse_manual(pages: DataFrame) -> DataFrame:
     return pages.withColumn("_p", L.parse_manual_page(F.col("text"))).select(*kept, "_p.*")
 
 
+def _first_heading() -> Column:
+    """The first heading of a unit without its counter; pages without one are passed over."""
+    page = F.when(F.col("section").isNotNull(), F.col("pdf_page"))
+    return F.min_by(L.section_key(F.col("section")), page)
+
+
 def units_by_layout_id(pages: DataFrame) -> DataFrame:
     """Pages with the same printed section id form a unit, its first heading the title.
 
@@ -47,7 +53,7 @@ def units_by_layout_id(pages: DataFrame) -> DataFrame:
     own = F.concat(F.lit("p"), F.col("pdf_page"))
     keyed = pages.withColumn("layout_id", F.coalesce("layout_id", own))
     heads = keyed.groupBy("doc", "layout_id").agg(
-        F.min_by(L.section_key(F.col("section")), "pdf_page").alias("section"),
+        _first_heading().alias("section"),
         F.min("chapter").alias("chapter"),
         F.min("lang").alias("lang"),
     )
@@ -64,7 +70,7 @@ def units_by_heading(pages: DataFrame, block: int = 4096) -> DataFrame:
     first = F.col("section").isNotNull() & ~continues
     marked = U.heading_islands(pages, "doc", "pdf_page", first, block)
     heads = marked.groupBy("doc", "island").agg(
-        F.min_by(L.section_key(F.col("section")), "pdf_page").alias("section"),
+        _first_heading().alias("section"),
         F.min("chapter").alias("chapter"),
         F.min("lang").alias("lang"),
     )
@@ -93,8 +99,10 @@ def units_by_bookmarks(pages: DataFrame, bookmarks: DataFrame, width: int = 256)
         pages.select("doc", "lang", "pdf_page", "text"), ranges.unionByName(front), "doc",
         "pdf_page", "unit_start", "next_page", width,
     )
-    keys = ["doc", "lang", "unit_start"]
-    titles = placed.groupBy(*keys).agg(F.max("section").alias("section"))
+    keys = ["doc", "unit_start"]
+    titles = placed.groupBy(*keys).agg(
+        F.max("section").alias("section"), F.min("lang").alias("lang")
+    )
     return (
         U.gather_units(placed, keys, "pdf_page", "text").join(titles, keys)
         .withColumn("unit_id", F.col("unit_start").cast("string")).drop("unit_start")
@@ -105,8 +113,15 @@ def chunk_units(
     units: DataFrame, titles: DataFrame, target: int = rules.CHUNK_TARGET,
     tag_diagrams: Column | None = None,
 ) -> DataFrame:
-    """Units of any kind as chunks. ``titles(doc, doc_title)`` names the documents."""
+    """Units of any kind as chunks. ``titles(doc, doc_title)`` names the documents.
+
+    A chunk below the minimum length is led in by its title instead of being dropped.
+    """
     chunks = units_to_chunks(units, target).join(titles, "doc", "left")
+    short = (F.length("text") < rules.MIN_CHUNK_CHARS) & F.col("section").isNotNull()
+    chunks = chunks.withColumn(
+        "text", F.when(short, F.concat_ws("\n", "section", "text")).otherwise(F.col("text"))
+    )
     renamed = chunks.withColumnsRenamed({"first_page": "pdf_page", "last_page": "pdf_page_end"})
     if tag_diagrams is not None:
         renamed = renamed.withColumn(

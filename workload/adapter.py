@@ -111,7 +111,10 @@ def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join(
             F.array(
                 F.lit("Jaune Noir Noir texte"),
-                F.concat(F.lit("RUS_UD"), F.col("page_id") + 57000, F.lit("_3")),
+                F.concat(
+                    F.lit("RUS_UD"), F.floor(F.col("page_id") / 3) + 57000, F.lit("_"),
+                    F.col("page_id") % 3,
+                ),
                 F.lit("1 2"),
                 F.concat_ws(".", F.col("page_id") % 9 + 1, F.col("page_id") % 40),
                 F.concat(

@@ -198,7 +198,7 @@ ASCII_UPPER = (
 )
 HANDBOOK = f"""
 raw AS (
-  SELECT page_id, 'Jaune Noir Noir texte' || chr(10) || 'RUS_UD' || (page_id + 57000) || '_3' || chr(10)
+  SELECT page_id, 'Jaune Noir Noir texte' || chr(10) || 'RUS_UD' || (page_id // 3 + 57000) || '_' || (page_id % 3) || chr(10)
     || '1 2' || chr(10) || (page_id % 9 + 1) || '.' || (page_id % 40) || chr(10)
     || {ASCII_UPPER} || ': part (' || (page_id % 3 + 1) || '/3)' || chr(10)
     || 'broken wo -' || chr(10) || 'rds are joined.' || chr(10) || '75' || chr(10)
@@ -223,6 +223,14 @@ def is_heading(line: str = "line") -> str:
 
 DEHYPHEN = r"regexp_replace({t}, '(\p{{L}}) ?-\n(\p{{Ll}})', '\1\2', 'g')"
 
+PARSED_PAGES = f"""{HANDBOOK},
+kept AS (SELECT * FROM lines WHERE NOT {IS_NOISE}),
+head AS (
+  SELECT page_id, arg_min(line, n) FILTER ({IS_LABEL}) AS page_label,
+    arg_min(line, n) FILTER ({is_heading()}) AS section,
+    string_agg(line, chr(10) ORDER BY n) FILTER (NOT ({IS_LABEL} OR {IS_CALLOUT} OR {is_heading()})) AS body
+  FROM kept GROUP BY page_id)"""
+
 MANUAL = f"""
 raw AS (
   SELECT page_id, '- ' || page_id || ' -' || chr(10) || '2. REMOVAL OPERATION' || chr(10)
@@ -452,13 +460,19 @@ SELECT token, stem FROM stemmed""",
     "trigrams": f"""SELECT word, unnest({grams('word')}) AS gram
 FROM (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS word FROM part)""",
     "contains_ci": "SELECT doc_id FROM documents WHERE contains(lower(text), 'the th')",
-    "parse_page": f"""WITH {HANDBOOK},
-kept AS (SELECT * FROM lines WHERE NOT {IS_NOISE}),
-head AS (
-  SELECT page_id, arg_min(line, n) FILTER ({IS_LABEL}) AS page_label,
-    arg_min(line, n) FILTER ({is_heading()}) AS section,
-    string_agg(line, chr(10) ORDER BY n) FILTER (NOT ({IS_LABEL} OR {IS_CALLOUT} OR {is_heading()})) AS body
-  FROM kept GROUP BY page_id)
+    "build_chunks": f"""WITH {PARSED_PAGES},
+u AS (
+  SELECT page_id // 3 AS unit, min(page_id) AS first_page, max(page_id) AS last_page,
+    arg_min(regexp_replace(section, ' *\\(\\d+/\\d+\\) *$', ''), page_id) AS section,
+    min(CAST(split_part(page_label, '.', 1) AS INTEGER)) AS chapter,
+    string_agg({DEHYPHEN.format(t='body')}, chr(10) ORDER BY page_id) AS text
+  FROM head GROUP BY 1),{packed('u', 'unit', rules.CHUNK_TARGET)}
+SELECT 'book:uRUS_UD' || (unit + 57000) || ':' || i AS id, 'A book' AS doc_title, section, chapter,
+  CAST(first_page AS INTEGER) AS pdf_page, CAST(last_page AS INTEGER) AS pdf_page_end,
+  len(parts) AS unit_parts,
+  CASE WHEN length(parts[i + 1]) < 40 THEN section || chr(10) || parts[i + 1] ELSE parts[i + 1] END AS text
+FROM (SELECT k, parts, unnest(range(len(parts))) AS i FROM parts) JOIN u ON unit = k""",
+    "parse_page": f"""WITH {PARSED_PAGES}
 SELECT page_id, page_label, CAST(split_part(page_label, '.', 1) AS INTEGER) AS chapter, section,
   {DEHYPHEN.format(t='body')} AS text FROM head""",
     "parse_manual_page": f"""WITH {MANUAL},

@@ -16,6 +16,7 @@ from folioquery.functions.russian import stem_russian
 from folioquery.operators import applicability as app
 from folioquery.operators import chunking, expansion, index, quality, scoring, units
 from folioquery.operators.filters import engine_condition, where_condition
+from folioquery.plans import build
 from folioquery.plans import search as S
 from folioquery.rules import SearchParams
 from folioquery.sources import corpus as src
@@ -373,6 +374,21 @@ def chunk_page(spark, sf):
     )
 
 
+@query
+def build_chunks(spark, sf):
+    """Handbook pages all the way: parsed, gathered by printed section id, titled, cut."""
+    pages = A.page_texts(spark, sf).select(
+        F.lit("book").alias("doc"), F.lit("xx").alias("lang"),
+        F.col("page_id").alias("pdf_page"), "text",
+    )
+    units_ = build.units_by_layout_id(build.parse_handbook(pages))
+    titles = pages.select("doc", F.lit("A book").alias("doc_title")).distinct()
+    return build.chunk_units(units_, titles).select(
+        "id", "doc_title", "section", "chapter", "pdf_page", "pdf_page_end",
+        F.col("unit_parts").cast("bigint").alias("unit_parts"), "text",
+    )
+
+
 @query
 def units_range(spark, sf):
     """Purchases open units of a user's event stream; other events are pages."""
