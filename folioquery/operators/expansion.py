@@ -329,16 +329,25 @@ def concepts(words: DataFrame, dict_: Dictionary | None, params: SearchParams) -
             ).alias("phrases"),
         ),
     )
-    # Two words with the same phrases are one concept, so repeating a word asks nothing more.
+    # Two words with the same phrases are one concept, so repeating a word asks nothing
+    # more. Equal ones are neighbours after sorting; the first in reading order stays.
     def distinct_concepts(all_: Column) -> Column:
-        return F.filter(
-            all_,
-            lambda c, i: ~F.exists(
-                F.slice(all_, F.lit(1), i), lambda earlier: earlier["phrases"] == c["phrases"]
-            ),
+        def first_of_each(rows: Column) -> Column:
+            return F.filter(
+                rows, lambda c, i: (i == 0) | (c["phrases"] != F.get(rows, i - 1)["phrases"])
+            )
+
+        by_phrases = F.sort_array(
+            F.transform(all_, lambda c: F.struct(c["phrases"].alias("phrases"), c["start"].alias("start")))
+        )
+        return F.sort_array(
+            F.transform(
+                let(by_phrases, first_of_each),
+                lambda c: F.struct(c["start"].alias("start"), c["phrases"].alias("phrases")),
+            )
         )
 
-    listed = let(F.sort_array(F.concat(singles, grouped)), distinct_concepts)
+    listed = distinct_concepts(F.concat(singles, grouped))
     return (
         with_groups.withColumn("_concepts", listed)
         .select(
