@@ -14,7 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules
+from ..session import join_small
 from ..sources.corpus import Vehicle
+from .filters import engine_condition
 
 
 @dataclass(frozen=True)
@@ -169,5 +171,12 @@ def blocked_documents(covered: DataFrame, engines: Sequence[str]) -> DataFrame:
     ).filter(~engine_applies(F.col("covers"), F.col("engine"))).select("engine", "doc")
 
 
+def gate(chunks: DataFrame, covered: DataFrame, engine: str) -> DataFrame:
+    """Chunks that may answer for an engine: their document covers it, and their own
+    tag, if they have one, names it."""
+    allowed = allowed_documents(covered, [engine]).select("doc")
+    return join_small(chunks, allowed, "doc", "left_semi").filter(engine_condition(engine))
+
+
 def engine_applies(covers: Column, engine: Column) -> Column:
     return covers.isNull() | F.array_contains(covers, engine)

@@ -212,7 +212,7 @@ def write_index(chunks: DataFrame, path: str, buckets: int = TERM_BUCKETS) -> No
     rows = as_chunks(chunks)
 
     def store(df: DataFrame, name: str, folder: str | None, *order: str) -> None:
-        laid_out = df.hint("rebalance", folder) if folder else df
+        laid_out = df.hint("rebalance", buckets, folder) if folder else df
         writer = laid_out.sortWithinPartitions(*order).write.mode("overwrite")
         (writer.partitionBy(folder) if folder else writer).parquet(f"{path}/{name}")
 

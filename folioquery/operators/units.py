@@ -116,9 +116,7 @@ def interval_join(
     """
     closed = intervals.filter(F.col(end).isNotNull()).withColumn("_end", F.col(end))
     open_ = intervals.filter(F.col(end).isNull())
-    last = points.join(open_.select(group).distinct(), group, "left_semi").groupBy(group).agg(
-        (F.max(point) + 1).alias("_end")
-    )
+    last = points.groupBy(group).agg((F.max(point) + 1).alias("_end"))
     bounded = closed.unionByName(open_.join(last, group).select(*closed.columns))
     listed = bounded.filter(F.col("_end") > F.col(start)).withColumn(
         "_bucket",

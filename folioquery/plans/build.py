@@ -16,6 +16,7 @@ from ..operators import units as U
 from ..operators.chunking import units_to_chunks
 from ..operators.corpus import as_chunks
 from ..operators.index import TERM_BUCKETS, write_index
+from ..session import join_small
 from ..sources.corpus import indexable, write_chunks
 
 
@@ -117,7 +118,7 @@ def chunk_units(
 
     A chunk below the minimum length is led in by its title instead of being dropped.
     """
-    chunks = units_to_chunks(units, target).join(titles, "doc", "left")
+    chunks = join_small(units_to_chunks(units, target), titles, "doc", "left")
     short = (F.length("text") < rules.MIN_CHUNK_CHARS) & F.col("section").isNotNull()
     chunks = chunks.withColumn(
         "text", F.when(short, F.concat_ws("\n", "section", "text")).otherwise(F.col("text"))

@@ -84,3 +84,10 @@ def lookup(table: DataFrame, keys: DataFrame, on: list[str], max_rows: int) -> D
             if len(values) <= LITERAL_KEYS:
                 wanted = wanted & F.col(column).isin(values)
     return table.filter(wanted).join(small.df, on)
+
+
+def join_small(df: DataFrame, dimension: DataFrame, on: str, how: str, max_rows: int = 100_000) -> DataFrame:
+    """Join with a dimension such as a source registry: broadcast after its rows were
+    counted, so a key that holds much of ``df`` is not shuffled; a shuffle join beyond."""
+    small = small_or_none(dimension, max_rows)
+    return df.join(dimension if small is None else small.df, on, how)

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from ..functions.citation import chunk_citation
 from ..operators.corpus import CHUNK_SCHEMA, as_chunks
 from ..operators.units import interval_join
+from ..session import join_small
 
 SOURCE_SCHEMA = T.StructType(
     [
@@ -135,7 +136,7 @@ def read_sources(spark: SparkSession, path: str) -> DataFrame:
 def indexable(pages: DataFrame, sources: DataFrame) -> DataFrame:
     """Pages of registered, indexed sources that have a text layer."""
     wanted = sources.filter("indexed").select("doc")
-    return pages.join(wanted, "doc", "left_semi").filter(F.length(F.trim("text")) > 0)
+    return join_small(pages, wanted, "doc", "left_semi").filter(F.length(F.trim("text")) > 0)
 
 
 def list_sources(chunks: DataFrame, sources: DataFrame | None = None) -> DataFrame:
@@ -195,9 +196,12 @@ def read_eval_cases(spark: SparkSession, path: str) -> DataFrame:
 def image_paths(chunks: DataFrame, files: DataFrame) -> DataFrame:
     """Chunks with the path of their illustration; null when the file is missing.
 
-    ``files(image, path)`` lists the shipped pictures.
+    ``files(image, path)`` lists the shipped pictures. Most chunks have no picture;
+    they bypass the join, where their null keys would all meet in one task.
     """
-    return chunks.join(files, "image", "left")
+    pictured = chunks.filter(F.col("image").isNotNull()).join(files, "image", "left")
+    plain = chunks.filter(F.col("image").isNull()).withColumn("path", F.lit(None).cast("string"))
+    return pictured.unionByName(plain)
 
 
 def list_files(spark: SparkSession, path: str, pattern: str = "*.jpg") -> DataFrame:

@@ -424,9 +424,9 @@ SELECT doc, part, page, CAST(page + off AS BIGINT) AS pdf_page FROM p JOIN o USI
   CASE WHEN contains(text, chr(10)) THEN split_part(text, chr(10), 1) END AS section,
   CAST(NULL AS VARCHAR) AS image, length(text) AS chars FROM documents
 UNION ALL SELECT 'pictures', page_id, NULL, {H1}, page_id || '.jpg', length({PARAGRAPHS}) FROM pages""",
-    "asset_lookup": """SELECT d.source || ':u' || d.doc_id || ':0' AS id, d.doc_id || '.jpg' AS image,
-  'assets/' || p.page_id || '.jpg' AS path
-FROM documents d LEFT JOIN pages p ON p.page_id = d.doc_id WHERE d.doc_id % 10 = 0""",
+    "asset_lookup": """SELECT d.source || ':u' || d.doc_id || ':0' AS id,
+  CASE WHEN d.doc_id % 10 = 0 THEN d.doc_id || '.jpg' END AS image, 'assets/' || p.page_id || '.jpg' AS path
+FROM documents d LEFT JOIN pages p ON p.page_id = d.doc_id AND d.doc_id % 10 = 0""",
     "page_range_lookup": f"""SELECT {DOC_ID.replace('source', 'c.source').replace('doc_id', 'c.doc_id')} AS id,
   string_agg('p' || p.doc_id, '|' ORDER BY p.doc_id) AS pictures
 FROM documents c JOIN documents p ON p.source = c.source AND length(p.text) > 100

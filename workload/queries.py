@@ -115,7 +115,7 @@ def asset_lookup(spark, sf):
         F.concat(F.col("page_id"), F.lit(".jpg")).alias("image"),
         F.concat(F.lit("assets/"), F.col("page_id"), F.lit(".jpg")).alias("path"),
     )
-    chunks = A.documents_as_chunks(spark, sf).filter(F.col("image").isNotNull())
+    chunks = A.documents_as_chunks(spark, sf)
     return src.image_paths(chunks, files).select("id", "image", "path")
 
 
@@ -785,9 +785,8 @@ def blocked_docs(spark, sf):
 @query
 def two_level_gate(spark, sf):
     """Documents that may answer for the engine, then the chunks inside them."""
-    allowed = app.allowed_documents(_coverage(spark, sf), ["K7M"]).select("doc")
-    chunks = A.documents_as_chunks(spark, sf).join(allowed, "doc", "left_semi")
-    return chunks.filter(engine_condition("K7M")).select("id", "doc")
+    chunks = A.documents_as_chunks(spark, sf)
+    return app.gate(chunks, _coverage(spark, sf), "K7M").select("id", "doc")
 
 
 # --- quality ----------------------------------------------------------------------------------------------
