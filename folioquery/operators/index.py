@@ -199,6 +199,14 @@ class CorpusIndex:
         return self.n_tokens / self.n_chunks if self.n_chunks else 0.0
 
 
+def suggested_buckets(scan: DataFrame) -> int:
+    """Buckets for an index over a table scan, from its number of input splits.
+
+    Eight at least; at 128 MB a split, a bucket then stands for a gigabyte of text.
+    """
+    return min(4096, max(8, scan.rdd.getNumPartitions() // 8))
+
+
 def write_index(chunks: DataFrame, path: str, buckets: int = TERM_BUCKETS) -> None:
     """Build and store every index table under ``path``.
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from folioquery.functions import lines as L
 from folioquery.operators.expansion import Dictionary, prepare_dictionary
-from folioquery.operators.index import CorpusIndex, open_index, write_index
+from folioquery.operators.index import CorpusIndex, open_index, suggested_buckets, write_index
 from folioquery.session import new_scratch_path
 from folioquery.sources.corpus import Vehicle, spread, synonym_table
 
@@ -166,7 +166,8 @@ def corpus_index(
     with _LOCK:
         if key not in _INDEXES:
             path = new_scratch_path(spark, "index")
-            write_index(chunks(spark, sf_dir), path)
+            buckets = suggested_buckets(table(spark, sf_dir, "documents"))
+            write_index(chunks(spark, sf_dir), path, buckets)
             _INDEXES[key] = open_index(spark, path)
         return _INDEXES[key]
 
