@@ -28,7 +28,7 @@ ROWS = [
     row("owner:u1:0", "owner", "ru", "УРОВЕНЬ МАСЛА", "Проверьте уровень масла щупом на ровной площадке.", 2, 4, 3, 5),
     row("owner:u1:1", "owner", "ru", "УРОВЕНЬ МАСЛА", "Долейте масло через воронку до верхней отметки щупа.", 2, 4, 3, 5),
     row("workshop:u7:0", "workshop", "en", "TIMING BELT REMOVAL", "Remove the timing belt and the idler; fit a new belt every time.", 1, None, 3100, 3104),
-    row("workshop:u8:0", "workshop", "en", "CLUTCH REMOVAL", "Remove the clutch plate. Tighten the cover bolts to 20 N.m in order.", 1, None, 3200, 3200),
+    row("workshop:u8:0", "workshop", "en", "CLUTCH REPLACEMENT", "Take off the clutch plate. Tighten the cover bolts to 20 N.m in order.", 1, None, 3200, 3200),
     row("diagrams:u1:0", "diagrams", "ru", "Схема 8V", "Распиновка блока управления двигателем восьмиклапанным.", image="13.jpg", engines=["K7M"]),
     row("diagrams:u2:0", "diagrams", "ru", "Схема 16V", "Распиновка блока управления двигателем шестнадцатиклапанным.", image="21.jpg", engines=["K4M"]),
 ]
@@ -36,13 +36,13 @@ CASES = [
     {"query": "уровень масла", "expect_any": ["УРОВЕНЬ МАСЛА"]},
     {"query": "проверьте уровень", "filters": {"lang": "ru"}, "expect_any": ["щупом"], "top_k": 1},
     {"query": "долейте масло", "filters": {"doc": "owner", "chapter": "4"}, "expect_any": ["воронку"]},
-    {"query": "clutch removal", "expect_any": ["CLUTCH"], "forbid": ["TIMING BELT"]},
+    {"query": "clutch replacement", "expect_any": ["CLUTCH"], "forbid": ["TIMING BELT"]},
     {"query": "timing belt K4M", "expect_any": ["nowhere", "TIMING BELT"]},
     {"query": "timing belt H4M", "forbid": ["TIMING BELT"], "note": "not covered"},
     {"query": "распиновка блока K7M", "expect_any": ["Схема 8V"], "forbid": ["иллюстрация 21.jpg"]},
     {"query": "распиновка блока K4M", "expect_any": ["16V"], "forbid": ["иллюстрация 13.jpg"]},
     {"query": "распиновка H4M", "forbid": ["иллюстрация"]},
-    {"query": "замена сцепления", "expect_any": ["CLUTCH REMOVAL"]},
+    {"query": "замена сцепления", "expect_any": ["CLUTCH REPLACEMENT"]},
 ]
 
 
@@ -152,7 +152,7 @@ def test_command_line(spark, files):
     listed = cli.run(spark, [ix, "--list-sources"])
     assert "owner [ru]: 1 units, 2 chunks" in listed
     out = cli.run(spark, [ix, "замена сцепления", "--synonyms", str(files / "synonyms.json"), "--top", "1"])
-    assert out[1].startswith("[1] Workshop manual — CLUTCH REMOVAL") and "id=workshop:u8:0  score=" in out[2]
+    assert out[1].startswith("[1] Workshop manual — CLUTCH REPLACEMENT") and "id=workshop:u8:0  score=" in out[2]
     assert any("clutch" in line.lower() for line in out[4:] or out[3:])
     out = cli.run(spark, [ix, "timing belt H4M", "--vehicle", str(files / "vehicle.json")])
     assert "найдено фрагментов: 0" in out[0] and any("H4M" in line for line in out[1:])

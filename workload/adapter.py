@@ -110,7 +110,7 @@ def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id",
         F.array_join(
             F.array(
-                F.lit("Jaune Noir Noir texte"),
+                F.lit("Jaune Cyan Noir fond"),
                 F.concat(
                     F.lit("RUS_UD"), F.floor(F.col("page_id") / 3) + 57000, F.lit("_"),
                     F.col("page_id") % 3,
@@ -138,18 +138,18 @@ def manual_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join(
             F.array(
                 F.concat(F.lit("- "), F.col("page_id"), F.lit(" -")),
-                F.lit("2. REMOVAL OPERATION"),
+                F.lit("4. ASSEMBLY STEPS"),
                 F.concat(
                     F.lit("Tighten to "),
                     F.when(F.col("page_id") % 2 == 0, F.lit("25 N.m .")).otherwise(F.lit("stop .")),
                 ),
                 F.when(
                     F.col("page_id") % 3 == 0,
-                    F.concat(F.lit("See ("), F.col("page_id") % 90 + 10, F.lit("A, Clutch) there.")),
+                    F.concat(F.lit("See ("), F.col("page_id") % 90 + 10, F.lit("A, Gearbox) there.")),
                 ),
                 L.html_paragraphs(F.col("html")),
-                F.lit("XSL version : 3.02 du 22/07/11"),
-                F.concat(F.lit("Repair-"), F.col("page_id"), F.lit("x01x03-1-6-1.xml")),
+                F.lit("XSL version : 4.10 du 01/02/15"),
+                F.concat(F.lit("Notice-"), F.col("page_id"), F.lit("x01x03-1-6-1.xml")),
             ),
             "\n",
         ).alias("text"),

@@ -198,7 +198,7 @@ ASCII_UPPER = (
 )
 HANDBOOK = f"""
 raw AS (
-  SELECT page_id, 'Jaune Noir Noir texte' || chr(10) || 'RUS_UD' || (page_id // 3 + 57000) || '_' || (page_id % 3) || chr(10)
+  SELECT page_id, 'Jaune Cyan Noir fond' || chr(10) || 'RUS_UD' || (page_id // 3 + 57000) || '_' || (page_id % 3) || chr(10)
     || '1 2' || chr(10) || (page_id % 9 + 1) || '.' || (page_id % 40) || chr(10)
     || {ASCII_UPPER} || ': part (' || (page_id % 3 + 1) || '/3)' || chr(10)
     || 'broken wo -' || chr(10) || 'rds are joined.' || chr(10) || '75' || chr(10)
@@ -233,11 +233,11 @@ head AS (
 
 MANUAL = f"""
 raw AS (
-  SELECT page_id, '- ' || page_id || ' -' || chr(10) || '2. REMOVAL OPERATION' || chr(10)
+  SELECT page_id, '- ' || page_id || ' -' || chr(10) || '4. ASSEMBLY STEPS' || chr(10)
     || 'Tighten to ' || CASE WHEN page_id % 2 = 0 THEN '25 N.m .' ELSE 'stop .' END || chr(10)
-    || coalesce(CASE WHEN page_id % 3 = 0 THEN 'See (' || (page_id % 90 + 10) || 'A, Clutch) there.' || chr(10) END, '')
-    || {PARAGRAPHS} || chr(10) || 'XSL version : 3.02 du 22/07/11' || chr(10)
-    || 'Repair-' || page_id || 'x01x03-1-6-1.xml' AS text FROM pages),
+    || coalesce(CASE WHEN page_id % 3 = 0 THEN 'See (' || (page_id % 90 + 10) || 'A, Gearbox) there.' || chr(10) END, '')
+    || {PARAGRAPHS} || chr(10) || 'XSL version : 4.10 du 01/02/15' || chr(10)
+    || 'Notice-' || page_id || 'x01x03-1-6-1.xml' AS text FROM pages),
 lines AS (
   SELECT page_id, unnest(range(len(l))) AS n, trim(unnest(l)) AS line
   FROM (SELECT page_id, string_split(text, chr(10)) AS l FROM raw))"""
