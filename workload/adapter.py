@@ -108,6 +108,7 @@ def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     title = F.regexp_replace(F.lower(L.html_title(F.col("html"))), r"[^a-z ]", "")
     return table(spark, sf_dir, "pages").select(
         "page_id",
+        F.regexp_extract("html", '<html lang="([a-z]+)"', 1).alias("lang"),
         F.array_join(
             F.array(
                 F.lit("Jaune Cyan Noir fond"),

@@ -461,13 +461,14 @@ SELECT token, stem FROM stemmed""",
 FROM (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS word FROM part)""",
     "contains_ci": "SELECT doc_id FROM documents WHERE contains(lower(text), 'the th')",
     "build_chunks": f"""WITH {PARSED_PAGES},
+langs AS (SELECT page_id, regexp_extract(html, '<html lang="([a-z]+)"', 1) AS doc FROM pages),
 u AS (
-  SELECT page_id // 3 AS unit, min(page_id) AS first_page, max(page_id) AS last_page,
+  SELECT doc, doc || ':uRUS_UD' || (page_id // 3 + 57000) AS unit, min(page_id) AS first_page, max(page_id) AS last_page,
     arg_min(regexp_replace(section, ' *\\(\\d+/\\d+\\) *$', ''), page_id) AS section,
     min(CAST(split_part(page_label, '.', 1) AS INTEGER)) AS chapter,
     string_agg({DEHYPHEN.format(t='body')}, chr(10) ORDER BY page_id) AS text
-  FROM head GROUP BY 1),{packed('u', 'unit', rules.CHUNK_TARGET)}
-SELECT 'book:uRUS_UD' || (unit + 57000) || ':' || i AS id, 'A book' AS doc_title, section, chapter,
+  FROM head JOIN langs USING (page_id) GROUP BY 1, 2),{packed('u', 'unit', rules.CHUNK_TARGET)}
+SELECT unit || ':' || i AS id, 'Book in ' || doc AS doc_title, section, chapter,
   CAST(first_page AS INTEGER) AS pdf_page, CAST(last_page AS INTEGER) AS pdf_page_end,
   len(parts) AS unit_parts,
   CASE WHEN length(parts[i + 1]) < 40 THEN section || chr(10) || parts[i + 1] ELSE parts[i + 1] END AS text

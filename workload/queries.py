@@ -300,7 +300,7 @@ def line_classify(spark, sf):
 @query
 def noise_lines(spark, sf):
     """What is left of both page layouts once the publisher's layout lines are dropped."""
-    both = A.page_texts(spark, sf).unionByName(A.manual_texts(spark, sf))
+    both = A.page_texts(spark, sf).drop("lang").unionByName(A.manual_texts(spark, sf))
     kept = F.filter(
         L.page_lines(F.col("text")), lambda l: ~(L.is_handbook_noise(l) | L.is_manual_noise(l))
     )
@@ -378,11 +378,10 @@ def chunk_page(spark, sf):
 def build_chunks(spark, sf):
     """Handbook pages all the way: parsed, gathered by printed section id, titled, cut."""
     pages = A.page_texts(spark, sf).select(
-        F.lit("book").alias("doc"), F.lit("xx").alias("lang"),
-        F.col("page_id").alias("pdf_page"), "text",
+        F.col("lang").alias("doc"), "lang", F.col("page_id").alias("pdf_page"), "text"
     )
     units_ = build.units_by_layout_id(build.parse_handbook(pages))
-    titles = pages.select("doc", F.lit("A book").alias("doc_title")).distinct()
+    titles = pages.select("doc", F.concat(F.lit("Book in "), "lang").alias("doc_title")).distinct()
     return build.chunk_units(units_, titles).select(
         "id", "doc_title", "section", "chapter", "pdf_page", "pdf_page_end",
         F.col("unit_parts").cast("bigint").alias("unit_parts"), "text",
