@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontamination import find_contamination
+from .languages import fit_trigrams, identify_languages, markup_language
 from .licenses import scan_licenses
+from .near_duplicates import near_duplicate_classes
 from .secrets import scan_secrets
 from .tables import table
 from .url_lists import host_of, judge_captures
@@ -21,6 +23,20 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_classes(table(spark, sf_dir, "documents"))
+
+
+def op6_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    langs, model = fit_trigrams(table(spark, sf_dir, "documents"))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    found = identify_languages(
+        pages.withColumn("markup", markup_language(F.col("html"))), langs, model, text_col="html", declared=F.col("markup"),
+        host=host_of(F.col("url")), html=True, keep_text=False,
+    )
+    return found.drop("markup")
+
+
 def filter_list(pages: DataFrame) -> DataFrame:
     """Dated statements about every host, its parent domain, and a path of it.
 
@@ -53,5 +69,5 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_decontamination, op7_url_lists, op8_secrets, op9_licenses)
+    f.__name__: f for f in (op2_decontamination, op3_minhash, op6_languages, op7_url_lists, op8_secrets, op9_licenses)
 }
