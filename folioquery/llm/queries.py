@@ -11,6 +11,7 @@ from .decontamination import find_contamination
 from .languages import fit_trigrams, identify_languages, markup_language
 from .licenses import scan_licenses
 from .near_duplicates import near_duplicate_classes
+from .packing import pack
 from .secrets import scan_secrets
 from .tables import table
 from .url_lists import host_of, judge_captures
@@ -27,6 +28,10 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_classes(table(spark, sf_dir, "documents"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def op6_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     langs, model = fit_trigrams(table(spark, sf_dir, "documents"))
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
@@ -69,5 +74,5 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_decontamination, op3_minhash, op6_languages, op7_url_lists, op8_secrets, op9_licenses)
+    f.__name__: f for f in (op2_decontamination, op3_minhash, op5_packing, op6_languages, op7_url_lists, op8_secrets, op9_licenses)
 }
