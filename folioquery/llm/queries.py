@@ -12,6 +12,7 @@ from .languages import fit_trigrams, identify_languages, markup_language
 from .licenses import scan_licenses
 from .near_duplicates import near_duplicate_classes
 from .packing import pack
+from .repeated_text import remove_repeats
 from .secrets import scan_secrets
 from .tables import table
 from .url_lists import host_of, judge_captures
@@ -19,6 +20,10 @@ from .url_lists import host_of, judge_captures
 HORIZON = 360
 
 
+def op1_suffix_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -74,5 +79,5 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_decontamination, op3_minhash, op5_packing, op6_languages, op7_url_lists, op8_secrets, op9_licenses)
+    f.__name__: f for f in (op1_suffix_merge, op2_decontamination, op3_minhash, op5_packing, op6_languages, op7_url_lists, op8_secrets, op9_licenses)
 }
