@@ -13,9 +13,11 @@ from .licenses import scan_licenses
 from .near_duplicates import near_duplicate_classes
 from .packing import pack
 from .repeated_text import remove_repeats
+from .scoring import score_texts
 from .secrets import scan_secrets
 from .tables import table
 from .url_lists import host_of, judge_captures
+from .vector_links import link_vectors
 
 HORIZON = 360
 
@@ -33,6 +35,10 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_classes(table(spark, sf_dir, "documents"))
 
 
+def op4_attention_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
@@ -78,6 +84,10 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents")).drop("hits")
 
 
+def op10_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_suffix_merge, op2_decontamination, op3_minhash, op5_packing, op6_languages, op7_url_lists, op8_secrets, op9_licenses)
+    f.__name__: f for f in (op1_suffix_merge, op2_decontamination, op3_minhash, op4_attention_scores, op5_packing, op6_languages, op7_url_lists, op8_secrets, op9_licenses, op10_vector_links)
 }
