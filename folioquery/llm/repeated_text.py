@@ -39,7 +39,7 @@ from .words import Rolling
 WIDTH, SEED = 200, 64
 STRETCH = 1 << 20  # window starts hashed at once
 MANY = 4000  # different contexts of a seed that are merged in one task
-BATCH = 1 << 18  # bytes of contexts merged together
+BATCH = 1 << 16  # bytes of contexts merged together; block numbers then fit 16 bits
 _NO_ID = -(1 << 63)
 
 
@@ -155,10 +155,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     data = as_bytes(text_col)
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64(data).alias("t"), data.alias("data"))
     found = _occurrences(texts)
-    weights = found.groupBy("seed", "ctx").agg(F.count(F.lit(1)).alias("n"))
-    seeds = weights.groupBy("seed").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds")).filter("total > 1")
-    repeated = weights.join(seeds.select("seed", "kinds"), "seed")
-    hits = stored(found.join(repeated, ["seed", "ctx"]), "repeats-hits")
+    # Most seeds occur once: only the others' contexts go further.
+    seeds = found.groupBy("seed").agg(F.count(F.lit(1)).alias("total")).filter("total > 1").select("seed")
+    again = stored(found.join(seeds, "seed", "left_semi"), "repeats-contexts")
+    weights = stored(again.groupBy("seed", "ctx").agg(F.count(F.lit(1)).alias("n")), "repeats-weights")
+    kinds = weights.groupBy("seed").agg(F.count(F.lit(1)).alias("kinds"))
+    hits = stored(again.join(weights.join(kinds, "seed"), ["seed", "ctx"]), "repeats-hits")
 
     several = hits.filter((F.col("kinds") > 1) & (F.col("kinds") <= MANY))
     # All occurrences of a context read the same: the first fields are of one and the same row.

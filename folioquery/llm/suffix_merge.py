@@ -13,7 +13,7 @@ from __future__ import annotations
 import numpy as np
 
 STEP = 8
-SHARD = 1 << 15  # rotations
+SHARD = 1 << 14  # rotations
 
 
 def _keys(data: np.ndarray, base: np.ndarray, off: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -46,7 +46,7 @@ def merge_transforms(symbols: np.ndarray, shard: np.ndarray, rounds: int) -> tup
     """
     n = len(symbols)
     entry = np.arange(n)
-    common, block = np.full(n, -1, np.int16), np.zeros(n, np.int64)
+    common, block = np.full(n, -1, np.int16), np.zeros(n, np.int32)
     common[:1] = 0
     for r in range(rounds):
         symbol = symbols[entry]
@@ -55,7 +55,8 @@ def merge_transforms(symbols: np.ndarray, shard: np.ndarray, rounds: int) -> tup
         parted = (symbol[1:] != symbol[:-1]) | (block[1:] != block[:-1])
         fresh = np.flatnonzero(parted & (common[1:] < 0)) + 1
         common[fresh] = r
-        block = np.concatenate([[0], np.cumsum(parted)])
+        block = np.zeros(n, np.int32)
+        np.cumsum(parted, out=block[1:])
         # Within a shard, entries keep their order: its k-th place is its k-th entry.
         entry = np.empty(n, np.int64)
         entry[np.argsort(shard, kind="stable")] = np.arange(n)
@@ -83,7 +84,8 @@ def repeated_starts(strings: list[bytes], weights: list[int], width: int) -> lis
     distinct, symbol = np.unique(keys, return_inverse=True)
     symbol = symbol.astype(np.uint16 if len(distinct) <= 1 << 16 else np.uint32)
     before = base + (off - STEP) % size
-    shard = np.repeat(np.unique(shard_of, return_inverse=True)[1], lengths).astype(np.uint16)
+    shard = np.repeat(np.unique(shard_of, return_inverse=True)[1], lengths)
+    shard = shard.astype(np.uint8 if shard.max() < 256 else np.uint16)
     entry, common = merge_transforms(symbol[before[places]], shard[places], width // STEP)
     rotation = places[entry]
     interval = np.cumsum(common >= 0)
