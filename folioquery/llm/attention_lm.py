@@ -24,7 +24,8 @@ def init(counts: np.ndarray, seed: int = 7) -> dict[str, np.ndarray]:
     cube = full.reshape(BASE, BASE, BASE)
     with np.errstate(divide="ignore"):
         bias = [np.log(cube.sum((1, 2))), np.log(cube.sum(2)), np.log(cube.reshape(-1, BASE))]
-    bias = [np.maximum(b, -1e4).astype(np.float32) for b in bias]
+    # Log shares, so that scores stay near zero and need no shift before exp; no share is -1e4.
+    bias = [np.maximum(b - np.log(np.maximum(np.exp(b).sum(-1, keepdims=True), 1e-9)), -1e4).astype(np.float32) for b in bias]
     normal = lambda *shape, scale=0.1: rng.normal(0, scale, shape).astype(np.float32)
     p = {"E": normal(IDS, DIM, scale=0.3), "R": np.zeros(2 * BLOCK, np.float32)}
     p |= {k: normal(DIM, DIM, scale=0.25) for k in ("Wq", "Wk", "Wv", "Wo")}
@@ -62,11 +63,11 @@ def _shift(a: np.ndarray) -> np.ndarray:
 def _attend(p, x, follows):
     e = p["E"][x]
     q, k, v = e @ p["Wq"] * np.float32(DIM**-0.5), _shift(e @ p["Wk"]), _shift(e @ p["Wv"])
-    score = q @ k.transpose(0, 2, 1) + p["R"][_AGO]
-    allowed = _CAUSAL & ((_J >= BLOCK) | follows[:, None, None])
-    score = np.where(allowed, score, np.float32(-1e9))
-    score -= score.max(axis=2, keepdims=True)
-    a = np.exp(score)
+    a = q @ k.transpose(0, 2, 1)
+    a += p["R"][_AGO]
+    np.exp(a, out=a)
+    a *= _CAUSAL
+    a[~follows, :, :BLOCK] = 0
     a /= a.sum(axis=2, keepdims=True)
     o = a @ v
     return e, q, k, v, a, o, e + o @ p["Wo"]
@@ -80,11 +81,12 @@ def _digits(p, h, y):
     biases = (p["b0"], p["b1"][d[0]], p["b2"][d[0] * BASE + d[1]])
     total, parts, row = np.zeros(len(y)), [], np.arange(len(y))
     for i in range(3):
-        z = states[i] @ p[f"U{i}"] + biases[i]
-        z -= z.max(axis=1, keepdims=True)
-        s = np.exp(z)
-        norm = s.sum(axis=1)
-        total += z[row, d[i]] - np.log(norm)
+        s = states[i] @ p[f"U{i}"]
+        s += biases[i]
+        total += s[row, d[i]]
+        np.exp(s, out=s)
+        norm = s @ np.ones(BASE, s.dtype)
+        total -= np.log(norm)
         parts.append((states[i], s, norm, d[i]))
     return total, parts
 

@@ -33,7 +33,7 @@ SHARE = 0.85  # of a token's probability that comes from the base
 MAX_WORDS = 300_000  # encoded words a worker keeps
 _BOUNDARY, _END_ID = (220).to_bytes(2, "little"), lm.END.to_bytes(2, "little")  # a space ends each word
 _END = b""  # no word is empty
-_HELD_BLOCKS = 4096  # blocks scored at once
+_HELD_BLOCKS = 512  # blocks scored at once
 
 
 def tokens_of(data: bytes) -> list[bytes]:
