@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from .lets import let
+from .text import fold
 
 
 def page_range(first: Column, last: Column) -> Column:
@@ -74,7 +75,7 @@ def snippet(text: Column, terms: Column, width: int = 240) -> Column:
         )
 
     hits = let(
-        F.lower(text),
+        fold(text),
         lambda low: F.filter(F.transform(terms, lambda t: F.position(t, low)), lambda p: p > 0),
     )
     return let(F.coalesce(F.array_min(hits), F.lit(1)), window)

@@ -86,23 +86,23 @@ def has_torque(text: Column) -> Column:
     return text.rlike(rules.TORQUE_VALUE)
 
 
+def without_lines(lines: Column, *chosen: Column) -> Column:
+    """Lines without the first occurrence of each chosen one; equal later lines stay."""
+    places = F.array(*[F.coalesce(F.array_position(lines, line), F.lit(0)) for line in chosen])
+    return let(places, lambda at: F.filter(lines, lambda l, i: ~F.array_contains(at, (i + 1).cast("long"))))
+
+
 def parse_page(text: Column) -> Column:
     """Handbook page: ``struct<page_label, chapter, section, text>``."""
 
     def record(lines: Column) -> Column:
         label = first_matching(lines, rules.PAGE_LABEL_LINE)
-        body = F.filter(
-            lines,
-            lambda l: ~(
-                is_callout(l)
-                | is_heading(l)
-                | l.rlike(rules.PAGE_LABEL_LINE)
-            ),
-        )
+        heading = first_matching(lines, rules.HEADING_LINE)
+        body = F.filter(without_lines(lines, label, heading), lambda l: ~is_callout(l))
         return F.struct(
             label.alias("page_label"),
             F.split_part(label, F.lit("."), F.lit(1)).try_cast("int").alias("chapter"),
-            first_matching(lines, rules.HEADING_LINE).alias("section"),
+            heading.alias("section"),
             join_hyphens(F.array_join(body, "\n")).alias("text"),
         )
 
@@ -118,15 +118,16 @@ def parse_manual_page(text: Column) -> Column:
     """
 
     def record(lines: Column) -> Column:
-        body = F.filter(lines, lambda l: ~(l.rlike(rules.STEP_LINE) | is_heading(l)))
-        clean = join_hyphens(F.array_join(body, "\n"))
+        heading = first_matching(lines, rules.HEADING_LINE)
+        body = F.filter(without_lines(lines, heading), lambda l: ~l.rlike(rules.STEP_LINE))
+        whole = join_hyphens(F.array_join(lines, "\n"))
         step = F.regexp_extract(first_matching(lines, rules.STEP_LINE), rules.STEP_LINE, 1)
         return F.struct(
             step.try_cast("int").alias("step"),
-            first_matching(lines, rules.HEADING_LINE).alias("section"),
-            system_code(clean).alias("section_src"),
-            has_torque(clean).alias("has_torque"),
-            clean.alias("text"),
+            heading.alias("section"),
+            system_code(whole).alias("section_src"),
+            has_torque(whole).alias("has_torque"),
+            join_hyphens(F.array_join(body, "\n")).alias("text"),
         )
 
     kept = F.filter(page_lines(text), lambda l: ~is_manual_noise(l))

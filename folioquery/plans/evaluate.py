@@ -36,17 +36,13 @@ def gate_hits(
     vehicle: Vehicle,
     synonyms: Dictionary | None = None,
     params: SearchParams = SearchParams(),
-    most: int = 100,
 ) -> DataFrame:
-    """Hits of all questions in one plan, each question cut at its own ``top_k``.
-
-    ``most`` is the largest ``top_k`` a case may set.
-    """
+    """Hits of all questions in one plan, each question cut at its own ``top_k``."""
+    most, bound = cases.agg(F.coalesce(F.max("top_k"), F.lit(1)), F.coalesce(F.sum("top_k"), F.lit(0))).first()
     hits = S.search(index, gate_queries(cases, vehicle), synonyms, top_k=most, params=params)
     kept = hits.join(cases.select("query_id", "top_k"), "query_id").filter(
         F.col("rank") <= F.col("top_k")
     )
-    bound = cases.agg(F.sum("top_k")).first()[0] or 0
     return S.with_chunks(index, kept, params, bound)
 
 

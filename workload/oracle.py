@@ -225,11 +225,14 @@ DEHYPHEN = r"regexp_replace({t}, '(\p{{L}}) ?-\n(\p{{Ll}})', '\1\2', 'g')"
 
 PARSED_PAGES = f"""{HANDBOOK},
 kept AS (SELECT * FROM lines WHERE NOT {IS_NOISE}),
+chosen AS (
+  SELECT page_id, arg_min(line, n) FILTER ({IS_LABEL}) AS page_label, arg_min(line, n) FILTER ({is_heading()}) AS section,
+    min(n) FILTER ({IS_LABEL}) AS label_n, min(n) FILTER ({is_heading()}) AS head_n
+  FROM kept GROUP BY page_id),
 head AS (
-  SELECT page_id, arg_min(line, n) FILTER ({IS_LABEL}) AS page_label,
-    arg_min(line, n) FILTER ({is_heading()}) AS section,
-    string_agg(line, chr(10) ORDER BY n) FILTER (NOT ({IS_LABEL} OR {IS_CALLOUT} OR {is_heading()})) AS body
-  FROM kept GROUP BY page_id)"""
+  SELECT page_id, any_value(page_label) AS page_label, any_value(section) AS section,
+    string_agg(line, chr(10) ORDER BY n) FILTER (n IS DISTINCT FROM label_n AND n IS DISTINCT FROM head_n AND NOT {IS_CALLOUT}) AS body
+  FROM kept JOIN chosen USING (page_id) GROUP BY page_id)"""
 
 MANUAL = f"""
 raw AS (
@@ -478,16 +481,19 @@ SELECT page_id, page_label, CAST(split_part(page_label, '.', 1) AS INTEGER) AS c
   {DEHYPHEN.format(t='body')} AS text FROM head""",
     "parse_manual_page": f"""WITH {MANUAL},
 kept AS (SELECT * FROM lines WHERE NOT {IS_FOOTER}),
-head AS (
+chosen AS (
   SELECT page_id, arg_min(line, n) FILTER (regexp_matches(line, '{rules.STEP_LINE}')) AS step_line,
-    arg_min(line, n) FILTER ({is_heading()}) AS section,
-    string_agg(line, chr(10) ORDER BY n)
-      FILTER (NOT (regexp_matches(line, '{rules.STEP_LINE}') OR {is_heading()})) AS body
+    arg_min(line, n) FILTER ({is_heading()}) AS section, min(n) FILTER ({is_heading()}) AS head_n
   FROM kept GROUP BY page_id),
-clean AS (SELECT *, {DEHYPHEN.format(t='body')} AS text FROM head)
+head AS (
+  SELECT page_id, any_value(step_line) AS step_line, any_value(section) AS section, string_agg(line, chr(10) ORDER BY n) AS every,
+    string_agg(line, chr(10) ORDER BY n)
+      FILTER (NOT regexp_matches(line, '{rules.STEP_LINE}') AND n IS DISTINCT FROM head_n) AS body
+  FROM kept JOIN chosen USING (page_id) GROUP BY page_id),
+clean AS (SELECT *, {DEHYPHEN.format(t='body')} AS text, {DEHYPHEN.format(t='every')} AS whole FROM head)
 SELECT page_id, TRY_CAST(regexp_extract(step_line, '{rules.STEP_LINE}', 1) AS INTEGER) AS step, section,
-  nullif(regexp_extract(text, '{rules.SYSTEM_CODE}', 1), '') AS section_src,
-  regexp_matches(text, '{rules.TORQUE_VALUE}') AS has_torque, text FROM clean""",
+  nullif(regexp_extract(whole, '{rules.SYSTEM_CODE}', 1), '') AS section_src,
+  regexp_matches(whole, '{rules.TORQUE_VALUE}') AS has_torque, text FROM clean""",
     "line_classify": f"""WITH {HANDBOOK} SELECT CASE WHEN length(line) = 0 THEN 'blank' WHEN {IS_LABEL} THEN 'label'
   WHEN {IS_NOISE} OR {IS_FOOTER} THEN 'noise' WHEN {IS_CALLOUT} THEN 'callout'
   WHEN {is_heading()} THEN 'heading' ELSE 'text' END AS line_class, count(*) AS n FROM lines GROUP BY 1""",
