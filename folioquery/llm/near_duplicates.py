@@ -9,12 +9,16 @@ J(x, y) = sum_i 1 / sum_j max(x_j / x_i, y_j / y_i).
 Registers are grouped in bands; documents that agree in a band are candidates, and only
 an exact similarity of ``threshold`` or more makes a link. Classes are the components.
 
-Work stays linear in a bucket of copies: equal weighted sets are one node from the start,
-and members of a bucket are compared with a few centres picked by hash, not with each
-other. Members left outside the bucket's largest class are then compared with every
-member of other classes that the triangle inequality (1 - J is a metric, and all have a
-distance to the bucket's centre) does not rule out, so no candidate link between classes
-is lost. No bucket, class or link list is collected.
+Equal weighted sets are one node from the start, and members of a bucket are compared
+with a centre picked by hash, which settles most of a group of copies. Members left
+outside the bucket's largest class then meet the members of other classes, and only pairs
+that two exact bounds admit leave the join: the triangle inequality (1 - J is a metric,
+and all have a distance to the bucket's centre), and a parity sketch. The sketch holds one
+bit for each residue of the element hashes, so two sketches differ in at most as many bits
+as the sets have elements not in common, and J is at most one less the share of those (see
+``_most_apart``). A pair that shares several bands is made in the first of them, and large
+buckets are dealt as a grid of cells. Thus no candidate link between classes is lost, and
+no bucket, class or link list is collected.
 
 Defined cases: null or empty text and text without words have no elements and are classes
 of their own; fewer than five words are one element; rows that share an id share a class;
@@ -28,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graphs import components
@@ -37,6 +41,7 @@ from .words import mix, shingles
 
 REGISTERS, ROWS = 100, 4  # 25 bands: a pair at 0.8 is missed with probability (1 - 0.8**4)**25 = 2e-6
 THRESHOLD = 0.8
+CELL = 200  # members on each side of a grid cell of a large bucket
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -80,17 +85,55 @@ def probability_jaccard(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, n
     return float((1.0 / inverse).sum())
 
 
+def parity_sketch(elements: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parity of the elements at each residue modulo a power of two of at least twice
+    their number, as 64-bit words; and the same modulo its half."""
+    bits = max(128, 1 << (2 * len(elements) - 1).bit_length())
+    odd = np.bincount((elements % np.uint64(bits)).astype(np.int64), minlength=bits).astype(np.uint8) & 1
+    fine = np.packbits(odd).view(np.int64)
+    return fine, fine[: len(fine) // 2] ^ fine[len(fine) // 2 :]
+
+
+def _unlike(x: Column, y: Column) -> Column:
+    return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, d: n + d)
+
+
+def _apart(x: str, y: str) -> Column:
+    """Elements that two sets certainly do not have in common. Sketches more than one
+    size apart tell nothing."""
+    fine_x, fine_y, half_x, half_y = (F.col(f"{kind}_{of}") for kind in ("fine", "half") for of in (x, y))
+    return (
+        F.when(F.size(fine_x) == F.size(fine_y), _unlike(fine_x, fine_y))
+        .when(F.size(half_x) == F.size(fine_y), _unlike(half_x, fine_y))
+        .when(F.size(fine_x) == F.size(half_y), _unlike(fine_x, half_y))
+        .otherwise(0)
+    )
+
+
+def _most_apart(x: str, y: str, far: float) -> Column:
+    """Elements not in common that still allow 1 - J <= far.
+
+    With m = sum_j max(x_j, y_j), J is at most 1 - (weight not in common) / m. As J is the
+    chance of equal picks, the normalised sets differ by at most ``far`` in total variation,
+    so m is at most the larger total plus ``far`` times the smaller.
+    """
+    return far * (F.greatest(f"total_{x}", f"total_{y}") + far * F.least(f"total_{x}", f"total_{y}"))
+
+
 def _signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, print_a, print_b, bands); no elements: null prints and no bands."""
+    """(doc_id, print_a, print_b, bands, total, fine, half); no elements: null prints and no bands."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, bands = [], [], []
+            a, b, bands, total, fine, half = [], [], [], [], [], []
             for data in batch.column(1):
                 elements, weights = shingles(data.as_py())
                 if not elements.size:
-                    a.append(None), b.append(None), bands.append([])
+                    a.append(None), b.append(None), bands.append([]), total.append(0), fine.append([]), half.append([])
                     continue
+                for held, words in zip((fine, half), parity_sketch(elements), strict=True):
+                    held.append(words)
+                total.append(int(weights.sum()))
                 both = mix(elements ^ mix(weights.astype(np.uint64)))
                 a.append(int(both.sum().view(np.int64)))
                 b.append(int((both * both + mix(both)).sum().view(np.int64)))
@@ -100,11 +143,15 @@ def _signatures(docs: DataFrame) -> DataFrame:
                     key = mix(key + rows[:, r])
                 bands.append(key.view(np.int64).tolist())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
-                names=["doc_id", "print_a", "print_b", "bands"],
+                [batch.column(0), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(bands, longs)]
+                + [pa.array(total, pa.int64()), pa.array(fine, longs), pa.array(half, longs)],
+                names=["doc_id", "print_a", "print_b", "bands", "total", "fine", "half"],
             )
 
-    return docs.mapInArrow(sign, "doc_id long, print_a long, print_b long, bands array<long>")
+    longs = pa.list_(pa.int64())
+    return docs.mapInArrow(
+        sign, "doc_id long, print_a long, print_b long, bands array<long>, total long, fine array<long>, half array<long>"
+    )
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -125,6 +172,28 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(compare, "a long, b long, distance double")
 
 
+def _admitted(mixed: DataFrame, far: float) -> DataFrame:
+    """Pairs (a, b), a < b, of members of different classes, one of them outside its
+    bucket's largest class, that neither bound rules out; each pair once."""
+    own = F.pmod(F.xxhash64("node"), F.col("cells")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("cells") - 1))
+
+    def side(of: str) -> list[Column]:
+        names = {"node": of, "cls": f"cls_{of}", "d": f"d_{of}"} | {c: f"{c}_{of}" for c in ("bands", "total", "fine", "half")}
+        return [F.col(c).alias(to) for c, to in names.items()]
+
+    rest = mixed.filter("cls <> main").select("band", "key", own.alias("row"), every.alias("column"), *side("x"))
+    others = mixed.select("band", "key", own.alias("column"), every.alias("row"), (F.col("cls") == F.col("main")).alias("inside"), *side("y"))
+    earlier = F.arrays_overlap(*(F.slice(f"bands_{of}", 1, F.col("rest.band")) for of in "xy"))
+    same = [F.col(f"rest.{c}") == F.col(f"others.{c}") for c in ("band", "key", "row", "column")]
+    near = (
+        (F.col("cls_x") != F.col("cls_y")) & (F.col("inside") | (F.col("x") < F.col("y"))) & (F.abs(F.col("d_x") - F.col("d_y")) <= far)
+        & ~earlier & (_apart("x", "y") <= _most_apart("x", "y", far))
+    )
+    met = rest.alias("rest").join(others.alias("others"), [*same, near])
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: ``class_id`` is the smallest id of its class, ``class_size``
     counts its documents, ``kept`` marks the one with that id."""
@@ -132,7 +201,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), as_bytes(text_col).alias("data"))
     signed = stored(_signatures(texts), "minhash-signatures")
     nodes = signed.filter("doc_id is not null and print_a is not null").groupBy("print_a", "print_b").agg(
-        F.min("doc_id").alias("node"), F.first("bands").alias("bands")
+        F.min("doc_id").alias("node"), *(F.first(c).alias(c) for c in ("bands", "total", "fine", "half"))
     )
     nodes = stored(nodes, "minhash-nodes")
     members = nodes.select("node", F.posexplode("bands").alias("band", "key"))
@@ -158,13 +227,13 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     )
     placed = stored(placed, "minhash-placed")
     sizes = placed.groupBy("band", "key", "cls").agg(F.count(F.lit(1)).alias("n"))
-    main = sizes.groupBy("band", "key").agg(F.max(F.struct("n", F.col("cls").alias("main"))).alias("m"), F.count(F.lit(1)).alias("k"))
-    main = main.filter("k > 1").select("band", "key", F.col("m.main").alias("main"))
-    mixed = placed.join(main, ["band", "key"])
-    rest = mixed.filter("cls <> main").select("band", "key", F.col("node").alias("x"), F.col("cls").alias("cx"), F.col("d").alias("dx"))
-    others = mixed.select("band", "key", F.col("node").alias("y"), F.col("cls").alias("cy"), F.col("d").alias("dy"))
-    near = (F.col("cx") != F.col("cy")) & (F.abs(F.col("dx") - F.col("dy")) <= far)
-    cross = rest.join(others, ["band", "key"]).filter(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    main = sizes.groupBy("band", "key").agg(
+        F.max(F.struct("n", F.col("cls").alias("main"))).alias("m"), F.count(F.lit(1)).alias("k"), F.sum("n").alias("held")
+    )
+    main = main.filter("k > 1").select("band", "key", F.col("m.main").alias("main"), F.ceil(F.col("held") / CELL).cast("int").alias("cells"))
+    mixed = stored(placed.join(main, ["band", "key"]), "minhash-mixed")
+    marks = nodes.join(mixed.select("node").distinct(), "node", "left_semi").select("node", "bands", "total", "fine", "half")
+    cross = _admitted(mixed.join(marks, "node"), far)
     # Pairs that the first pass has measured are not measured again.
     known = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     second = stored(_verified(cross.join(known, ["a", "b"], "left_anti"), whole), "minhash-distances-2")

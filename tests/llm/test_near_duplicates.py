@@ -5,7 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from folioquery.llm.graphs import components
-from folioquery.llm.near_duplicates import near_duplicate_classes, probability_jaccard, probminhash
+from folioquery.llm.near_duplicates import _apart, _most_apart, near_duplicate_classes, parity_sketch, probability_jaccard, probminhash
 from folioquery.llm.words import shingles
 
 from .cases import ODD, documents, words
@@ -101,3 +101,27 @@ def test_components(spark):
     lone = {v for v in label if v not in got}
     assert all(got[v] == label[v] for v in got) and all(label[v] == v for v in lone)
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_sketches_rule_out_no_link(spark):
+    pick = random.Random(6)
+    base = " ".join(pick.choice("abcdefghijklmnop") for _ in range(300))
+    bags = [shingles(edited(base, pick, pick.choice([0, 0.01, 0.02, 0.03, 0.1])).encode()) for _ in range(40)]
+    bags += [shingles(" ".join(base.split()[:n]).encode()) for n in range(60, 300, 12)]
+    rows = []
+    for e, w in bags:
+        fine, half = parity_sketch(e)
+        rows.append((int(w.sum()), fine.tolist(), half.tolist()))
+    sets = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, total long, fine array<long>, half array<long>")
+    x, y = (sets.select(*(F.col(c).alias(f"{c}_{of}") for c in sets.columns)) for of in "xy")
+    met = x.join(y, F.col("i_x") < F.col("i_y")).select("i_x", "i_y", _apart("x", "y").alias("d"), _most_apart("x", "y", 0.2).alias("most"))
+    links = out = 0
+    for r in met.collect():
+        (ex, _), (ey, _) = bags[r.i_x], bags[r.i_y]
+        assert r.d <= len(np.setxor1d(ex, ey))
+        if probability_jaccard(bags[r.i_x], bags[r.i_y]) >= 0.8:
+            links += 1
+            assert r.d <= r.most + 1e-6
+        else:
+            out += r.d > r.most
+    assert links > 50 and out > 200
