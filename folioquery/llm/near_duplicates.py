@@ -86,9 +86,9 @@ def probability_jaccard(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, n
 
 
 def parity_sketch(elements: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Parity of the elements at each residue modulo a power of two of at least twice
-    their number, as 64-bit words; and the same modulo its half."""
-    bits = max(128, 1 << (2 * len(elements) - 1).bit_length())
+    """Parity of the elements at each residue modulo a power of two of at least eight
+    times their number, as 64-bit words; and the same modulo its half."""
+    bits = max(128, 1 << (8 * len(elements) - 1).bit_length())
     odd = np.bincount((elements % np.uint64(bits)).astype(np.int64), minlength=bits).astype(np.uint8) & 1
     fine = np.packbits(odd).view(np.int64)
     return fine, fine[: len(fine) // 2] ^ fine[len(fine) // 2 :]
@@ -115,25 +115,29 @@ def _most_apart(x: str, y: str, far: float) -> Column:
 
     With m = sum_j max(x_j, y_j), J is at most 1 - (weight not in common) / m. As J is the
     chance of equal picks, the normalised sets differ by at most ``far`` in total variation,
-    so m is at most the larger total plus ``far`` times the smaller.
+    so m is at most the larger total plus ``far`` times the smaller. Also 2 m is the totals
+    and the distance sum_j |x_j - y_j|, which is at most the elements not in common and the
+    weight beyond one of each element (``extra``).
     """
-    return far * (F.greatest(f"total_{x}", f"total_{y}") + far * F.least(f"total_{x}", f"total_{y}"))
+    total, extra = F.col(f"total_{x}") + F.col(f"total_{y}"), F.col(f"extra_{x}") + F.col(f"extra_{y}")
+    varied = F.greatest(f"total_{x}", f"total_{y}") + far * F.least(f"total_{x}", f"total_{y}")
+    return F.least(far * varied, far * (total + extra) / (2.0 - far))
 
 
 def _signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, print_a, print_b, bands, total, fine, half); no elements: null prints and no bands."""
+    """(doc_id, print_a, print_b, bands, total, extra, fine, half); no elements: null prints and no bands."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, bands, total, fine, half = [], [], [], [], [], []
+            a, b, bands, total, extra, fine, half = [], [], [], [], [], [], []
             for data in batch.column(1):
                 elements, weights = shingles(data.as_py())
                 if not elements.size:
-                    a.append(None), b.append(None), bands.append([]), total.append(0), fine.append([]), half.append([])
+                    a.append(None), b.append(None), bands.append([]), total.append(0), extra.append(0), fine.append([]), half.append([])
                     continue
                 for held, words in zip((fine, half), parity_sketch(elements), strict=True):
                     held.append(words)
-                total.append(int(weights.sum()))
+                total.append(int(weights.sum())), extra.append(int(weights.sum()) - len(weights))
                 both = mix(elements ^ mix(weights.astype(np.uint64)))
                 a.append(int(both.sum().view(np.int64)))
                 b.append(int((both * both + mix(both)).sum().view(np.int64)))
@@ -144,13 +148,13 @@ def _signatures(docs: DataFrame) -> DataFrame:
                 bands.append(key.view(np.int64).tolist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(bands, longs)]
-                + [pa.array(total, pa.int64()), pa.array(fine, longs), pa.array(half, longs)],
-                names=["doc_id", "print_a", "print_b", "bands", "total", "fine", "half"],
+                + [pa.array(total, pa.int64()), pa.array(extra, pa.int64()), pa.array(fine, longs), pa.array(half, longs)],
+                names=["doc_id", "print_a", "print_b", "bands", "total", "extra", "fine", "half"],
             )
 
     longs = pa.list_(pa.int64())
     return docs.mapInArrow(
-        sign, "doc_id long, print_a long, print_b long, bands array<long>, total long, fine array<long>, half array<long>"
+        sign, "doc_id long, print_a long, print_b long, bands array<long>, total long, extra long, fine array<long>, half array<long>"
     )
 
 
@@ -179,7 +183,7 @@ def _admitted(mixed: DataFrame, far: float) -> DataFrame:
     every = F.explode(F.sequence(F.lit(0), F.col("cells") - 1))
 
     def side(of: str) -> list[Column]:
-        names = {"node": of, "cls": f"cls_{of}", "d": f"d_{of}"} | {c: f"{c}_{of}" for c in ("bands", "total", "fine", "half")}
+        names = {"node": of, "cls": f"cls_{of}", "d": f"d_{of}"} | {c: f"{c}_{of}" for c in ("bands", "total", "extra", "fine", "half")}
         return [F.col(c).alias(to) for c, to in names.items()]
 
     rest = mixed.filter("cls <> main").select("band", "key", own.alias("row"), every.alias("column"), *side("x"))
@@ -201,7 +205,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), as_bytes(text_col).alias("data"))
     signed = stored(_signatures(texts), "minhash-signatures")
     nodes = signed.filter("doc_id is not null and print_a is not null").groupBy("print_a", "print_b").agg(
-        F.min("doc_id").alias("node"), *(F.first(c).alias(c) for c in ("bands", "total", "fine", "half"))
+        F.min("doc_id").alias("node"), *(F.first(c).alias(c) for c in ("bands", "total", "extra", "fine", "half"))
     )
     nodes = stored(nodes, "minhash-nodes")
     members = nodes.select("node", F.posexplode("bands").alias("band", "key"))
@@ -232,7 +236,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     )
     main = main.filter("k > 1").select("band", "key", F.col("m.main").alias("main"), F.ceil(F.col("held") / CELL).cast("int").alias("cells"))
     mixed = stored(placed.join(main, ["band", "key"]), "minhash-mixed")
-    marks = nodes.join(mixed.select("node").distinct(), "node", "left_semi").select("node", "bands", "total", "fine", "half")
+    marks = nodes.join(mixed.select("node").distinct(), "node", "left_semi").select("node", "bands", "total", "extra", "fine", "half")
     cross = _admitted(mixed.join(marks, "node"), far)
     # Pairs that the first pass has measured are not measured again.
     known = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))

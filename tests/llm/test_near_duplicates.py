@@ -111,8 +111,8 @@ def test_sketches_rule_out_no_link(spark):
     rows = []
     for e, w in bags:
         fine, half = parity_sketch(e)
-        rows.append((int(w.sum()), fine.tolist(), half.tolist()))
-    sets = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, total long, fine array<long>, half array<long>")
+        rows.append((int(w.sum()), int(w.sum()) - len(w), fine.tolist(), half.tolist()))
+    sets = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, total long, extra long, fine array<long>, half array<long>")
     x, y = (sets.select(*(F.col(c).alias(f"{c}_{of}") for c in sets.columns)) for of in "xy")
     met = x.join(y, F.col("i_x") < F.col("i_y")).select("i_x", "i_y", _apart("x", "y").alias("d"), _most_apart("x", "y", 0.2).alias("most"))
     links = out = 0
