@@ -10,10 +10,10 @@ Registers are grouped in bands; documents that agree in a band are candidates, a
 an exact similarity of ``threshold`` or more makes a link. Classes are the components.
 
 Equal weighted sets are one node from the start, and members of a bucket are compared
-with a centre picked by hash, which settles most of a group of copies. Members left
-outside the bucket's largest class then meet the members of other classes, and only pairs
+with a centre picked by hash and, where classes are mixed, with one of the members that
+have most links, which settles most of a group of copies. Members left outside the bucket's largest class then meet the members of other classes, and only pairs
 that two exact bounds admit leave the join: the triangle inequality (1 - J is a metric,
-and all have a distance to the bucket's centre), and a parity sketch. The sketch holds one
+and all have distances to both centres), and a parity sketch. The sketch holds one
 bit for each residue of the element hashes, so two sketches differ in at most as many bits
 as the sets have elements not in common, and J is at most one less the share of those (see
 ``_most_apart``). A pair that shares several bands is made in the first of them, and large
@@ -176,6 +176,23 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(compare, "a long, b long, distance double")
 
 
+def _ordered(measured: DataFrame) -> DataFrame:
+    return measured.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance")
+
+
+def _mixed(buckets: DataFrame, classes: DataFrame) -> DataFrame:
+    """Members of the buckets with several classes, with their class ``cls``, the bucket's
+    largest class ``main`` and the number of ``cells`` on each side of its grid."""
+    placed = buckets.join(classes.withColumnRenamed("vertex", "node"), "node", "left")
+    placed = placed.withColumn("cls", F.coalesce("component", "node")).drop("component")
+    sizes = placed.groupBy("band", "key", "cls").agg(F.count(F.lit(1)).alias("n"))
+    main = sizes.groupBy("band", "key").agg(
+        F.max(F.struct("n", F.col("cls").alias("main"))).alias("m"), F.count(F.lit(1)).alias("k"), F.sum("n").alias("held")
+    )
+    main = main.filter("k > 1").select("band", "key", F.col("m.main").alias("main"), F.ceil(F.col("held") / CELL).cast("int").alias("cells"))
+    return placed.join(main, ["band", "key"])
+
+
 def _admitted(mixed: DataFrame, far: float) -> DataFrame:
     """Pairs (a, b), a < b, of members of different classes, one of them outside its
     bucket's largest class, that neither bound rules out; each pair once."""
@@ -183,7 +200,7 @@ def _admitted(mixed: DataFrame, far: float) -> DataFrame:
     every = F.explode(F.sequence(F.lit(0), F.col("cells") - 1))
 
     def side(of: str) -> list[Column]:
-        names = {"node": of, "cls": f"cls_{of}", "d": f"d_{of}"} | {c: f"{c}_{of}" for c in ("bands", "total", "extra", "fine", "half")}
+        names = {"node": of} | {c: f"{c}_{of}" for c in ("cls", "d", "e")} | {c: f"{c}_{of}" for c in ("bands", "total", "extra", "fine", "half")}
         return [F.col(c).alias(to) for c, to in names.items()]
 
     rest = mixed.filter("cls <> main").select("band", "key", own.alias("row"), every.alias("column"), *side("x"))
@@ -191,7 +208,8 @@ def _admitted(mixed: DataFrame, far: float) -> DataFrame:
     earlier = F.arrays_overlap(*(F.slice(f"bands_{of}", 1, F.col("rest.band")) for of in "xy"))
     same = [F.col(f"rest.{c}") == F.col(f"others.{c}") for c in ("band", "key", "row", "column")]
     near = (
-        (F.col("cls_x") != F.col("cls_y")) & (F.col("inside") | (F.col("x") < F.col("y"))) & (F.abs(F.col("d_x") - F.col("d_y")) <= far)
+        (F.col("cls_x") != F.col("cls_y")) & (F.col("inside") | (F.col("x") < F.col("y")))
+        & (F.abs(F.col("d_x") - F.col("d_y")) <= far) & (F.abs(F.col("e_x") - F.col("e_y")) <= far)
         & ~earlier & (_apart("x", "y") <= _most_apart("x", "y", far))
     )
     met = rest.alias("rest").join(others.alias("others"), [*same, near])
@@ -222,26 +240,32 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     first = stored(_verified(stars, whole), "minhash-distances")
     links = first.filter(F.col("distance") <= far).select("a", "b")
     classes = components(links)
+    mixed = stored(_mixed(buckets, classes), "minhash-mixed")
 
-    # Every member with its class and its distance to the bucket's centre.
-    placed = (
-        buckets.join(classes.withColumnRenamed("vertex", "node"), "node", "left")
-        .join(first.select(F.col("a").alias("node"), F.col("b").alias("centre"), "distance"), ["node", "centre"], "left")
-        .select("band", "key", "node", F.coalesce("component", "node").alias("cls"), F.coalesce("distance", F.lit(0.0)).alias("d"))
-    )
-    placed = stored(placed, "minhash-placed")
-    sizes = placed.groupBy("band", "key", "cls").agg(F.count(F.lit(1)).alias("n"))
-    main = sizes.groupBy("band", "key").agg(
-        F.max(F.struct("n", F.col("cls").alias("main"))).alias("m"), F.count(F.lit(1)).alias("k"), F.sum("n").alias("held")
+    # A second centre: one of the members with most links, picked by a hash among those of like number.
+    ends = links.select(F.col("a").alias("node")).unionAll(links.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+    tier = F.floor(F.log2(F.coalesce("degree", F.lit(0)) + 1))
+    hubs = mixed.join(ends, "node", "left").groupBy("band", "key").agg(
+        F.max(F.struct(tier.alias("t"), F.xxhash64("node", "band").alias("h"), "node")).alias("m")
     )
-    main = main.filter("k > 1").select("band", "key", F.col("m.main").alias("main"), F.ceil(F.col("held") / CELL).cast("int").alias("cells"))
-    mixed = stored(placed.join(main, ["band", "key"]), "minhash-mixed")
-    marks = nodes.join(mixed.select("node").distinct(), "node", "left_semi").select("node", "bands", "total", "extra", "fine", "half")
-    cross = _admitted(mixed.join(marks, "node"), far)
-    # Pairs that the first pass has measured are not measured again.
-    known = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    second = stored(_verified(cross.join(known, ["a", "b"], "left_anti"), whole), "minhash-distances-2")
-    more = second.filter(F.col("distance") <= far).select("a", "b")
+    mixed = stored(mixed.join(hubs.select("band", "key", F.col("m.node").alias("hub")), ["band", "key"]), "minhash-hubs")
+    spokes = mixed.filter("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    second = stored(_verified(spokes.join(_ordered(first), ["a", "b"], "left_anti"), whole), "minhash-distances-2")
+    measured = stored(_ordered(first).unionAll(second).groupBy("a", "b").agg(F.min("distance").alias("distance")), "minhash-measured")
+    links = measured.filter(F.col("distance") <= far).select("a", "b")
+    classes = components(links)
+
+    # What is left: members of different classes that the exact bounds admit and nothing has measured.
+    left = _mixed(mixed.select("band", "key", "node", "centre", "hub"), classes)
+    for other, name in (("centre", "d"), ("hub", "e")):
+        ends = [F.least("node", other).alias("a"), F.greatest("node", other).alias("b")]
+        found = left.select("*", *ends).join(measured.withColumnRenamed("distance", name), ["a", "b"], "left").drop("a", "b")
+        left = found.withColumn(name, F.when(F.col("node") == F.col(other), 0.0).otherwise(F.col(name)))
+    left = stored(left, "minhash-left")
+    marks = nodes.join(left.select("node").distinct(), "node", "left_semi").select("node", "bands", "total", "extra", "fine", "half")
+    cross = _admitted(left.join(marks, "node"), far)
+    third = stored(_verified(cross.join(measured, ["a", "b"], "left_anti"), whole), "minhash-distances-3")
+    more = third.filter(F.col("distance") <= far).select("a", "b")
     if not more.isEmpty():
         classes = components(links.unionByName(more))
 
