@@ -88,10 +88,13 @@ def global_pages(pages: DataFrame, parts: DataFrame) -> DataFrame:
 def bookmark_ranges(bookmarks: DataFrame) -> DataFrame:
     """``[page, next page)`` for each bookmark of a document.
 
-    Of several bookmarks on one page the deepest is kept: it opens the unit.
+    Several bookmarks on one page open one unit that carries all their titles,
+    outer levels first, so each of them can be found.
     """
+    titles = F.array_sort(F.collect_set(F.struct("level", "title")))
+    joined = F.array_join(F.transform(titles, lambda t: t["title"]), rules.TITLE_SEPARATOR)
     one_per_page = bookmarks.groupBy("doc", "page").agg(
-        F.max_by("title", F.struct("level", "title")).alias("title")
+        F.nullif(joined, F.lit("")).alias("title")
     )
     return next_value(one_per_page, "doc", "page", "next_page").select(
         "doc", "title", F.col("page").alias("first_page"), "next_page"
