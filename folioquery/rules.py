@@ -44,7 +44,7 @@ STEP_LINE = r"^- (\d+) -$"
 STYLESHEET_LINE = r"^XSL version\b.*$"
 XML_NAME_LINE = r"^[A-Za-z0-9-]*\d+x\d+[A-Za-z0-9-]*\.xml$"
 SYSTEM_CODE = r"\((\d{2}[A-Z], [^)]+)\)"
-TORQUE_VALUE = r"\d+(?:[.,]\d+)? *N\.? ?m\b"
+TORQUE_VALUE = r"\d+(?:[.,]\d+)? *(?:N[.·⋅]? ?m|Н[.·⋅]? ?м)(?:[^\p{L}\p{N}_]|$)"
 
 # ---------------------------------------------------------------------------
 # Tokens: decimals, then words with inner hyphens.
