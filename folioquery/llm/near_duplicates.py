@@ -85,10 +85,12 @@ def probability_jaccard(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, n
     return float((1.0 / inverse).sum())
 
 
-def parity_sketch(elements: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def parity_sketch(elements: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
     """Parity of the elements at each residue modulo a power of two of at least eight
-    times their number, as 64-bit words; and the same modulo its half."""
-    bits = max(128, 1 << (8 * len(elements) - 1).bit_length())
+    times their number and four times their ``total`` weight, as 64-bit words; and the same
+    modulo its half. Weight counts because the bound it is held against grows with weight:
+    few elements under a heavy one would else share residues long before they reach it."""
+    bits = max(128, 1 << (max(8 * len(elements), 4 * total) - 1).bit_length())
     odd = np.bincount((elements % np.uint64(bits)).astype(np.int64), minlength=bits).astype(np.uint8) & 1
     fine = np.packbits(odd).view(np.int64)
     return fine, fine[: len(fine) // 2] ^ fine[len(fine) // 2 :]
@@ -135,7 +137,7 @@ def _signatures(docs: DataFrame) -> DataFrame:
                 if not elements.size:
                     a.append(None), b.append(None), bands.append([]), total.append(0), extra.append(0), fine.append([]), half.append([])
                     continue
-                for held, words in zip((fine, half), parity_sketch(elements), strict=True):
+                for held, words in zip((fine, half), parity_sketch(elements, int(weights.sum())), strict=True):
                     held.append(words)
                 total.append(int(weights.sum())), extra.append(int(weights.sum()) - len(weights))
                 both = mix(elements ^ mix(weights.astype(np.uint64)))

@@ -108,9 +108,11 @@ def test_sketches_rule_out_no_link(spark):
     base = " ".join(pick.choice("abcdefghijklmnop") for _ in range(300))
     bags = [shingles(edited(base, pick, pick.choice([0, 0.01, 0.02, 0.03, 0.1])).encode()) for _ in range(40)]
     bags += [shingles(" ".join(base.split()[:n]).encode()) for n in range(60, 300, 12)]
+    heavy = "one line said over and over " * 60  # few elements, much weight
+    bags += [shingles((heavy + edited(base, pick, pick.choice([0.005, 0.02, 0.05]))).encode()) for _ in range(20)]
     rows = []
     for e, w in bags:
-        fine, half = parity_sketch(e)
+        fine, half = parity_sketch(e, int(w.sum()))
         rows.append((int(w.sum()), int(w.sum()) - len(w), fine.tolist(), half.tolist()))
     sets = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, total long, extra long, fine array<long>, half array<long>")
     x, y = (sets.select(*(F.col(c).alias(f"{c}_{of}") for c in sets.columns)) for of in "xy")
