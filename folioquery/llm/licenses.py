@@ -1,12 +1,15 @@
 """License scans with a positional index of rare words.
 
 Fixed license texts form an index: word -> (template, position). Corpus-wide
-document frequencies of the index words are counted first. For each file the
-licence words of highest IDF are looked up; every pair of a file position and a
+document frequencies of the index words are counted first. For each file and each template whose
+mandatory phrases all stand in it, that template's words of highest IDF are looked up, as
+many as leave too few others to reach the least score without them, so no start that
+would verify goes without votes. Every pair of a file position and a
 posting votes for a relative position (file start of the template), and a start with
 votes of several different rare words is verified: the template's mandatory phrases
 must stand in the aligned stretch, and the share of template words found near their
-place is the score. Base phrases are searched exactly and their labels stay.
+place is the score. If no voted start verifies, the starts within the slack of one are
+tried too. Base phrases are searched exactly and their labels stay.
 
 The index holds a few hundred words, whatever the corpus; that is its size bound.
 
@@ -57,7 +60,7 @@ TEMPLATES = [
      ["permission to use copy modify"]),
     ("unlicense", "This is free and unencumbered software released into the public domain.", ["free and unencumbered software"]),
 ]
-RARE_WORDS = 12  # licence words looked up per file
+RARE_WORDS = 12  # words of a template looked up at least, if the file has as many
 MIN_VOTES = 2  # different rare words that must agree on a start
 SLACK = 3  # words that a place may be off
 MIN_SCORE = 0.6
@@ -88,30 +91,50 @@ class Index:
 
     def lookup(self, words: list[bytes]) -> list[tuple[str, int, float]]:
         """Verified (label, start word, score), one for each template that is found."""
-        present = set(words) & self.postings.keys()
-        if len(present) < MIN_VOTES:
-            return []
-        # Ties at the last place all stay.
-        order = sorted(present, key=lambda w: (-self.idf[w], w))
-        least = self.idf[order[min(RARE_WORDS, len(order)) - 1]]
-        rare = {w for w in order if self.idf[w] >= least}
-        wanted = {t for w in rare for t, _ in self.postings[w] if all(set(p) <= present for p in self.templates[t][2])}
+        joined = b" " + b" ".join(words) + b" "
+        wanted = [t for t, (_, _, phrases) in enumerate(self.templates) if all(b" " + b" ".join(p) + b" " in joined for p in phrases)]
         if not wanted:
             return []
+        present = set(words) & self.postings.keys()
+        places: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
+        for t in wanted:
+            for word in self.rare_words(t, present):
+                places[word] += [(t, place) for of, place in self.postings[word] if of == t]
         votes: dict[tuple[int, int], set[bytes]] = defaultdict(set)
         for at, word in enumerate(words):
-            if word in rare:
-                for t, place in self.postings[word]:
-                    if t in wanted:
-                        votes[t, at - place].add(word)
+            for t, place in places.get(word, ()):
+                votes[t, at - place].add(word)
+        best = self._best(words, votes, votes)
+        missed = set(wanted) - best.keys()
+        if missed:
+            around = {(t, start + d) for t, start in votes if t in missed for d in range(-SLACK, SLACK + 1)}
+            best |= self._best(words, votes, around - votes.keys())
+        return [(self.templates[t][0], max(0, start), score) for t, (score, start) in sorted(best.items())]
+
+    def rare_words(self, t: int, present: set[bytes]) -> list[bytes]:
+        """A template's present words of highest IDF; a start that scores ``MIN_SCORE`` has ``MIN_VOTES`` of them."""
+        counts = Counter(w for w in self.templates[t][1] if w in present)
+        order = sorted(counts, key=lambda w: (-self.idf[w], w))
+        needed, rest = MIN_SCORE * len(self.templates[t][1]), sum(counts.values())
+        for n, word in enumerate(order, 1):
+            rest -= counts[word]
+            # Places that can be found with fewer than MIN_VOTES of the first n words.
+            most = rest + sum(sorted((counts[w] for w in order[:n]), reverse=True)[: MIN_VOTES - 1])
+            # Ties at the last place all stay.
+            if n >= RARE_WORDS and most < needed and (n == len(order) or self.idf[order[n]] < self.idf[word]):
+                return order[:n]
+        return order
+
+    def _best(self, words: list[bytes], votes: dict[tuple[int, int], set[bytes]], starts) -> dict[int, tuple[float, int]]:
+        """For each template the best (score, start) that verifies."""
         best: dict[int, tuple[float, int]] = {}
-        for (t, start), agreeing in votes.items():
+        for t, start in starts:
             near = set().union(*(votes.get((t, start + d), ()) for d in range(-SLACK, SLACK + 1)))
-            if agreeing and len(near) >= MIN_VOTES:
+            if len(near) >= MIN_VOTES:
                 score = self._verify(words, t, start)
                 if score >= MIN_SCORE and (t not in best or (-score, start) < (-best[t][0], best[t][1])):
                     best[t] = (score, start)
-        return [(self.templates[t][0], max(0, start), score) for t, (score, start) in sorted(best.items())]
+        return best
 
     def _verify(self, words: list[bytes], t: int, start: int) -> float:
         _, wanted, phrases = self.templates[t]

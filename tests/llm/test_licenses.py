@@ -1,6 +1,8 @@
+import random
+
 from pyspark.sql import functions as F
 
-from folioquery.llm.licenses import BASE_PHRASES, TEMPLATES, Index, scan_licenses
+from folioquery.llm.licenses import BASE_PHRASES, MIN_SCORE, TEMPLATES, Index, scan_licenses
 
 from .cases import ODD, documents, words
 
@@ -44,6 +46,34 @@ def test_edited_notice_is_found_and_key_phrase_is_needed():
     assert index.lookup([w.encode() for w in notice.replace("source and binary", "binary or source").split()]) == []
 
 
+def test_file_with_all_templates_has_all_labels():
+    # Frequencies as in a corpus where the words of short notices are common and the others unseen.
+    common = {w.encode(): 80 for w in "licensed under the license version of this work gnu general public mit apache cc by nc 2 3 4 0 released".split()}
+    index = Index(common, 10_000)
+    both = f"{TEMPLATES[10][1]} {TEMPLATES[12][1]} {TEMPLATES[7][1]}"
+    assert {label for label, _, _ in index.lookup([w.encode() for w in words(both)])} == {"bsd", "isc", "gpl-3"}
+    every = "\n".join(text for _, text, _ in TEMPLATES)
+    found = index.lookup([w.encode() for w in words(every)])
+    assert [label for label, _, _ in found] == [label for label, _, _ in TEMPLATES]
+    assert all(score == 1.0 for _, _, score in found)
+
+
+def test_lookup_finds_what_every_start_would():
+    rng = random.Random(5)
+    index = Index({w: rng.randrange(50) for w in Index({}, 1).postings}, 60)
+    vocabulary = sorted(index.postings)
+    for _ in range(60):
+        text = []
+        for t in rng.sample(range(len(TEMPLATES)), 3):
+            for word in index.templates[t][1]:
+                text += rng.choices(vocabulary, k=rng.choice([0, 0, 0, 0, 1, 2]))
+                text += [word] if rng.random() < 0.85 else []
+        hits = index.lookup(text)
+        for t, (label, wanted, _) in enumerate(index.templates):
+            best = max(index._verify(text, t, start) for start in range(-len(wanted), len(text) + 1))
+            assert best < MIN_SCORE or label in {a for a, _, _ in hits}, (label, best)
+
+
 def test_empty_table_and_clashing_columns(spark):
     df = documents(spark, ["Released under the MIT License."]).withColumn("labels", F.lit("x")).withColumn("score", F.lit(9))
     row = scan_licenses(df).first()
