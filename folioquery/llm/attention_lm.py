@@ -3,13 +3,15 @@
 Ids of the public vocabulary are written as three digits to base ``BASE``; each digit is
 predicted from the hidden state and the digits before it, so a token costs 3 x 37 scores
 instead of 50,257. Digit biases come from counts over the whole training corpus; context
-is learned on a bounded sample. Sequences are cut into blocks of ``BLOCK`` positions, and
+starts from a bounded sample and is then learned from every block of it. Sequences are cut into blocks of ``BLOCK`` positions, and
 each block attends to itself (causally) and to the whole block before: windows overlap,
 every token is scored once.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 
 BASE, IDS, END = 37, 50257, 50256
@@ -161,3 +163,47 @@ def train(p: dict, sequences: list[np.ndarray], steps: int = 300, batch: int = 1
             v += 0.01 * (g[k] * g[k] - v)
             p[k] = p[k] - speed * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)
     return {k: v.astype(np.float32) for k, v in p.items()}
+
+
+def _stretches(sequences: Iterable[np.ndarray], least: int) -> Iterator[list[np.ndarray]]:
+    """Sequences together, of ``least`` blocks or more but for the last ones."""
+    pending, size = [], 0
+    for s in sequences:
+        pending.append(s)
+        size += -(-len(s) // BLOCK)
+        if size >= least:
+            yield pending
+            pending, size = [], 0
+    if pending:
+        yield pending
+
+
+def train_pass(p: dict, sequences: Iterable[np.ndarray], batch: int = 192, rate: float = 0.003) -> tuple[dict, np.ndarray, int]:
+    """Adam over every block of the sequences, once; they are not held together.
+
+    Returns new parameters, how often each id was an input, and the number of targets.
+    Moments of an embedding row move only when its id occurs.
+    """
+    p = {k: v.copy() for k, v in p.items()}
+    moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items() if k[0] != "b"}
+    uses, targets, step = np.zeros(IDS, np.int64), 0, 0
+    for together in _stretches(sequences, 16 * batch):
+        x, y, follows, _ = blocks(together)
+        for part in np.array_split(np.arange(len(x)), max(1, round(len(x) / batch))) if len(x) else ():
+            low, high = int(part[0]), int(part[-1]) + 1
+            begun = follows[low:high].copy()
+            begun[0] = False
+            real = y[low:high] >= 0
+            _, g = loss_and_gradients(p, x[low:high], y[low:high], begun)
+            step += 1
+            speed = rate * min(1.0, step / 20)
+            ids, n = np.unique(x[low:high][real], return_counts=True)
+            uses[ids] += n
+            targets += int(real.sum())
+            for k, (m, v) in moment.items():
+                at = ids if k == "E" else slice(None)
+                d = g[k][at]
+                m[at] += 0.1 * (d - m[at])
+                v[at] += 0.01 * (d * d - v[at])
+                p[k][at] -= speed * (m[at] / (1 - 0.9**step)) / (np.sqrt(v[at] / (1 - 0.99**step)) + 1e-7)
+    return p, uses, targets

@@ -3,8 +3,11 @@
 Counts cover all training rows: words are counted in each partition, summed by word, and
 the subword counts that bias the model follow from that table. The most frequent
 ``FREQUENT`` words travel to the tasks; all other words of a text are looked up by a
-join, so vocabulary size has no bound. Only the attention weights are fitted on a bounded
-sample: the ``SAMPLE`` training rows of least hash.
+join, so vocabulary size has no bound. The attention weights start from a fit on the
+``SAMPLE`` training rows of least hash; then every partition goes once over all its
+training rows from there, and its changes are averaged, weighted by the targets it saw
+(an embedding row: by the uses of its id). So the fit covers every training row; its last
+digits depend on how the rows are partitioned.
 
 Defined cases: null or empty text is its end token alone; repeated rows keep a row each;
 a null id hashes as empty text; without training rows all counts are zero and the model
@@ -34,6 +37,7 @@ MAX_WORDS = 300_000  # encoded words a worker keeps
 _BOUNDARY, _END_ID = (220).to_bytes(2, "little"), lm.END.to_bytes(2, "little")  # a space ends each word
 _END = b""  # no word is empty
 _HELD_BLOCKS = 512  # blocks scored at once
+_SENT_ROWS = 256  # embedding rows that are averaged together
 
 
 def tokens_of(data: bytes) -> list[bytes]:
@@ -104,6 +108,55 @@ def _id_counts(counts: DataFrame, tokenizer: str | None) -> np.ndarray:
     return out
 
 
+def fit_all(training: DataFrame, model: dict, tokenizer: str | None) -> dict:
+    """The model after one pass over the ``data`` of all rows, averaged over partitions."""
+    begun = training.sparkSession.sparkContext.broadcast(model)
+    others = sorted(k for k in model if k[0] != "b" and k != "E")
+
+    def batch_of(sums: dict[int, np.ndarray]) -> pa.RecordBatch:
+        data = [v.astype(np.float32).tobytes() for v in sums.values()]
+        return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(data, pa.binary())], names=["at", "data"])
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start, ids = begun.value, word_ids(tokenizer)
+        texts = (subwords(tokens_of(d.as_py()), ids)[0] for b in batches for d in b.column("data"))
+        end, uses, n = lm.train_pass(start, texts)
+        if n:
+            sums = {-1: np.concatenate([*(((end[k] - start[k]) * n).ravel() for k in others), [n]])}
+            for low in range(0, lm.IDS, _SENT_ROWS):
+                part = slice(low, low + _SENT_ROWS)
+                if uses[part].any():
+                    weight = uses[part, None]
+                    sums[low] = np.concatenate([(end["E"][part] - start["E"][part]) * weight, weight], axis=1).ravel()
+            yield batch_of(sums)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for at, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                sums[at] = sums.get(at, 0.0) + np.frombuffer(data, np.float32).astype(np.float64)
+        if sums:
+            yield batch_of(sums)
+
+    schema = "at long, data binary"
+    sums: dict[int, np.ndarray] = {}
+    # At most a row for each part of the model and task; tasks are dealt by part.
+    for at, data in training.select("data").mapInArrow(fit, schema).repartition("at").mapInArrow(add, schema).collect():
+        sums[at] = sums.get(at, 0.0) + np.frombuffer(data, np.float32).astype(np.float64)
+    out = dict(model)
+    if sums:
+        out["E"] = model["E"].copy()
+        *change, n = sums.pop(-1)
+        change, at = np.array(change) / n, 0
+        for k in others:
+            out[k] = (model[k] + change[at : at + model[k].size].reshape(model[k].shape)).astype(np.float32)
+            at += model[k].size
+        for low, data in sums.items():
+            data = data.reshape(-1, lm.DIM + 1)
+            out["E"][low : low + len(data)] += (data[:, :-1] / np.maximum(data[:, -1:], 1)).astype(np.float32)
+    return out
+
+
 _NAMES = ["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "rare"]
 _RARE = pa.list_(pa.struct([("word", pa.binary()), ("p", pa.float64())]))
 _KINDS = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), _RARE]
@@ -152,6 +205,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sample = training.orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(SAMPLE).select("data").toArrow()
     own = word_ids(tokenizer)
     model = lm.train(lm.init(_id_counts(counts, tokenizer)), [subwords(tokens_of(d.as_py()), own)[0] for d in sample.column(0)])
+    model = fit_all(training, model, tokenizer)
     shared = spark.sparkContext.broadcast((model, frequent))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -74,5 +74,28 @@ def test_held_out_score_beats_the_base_on_a_thousand_documents(spark):
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
 
 
+def test_fit_covers_every_training_row(spark, monkeypatch):
+    # Ids of one text only, in a row that no bounded sample of the rows need hold, move from their start.
+    monkeypatch.setattr(scoring, "SAMPLE", 2)
+    texts = [f"alpha beta gamma {i}" for i in range(40)] + ["zebra quilt xylophone"]
+    rows = documents(spark, texts).select(scoring.as_bytes("text").alias("data")).repartition(5)
+    start = lm.init(np.ones(lm.IDS))
+    end = scoring.fit_all(rows, start, None)
+    ids = scoring.word_ids(None)
+    for text in texts:
+        used = scoring.subwords(scoring.tokens_of(text.encode()), ids)[0][:-1]
+        assert (end["E"][used] != start["E"][used]).any(axis=1).all(), text
+    every = np.unique(np.concatenate([scoring.subwords(scoring.tokens_of(t.encode()), ids)[0] for t in texts]))
+    unused = np.setdiff1d(np.arange(lm.IDS), every)
+    assert (end["E"][unused] == start["E"][unused]).all()
+    _, uses, n = lm.train_pass(start, (scoring.subwords(scoring.tokens_of(t.encode()), ids)[0] for t in texts))
+    assert n == uses.sum() == sum(len(scoring.subwords(scoring.tokens_of(t.encode()), ids)[0]) for t in texts)
+    # The whole operator hands all training rows over.
+    seen = []
+    monkeypatch.setattr(scoring, "fit_all", lambda training, model, tokenizer: (seen.append(training.count()), model)[1])
+    got = score_texts(documents(spark, texts)).collect()
+    assert seen == [sum(not r.held_out for r in got)] and seen[0] > 2
+
+
 def test_empty_table(spark):
     assert score_texts(documents(spark, ["x"]).limit(0)).count() == 0
