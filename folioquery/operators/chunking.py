@@ -8,7 +8,7 @@ it into slices, so no part exceeds the target by more than a merged short tail.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules
@@ -140,39 +140,135 @@ def chunk_page(
     )
 
 
+def _pack_states(lengths: Column, target: int, state: Column) -> Column:
+    """``(closed, open)``: parts closed and length of the open part, after atoms of these lengths."""
+
+    def step(acc: Column, atom: Column) -> Column:
+        fits = acc["open"] + atom["sep"] + atom["text"] <= target
+        return (
+            F.when(acc["open"] == 0, F.struct(acc["closed"].alias("closed"), atom["text"].alias("open")))
+            .when(fits, F.struct(acc["closed"].alias("closed"), (acc["open"] + atom["sep"] + atom["text"]).alias("open")))
+            .otherwise(F.struct((acc["closed"] + 1).alias("closed"), atom["text"].alias("open")))
+        )
+
+    return F.aggregate(lengths, state, step)
+
+
+def _pieces(atoms: Column, carried: Column, target: int) -> Column:
+    """What a block adds to the part left open before it (first, maybe empty) and to each new part."""
+    start = F.struct(
+        F.array().cast("array<string>").alias("parts"), F.lit("").alias("open"), carried.alias("size")
+    )
+
+    def step(acc: Column, atom: Column) -> Column:
+        more = F.length(atom["sep"]) + F.length(atom["text"])
+        return (
+            F.when(
+                acc["size"] == 0,
+                F.struct(acc["parts"].alias("parts"), atom["text"].alias("open"), F.length(atom["text"]).alias("size")),
+            )
+            .when(
+                acc["size"] + more <= target,
+                F.struct(
+                    acc["parts"].alias("parts"),
+                    F.concat(acc["open"], atom["sep"], atom["text"]).alias("open"),
+                    (acc["size"] + more).alias("size"),
+                ),
+            )
+            .otherwise(
+                F.struct(
+                    F.concat(acc["parts"], F.array(acc["open"])).alias("parts"),
+                    atom["text"].alias("open"), F.length(atom["text"]).alias("size"),
+                )
+            )
+        )
+
+    return F.aggregate(atoms, start, step, lambda acc: F.concat(acc["parts"], F.array(acc["open"])))
+
+
+def _blocks_to_parts(units: DataFrame, kept: list[str], target: int, min_chars: int) -> DataFrame:
+    """Parts of units that come in several rows, cut as if the text were in one.
+
+    The lengths of a unit's atoms, not their texts, meet in one row; folding them
+    gives each block the part and length it starts from. A part that spans blocks
+    is put together from what each adds.
+    """
+    key = ["doc", "unit_id"]
+    atoms = units.select(*kept, "unit_id", "block", _atoms(F.col("text"), target).alias("_atoms"))
+    sizes = F.transform(
+        "_atoms", lambda a: F.struct(F.length(a["sep"]).alias("sep"), F.length(a["text"]).alias("text"))
+    )
+    begin = F.struct(F.lit(0).alias("closed"), F.lit(0).alias("open"))
+    states = F.aggregate(
+        "_blocks",
+        F.struct(
+            F.array().cast("array<struct<block:bigint,closed:int,open:int>>").alias("before"), begin.alias("at")
+        ),
+        lambda acc, b: F.struct(
+            F.concat(
+                acc["before"],
+                F.array(F.struct(
+                    b["block"].alias("block"), acc["at"]["closed"].alias("closed"), acc["at"]["open"].alias("open")
+                )),
+            ).alias("before"),
+            _pack_states(b["sizes"], target, acc["at"]).alias("at"),
+        ),
+    )
+    ends = F.col("_end")
+    starts = (
+        atoms.select(*key, F.struct(F.col("block").cast("bigint").alias("block"), sizes.alias("sizes")).alias("_b"))
+        .groupBy(*key).agg(F.sort_array(F.collect_list("_b")).alias("_blocks"))
+        .select(*key, states.alias("_s"))
+        .select(*key, F.col("_s.at").alias("_end"), F.explode("_s.before").alias("_at"))
+        .select(
+            *key, F.col("_at.block").alias("block"), F.col("_at.closed").alias("_closed"), F.col("_at.open").alias("_open"),
+            (ends["closed"] + (ends["open"] > 0).cast("int")).alias("_total"),
+            ((ends["open"] > 0) & (ends["open"] < min_chars) & (ends["closed"] > 0)).alias("_short"),
+        )
+    )
+    tail = F.col("_short") & (F.col("part") == F.col("_total") - 1)
+    opens = (F.col("_i") > 0) | (F.col("_open") == 0)
+    pieces = (
+        atoms.join(starts, [*key, "block"])
+        .select(
+            *kept, "unit_id", "block", "_closed", "_open", "_total", "_short",
+            F.posexplode(_pieces(F.col("_atoms"), F.col("_open"), target)).alias("_i", "text"),
+        )
+        .filter(F.col("text") != "")
+        .withColumn("part", F.col("_closed") + F.col("_i"))
+        # A last part that is too short joins the one before.
+        .withColumn("text", F.when(tail & opens, F.concat(F.lit("\n"), F.col("text"))).otherwise(F.col("text")))
+        .withColumn("part", F.when(tail, F.col("part") - 1).otherwise(F.col("part")))
+    )
+    return (
+        pieces.groupBy(*key, "part")
+        .agg(
+            *[F.first(c).alias(c) for c in kept if c not in key],
+            F.first(F.col("_total") - F.col("_short").cast("int")).alias("unit_parts"),
+            F.sort_array(F.collect_list(F.struct("block", "_i", "text"))).alias("_all"),
+        )
+        .withColumn("text", F.array_join(F.transform("_all", lambda p: p["text"]), ""))
+        .select(*kept, "unit_id", "unit_parts", "part", "text")
+    )
+
+
 def units_to_chunks(units: DataFrame, target: int = rules.CHUNK_TARGET) -> DataFrame:
     """One row per part; every part keeps all unit columns, the title included.
 
     ``units`` needs ``doc``, ``unit_id`` and ``text``. Map-only, unless a
-    ``block`` column says that long units come in several rows; then parts are
-    numbered through the blocks with one small row per block.
+    ``block`` column says that long units come in several rows; the parts are the
+    same however a unit is divided into blocks.
     """
     kept = [c for c in units.columns if c not in ("text", "unit_id", "block")]
-    block = F.col("block") if "block" in units.columns else F.lit(0).alias("block")
-    parts = (
-        units.select(*kept, "unit_id", block, chunk_unit(F.col("text"), target).alias("_parts"))
-        .withColumn("unit_parts", F.size("_parts"))
-        .select(*kept, "unit_id", "block", "unit_parts", F.posexplode_outer("_parts").alias("part", "text"))
-        .filter(F.col("text").isNotNull())
-    )
     if "block" in units.columns:
-        whole = Window.partitionBy("doc", "unit_id")
-        before = whole.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-        offsets = (
-            parts.groupBy("doc", "unit_id", "block")
-            .agg(F.max("unit_parts").alias("_n"))
-            .select(
-                "doc", "unit_id", "block",
-                F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
-                F.sum("_n").over(whole).alias("_total"),
-            )
-        )
+        parts = _blocks_to_parts(units, kept, target, rules.MIN_CHUNK_CHARS)
+    else:
         parts = (
-            parts.join(offsets, ["doc", "unit_id", "block"])
-            .withColumn("part", (F.col("part") + F.col("_offset")).cast("int"))
-            .withColumn("unit_parts", F.col("_total").cast("int"))
-            .drop("_offset", "_total")
+            units.select(*kept, "unit_id", chunk_unit(F.col("text"), target).alias("_parts"))
+            .withColumn("unit_parts", F.size("_parts"))
+            .select(*kept, "unit_id", "unit_parts", F.posexplode_outer("_parts").alias("part", "text"))
+            .filter(F.col("text").isNotNull())
         )
-    return parts.drop("block").withColumn(
+    return parts.withColumn(
         "id", F.concat_ws(":", "doc", F.concat(F.lit("u"), F.col("unit_id")), F.col("part"))
     )

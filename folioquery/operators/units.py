@@ -142,7 +142,8 @@ def gather_units(
 
     A unit is one row (``block`` 0) unless it spans more than ``block_pages``
     pages; then it is a row per block of pages, so no task ever gathers an
-    unbounded unit. Nothing is left out.
+    unbounded unit's text. Nothing is left out, and ``units_to_chunks`` cuts the
+    same parts whatever ``block_pages`` is.
     """
     extent = pages.groupBy(*keys).agg(
         F.min(page).alias("first_page"), F.max(page).alias("last_page")
