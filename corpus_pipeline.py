@@ -37,10 +37,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 2: documents that hold a benchmark window go."""
-    hit = find_contamination(docs, table(spark, sf_dir, "benchmark")).filter("contaminated").select("doc_id").distinct()
+    """Operator 2: documents that hold a benchmark window go, with an id or without."""
+    # Ids can be null or repeated: rows are decided on by a stored key of their own.
+    rows = stored(docs.select(*COLUMNS).withColumn("row_key", F.monotonically_increasing_id()), "decontamination-rows")
+    found = find_contamination(rows, table(spark, sf_dir, "benchmark"), id_col="row_key")
+    hit = found.filter("contaminated").select(F.col("doc_id").alias("row_key"))
     # Few rows: stored, so that the scan of all texts runs once and Spark sees their size.
-    return docs.select(*COLUMNS).join(stored(hit, "contaminated"), "doc_id", "left_anti").select(*COLUMNS)
+    return rows.join(stored(hit, "contaminated"), "row_key", "left_anti").select(*COLUMNS)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
