@@ -6,8 +6,8 @@ scanned once. Matches are word ranges; offsets map back to the original bytes.
 
 The automaton is sized before it is broadcast: items of more text than
 ``block_bytes`` in all are split by a hash of their id into several automata,
-each scanned over the texts, and the matches are united by ``id_col`` (which must
-then be unique). One automaton keeps repeated rows apart.
+each scanned over the texts, and the matches are united by a row key that is stored
+first. So repeated rows and rows without an id keep a row each, in one block or many.
 
 Defined cases: null or empty text has no words and is clean; an item without words
 matches nothing; repeated items all count; other columns are not looked at; a null
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import as_bytes
+from .tables import as_bytes, stored
 from .words import fold_words, folded, worker_cache
 
 SCHEMA = (
@@ -128,7 +128,7 @@ def _scan(docs: DataFrame, shared, key: str, width: int) -> DataFrame:
 
 
 def _united(parts: DataFrame) -> DataFrame:
-    """Matches of several automata, one row per document."""
+    """Matches of several automata, one row per row key, which stands in ``doc_id``."""
     gathered = parts.groupBy("doc_id").agg(
         F.max("n_words").alias("n_words"),
         F.flatten(F.collect_list("spans")).alias("spans"),
@@ -158,15 +158,19 @@ def find_contamination(
     wanted = items.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), as_bytes(item_text_col).alias("data"))
     total = wanted.agg(F.coalesce(F.sum(F.octet_length("data")), F.lit(0))).first()[0]
     blocks = max(1, -(-total // block_bytes))
-    parts = []
+    parts, scanned = [], texts
+    if blocks > 1:
+        keyed = stored(texts.withColumn("row_key", F.monotonically_increasing_id()), "contamination-rows")
+        scanned = keyed.select(F.col("row_key").alias("doc_id"), "data")
     for block in range(blocks):
         part = wanted.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block) if blocks > 1 else wanted
         rows = part.toArrow()
         pairs = list(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True))
-        parts.append(_scan(texts, spark.sparkContext.broadcast(pairs), uuid.uuid4().hex, width))
+        parts.append(_scan(scanned, spark.sparkContext.broadcast(pairs), uuid.uuid4().hex, width))
     if blocks == 1:
         return parts[0]
     union = parts[0]
     for part in parts[1:]:
         union = union.unionByName(part)
-    return _united(union)
+    united = _united(union).withColumnRenamed("doc_id", "row_key")
+    return united.join(keyed.select("row_key", "doc_id"), "row_key").select(*parts[0].columns)

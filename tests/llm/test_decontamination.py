@@ -50,3 +50,12 @@ def test_repeated_rows_null_ids_and_empty_tables(spark):
     assert find_contamination(docs.limit(0), items).count() == 0
     assert [r.contaminated for r in find_contamination(docs, items.limit(0)).collect()] == [False] * 3
     assert merge([(5, 6), (0, 2), (3, 4), (9, 9)]) == [(0, 6), (9, 9)]
+
+
+def test_rows_without_an_id_or_with_one_id_stay_apart_in_many_blocks(spark):
+    item = "one two three four five six seven eight nine ten eleven"
+    items = spark.createDataFrame([("i1", item), ("i2", "a b c d e f g h i j k")], "item_id string, text string")
+    texts = [(None, f"x {item}"), (None, "clean text"), (None, "a b c d e f g h i j k"), (7, item), (7, item), (7, "other")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    rows = lambda **kw: sorted(map(repr, find_contamination(docs, items, **kw).collect()))
+    assert len(rows()) == len(texts) and rows(block_bytes=20) == rows()
