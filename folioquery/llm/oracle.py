@@ -56,5 +56,37 @@ m AS (
   FROM k JOIN v ON k.key = v.key AND fetch_day >= day AND (until IS NULL OR fetch_day < until) WHERE a < 2 GROUP BY page_id
 )
 SELECT p.page_id, p.url, p.fetch_day, p.host, coalesce(decision, 'none') AS decision, key, listed_day FROM p LEFT JOIN m USING (page_id)
+""",
+    # The checksum of a word is folded over its bytes with the usual table of 256 remainders.
+    "op12_resampling": rf"""
+WITH step AS (
+  SELECT list(list_reduce(range(1, 9), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n) ORDER BY n) AS t
+  FROM (SELECT unnest(range(0, 256)) AS n)
+),
+d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT {_WORDS} AS w FROM benchmark),
+u AS (SELECT DISTINCT w FROM (SELECT unnest(w) AS w FROM d UNION ALL SELECT unnest(w) AS w FROM b)),
+k AS (
+  SELECT w, xor(list_reduce(list_transform(range(1, len(hex(encode(w))), 2), lambda i: CAST(('0x' || substr(hex(encode(w)), i, 2)) AS BIGINT)),
+    lambda c, x: xor(c >> 8, t[CAST(xor(c, x) & 255 AS BIGINT) + 1]), 4294967295), 4294967295) % 10000 AS bucket
+  FROM u, step
+),
+e AS (SELECT doc_id, unnest(w) AS w FROM d),
+s AS (SELECT bucket, count(*) AS n FROM e JOIN k USING (w) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS n FROM (SELECT unnest(w) AS w FROM b) JOIN k USING (w) GROUP BY bucket),
+g AS (
+  SELECT bucket, CAST(floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT sum(n) FROM s) + 10000)::DOUBLE
+    / ((s.n + 1)::DOUBLE * (coalesce((SELECT sum(n) FROM t), 0) + 10000)::DOUBLE))) AS BIGINT) AS gain
+  FROM s LEFT JOIN t USING (bucket)
+),
+m AS (SELECT doc_id, count(*) AS n, sum(gain) AS weight FROM e JOIN k USING (w) JOIN g USING (bucket) GROUP BY doc_id),
+f AS (
+  SELECT d.doc_id, coalesce(n, 0) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+    CAST(('0x' || substr(sha256('2024:' || d.doc_id), 1, 8)) AS BIGINT) AS h
+  FROM d LEFT JOIN m USING (doc_id)
+),
+r AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM f),
+o AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS able FROM r WHERE n_features >= 20)
+SELECT r.doc_id, n_features, weight, score, CASE WHEN place <= able * 10 // 100 THEN place END AS rank FROM r LEFT JOIN o USING (doc_id)
 """,
 }

@@ -11,13 +11,16 @@ from .decontamination import find_contamination
 from .languages import fit_trigrams, identify_languages, markup_language
 from .licenses import scan_licenses
 from .near_duplicates import near_duplicate_classes
+from .nearest import nearest
 from .packing import pack
 from .repeated_text import remove_repeats
+from .resampling import importance_resample
 from .scoring import score_texts
 from .secrets import scan_secrets
 from .tables import table
 from .url_lists import host_of, judge_captures
 from .vector_links import link_vectors
+from .whitening import whiten
 
 HORIZON = 360
 
@@ -88,6 +91,22 @@ def op10_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_words")
+
+
+def op13_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_suffix_merge, op2_decontamination, op3_minhash, op4_attention_scores, op5_packing, op6_languages, op7_url_lists, op8_secrets, op9_licenses, op10_vector_links)
+    f.__name__: f
+    for f in (
+        op1_suffix_merge, op2_decontamination, op3_minhash, op4_attention_scores, op5_packing, op6_languages, op7_url_lists, op8_secrets, op9_licenses, op10_vector_links,
+        op11_whitening, op12_resampling, op13_nearest,
+    )
 }
