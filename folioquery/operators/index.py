@@ -5,7 +5,8 @@ positions, length, document, language, chapter, engines), so a search reads the
 rows of its own terms and joins nothing wide. A chunk is one row, so its term
 counts come from its own token array: building postings never shuffles. The
 stored table is laid out by term bucket and sorted by term, so a term filter
-prunes folders and row groups.
+prunes folders and row groups. Within a term, chunks stand by block (similar length, then
+a hash of the id); ``block_bounds`` says how well a chunk of each block can score.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from .corpus import as_chunks
 
 TERM_BUCKETS = 64
 FILTER_COLUMNS = ["doc", "lang", "chapter", "engines"]
+# Chunks wanted in a block, about; term counts up to BOUND_COUNTS - 1 get a bound of their own.
+BLOCK_CHUNKS, BOUND_COUNTS = 32, 8
 
 
 def _occurrences(text: Column, in_title: bool) -> Column:
@@ -100,6 +103,20 @@ def id_bucket(chunk_id: Column, buckets: int = TERM_BUCKETS) -> Column:
     return F.pmod(F.hash(chunk_id), F.lit(buckets))
 
 
+def suggested_blocks(n_chunks: int) -> int:
+    """Hash classes of a block; lengths spread over some sixteen classes besides."""
+    return max(1, n_chunks // (16 * BLOCK_CHUNKS))
+
+
+def chunk_block(chunk_id: Column, chunk_len: Column, blocks: int) -> Column:
+    """The block of a chunk: its length to a quarter of a doubling, then a hash class.
+
+    Chunks of like length have like scores, so a block's bound is near what its chunks reach.
+    """
+    length = F.floor(4 * F.log2(F.greatest(chunk_len, F.lit(1)).cast("double"))).cast("long")
+    return length * blocks + F.pmod(F.xxhash64(chunk_id), F.lit(blocks))
+
+
 def chunk_terms(chunks: DataFrame) -> DataFrame:
     """One row per chunk with its entries array and length (tokens, title included)."""
     occurrences = F.concat(_occurrences(F.col("section"), True), _occurrences(F.col("text"), False))
@@ -130,16 +147,32 @@ def chunk_lengths(chunks: DataFrame) -> DataFrame:
     )
 
 
-def build_postings(chunks: DataFrame, buckets: int = TERM_BUCKETS) -> DataFrame:
+def build_postings(chunks: DataFrame, buckets: int = TERM_BUCKETS, blocks: int = 1) -> DataFrame:
     """``(term, chunk_id, tf, title_tf, positions, chunk_len, ...)``; map-only."""
     return (
         chunk_terms(chunks)
         .select("chunk_id", *FILTER_COLUMNS, "has_torque", "chunk_len", F.inline_outer("entries"))
         .filter(F.col("term").isNotNull())
+        .withColumn("block", chunk_block(F.col("chunk_id"), F.col("chunk_len"), blocks))
         .withColumn("bucket", term_bucket(F.col("term"), buckets))
     )
 
 
+def block_bounds(postings: DataFrame) -> DataFrame:
+    """One row per term and block: the shortest chunk for each small term count and for all
+    larger ones together, the largest count, and whether a title or a torque value occurs."""
+    shortest = [
+        F.min(F.when(F.col("tf") == n, F.col("chunk_len"))).alias(f"len_{n}") for n in range(1, BOUND_COUNTS)
+    ]
+    return postings.groupBy("bucket", "term", "block").agg(
+        *shortest,
+        F.min(F.when(F.col("tf") >= BOUND_COUNTS, F.col("chunk_len"))).alias("len_many"),
+        F.max("tf").alias("most"),
+        F.max(F.col("title_tf") > 0).alias("has_title"),
+        F.max("has_torque").alias("has_torque"),
+    )
+
+
 def document_frequency(postings: DataFrame) -> DataFrame:
     """Chunks per term. Postings hold a chunk once per term, so a count is enough;
     it combines map-side and a term found in every chunk stays one row per task."""
@@ -189,6 +222,7 @@ class CorpusIndex:
     n_chunks: int
     n_tokens: int
     buckets: int = TERM_BUCKETS
+    bounds: DataFrame | None = None
 
     @property
     def spark(self) -> SparkSession:
@@ -224,13 +258,15 @@ def write_index(chunks: DataFrame, path: str, buckets: int = TERM_BUCKETS) -> No
         writer = laid_out.sortWithinPartitions(*order).write.mode("overwrite")
         (writer.partitionBy(folder) if folder else writer).parquet(f"{path}/{name}")
 
-    store(build_postings(rows, buckets), "postings", "bucket", "bucket", "term", "chunk_id")
-    postings = spark.read.parquet(f"{path}/postings")
-    store(document_frequency(postings), "terms", "bucket", "bucket", "term")
     store(
         rows.withColumn("id_bucket", id_bucket(F.col("id"), buckets)),
         "chunks", "id_bucket", "id_bucket", "id",
     )
+    blocks = suggested_blocks(spark.read.parquet(f"{path}/chunks").count())  # from file footers
+    store(build_postings(rows, buckets, blocks), "postings", "bucket", "bucket", "term", "block", "chunk_id")
+    postings = spark.read.parquet(f"{path}/postings")
+    store(block_bounds(postings), "bounds", "bucket", "bucket", "term", "block")
+    store(document_frequency(postings), "terms", "bucket", "bucket", "term")
     store(
         trigram_index(surface_forms(rows), buckets), "grams", "bucket", "bucket", "gram", "n_grams"
     )
@@ -257,15 +293,16 @@ def open_index(spark: SparkSession, path: str) -> CorpusIndex:
         n_chunks=totals["n_chunks"],
         n_tokens=totals["n_tokens"],
         buckets=totals["buckets"],
+        bounds=spark.read.parquet(f"{path}/bounds"),
     )
 
 
 def index_in_memory(chunks: DataFrame) -> CorpusIndex:
     """An index over a small corpus without storing it; tables stay lazy plans."""
     rows = as_chunks(chunks)
-    postings = build_postings(rows)
-    grams = trigram_index(surface_forms(rows))
     totals = corpus_statistics(chunk_lengths(rows)).first()
+    postings = build_postings(rows, blocks=suggested_blocks(totals["n_chunks"]))
+    grams = trigram_index(surface_forms(rows))
     return CorpusIndex(
         chunks=rows.withColumn("id_bucket", id_bucket(F.col("id"))),
         postings=postings,
@@ -274,4 +311,5 @@ def index_in_memory(chunks: DataFrame) -> CorpusIndex:
         gram_counts=gram_frequency(grams),
         n_chunks=totals["n_chunks"],
         n_tokens=totals["n_tokens"],
+        bounds=block_bounds(postings),
     )

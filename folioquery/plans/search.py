@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 
 from ..functions.citation import chunk_citation, snippet
 from ..operators import applicability as app
-from ..operators import expansion, scoring
+from ..operators import expansion, pruning, scoring
 from ..operators.expansion import Dictionary
 from ..operators.filters import LIMITS, engine_condition, limits_condition, where_condition
 from ..operators.index import CorpusIndex, id_bucket
 from ..rules import SearchParams
-from ..session import lookup, small_or_none
+from ..session import LITERAL_KEYS, Small, lookup, small_or_none
 from ..sources.corpus import Vehicle
 
 
@@ -54,10 +54,11 @@ def _bounded(df: DataFrame, params: SearchParams) -> DataFrame:
 
 def match_postings(
     index: CorpusIndex,
-    terms: DataFrame,
+    terms: DataFrame | Small,
     params: SearchParams,
     where: dict | None = None,
     engine: str | None = None,
+    blocks: DataFrame | None = None,
 ) -> DataFrame:
     """Postings of the query terms, filtered, joined with the terms' query rows.
 
@@ -65,13 +66,21 @@ def match_postings(
     pruning) and the query side is broadcast. Many terms: an equi-join salted by
     chunk, so a frequent term spreads over ``salts`` tasks. ``where`` and
     ``engine`` hold for all queries and reach the scan; limits of single queries
-    come as columns of ``terms`` and are tested on the joined rows.
+    come as columns of ``terms`` and are tested on the joined rows. ``blocks(query_id,
+    block)``, if given, are the only ones read: they join on both columns, and a few of
+    them become a scan filter too, as postings of a term are sorted by block.
     """
+    small = terms if isinstance(terms, Small) else small_or_none(terms, params.broadcast_rows)
+    terms = terms if small is None else small.df
     postings = index.postings.filter(where_condition(where) & engine_condition(engine))
     if not params.proximity_bonus:
         postings = postings.drop("positions")
     limits = [c for c in LIMITS if c in terms.columns]
-    small = small_or_none(terms, params.broadcast_rows)
+    if blocks is not None:
+        few = small_or_none(blocks, params.broadcast_rows)
+        blocks = blocks if few is None else few.df
+        if few is not None and len(wanted := few.values("block")) <= LITERAL_KEYS:
+            postings = postings.filter(F.col("block").isin(wanted))
     if small is not None:
         joined = lookup(postings, small.df, ["bucket", "term"], params.broadcast_rows)
         lead = (
@@ -89,6 +98,8 @@ def match_postings(
         joined = postings.withColumn(
             "_salt", F.pmod(F.hash("chunk_id"), F.lit(params.salts))
         ).join(salted, ["bucket", "term", "_salt"]).drop("_salt")
+    if blocks is not None:
+        joined = joined.join(blocks, ["query_id", "block"], "left_semi")
     return joined.filter(limits_condition(limits)).drop(*limits)
 
 
@@ -127,15 +138,42 @@ def score_queries(
     ``LIMITS``). Corpus statistics stay those of the whole corpus whatever the
     filters are.
     """
+    return _score(index, _asked_terms(index, queries, synonyms, params), params, where, engine)
+
+
+def _asked_terms(
+    index: CorpusIndex, queries: DataFrame, synonyms: Dictionary | None, params: SearchParams
+) -> DataFrame:
+    """Terms of all questions, with the limits that come as columns of ``queries``."""
     terms = question_terms(index, queries, synonyms, params)
     limits = [c for c in LIMITS if c in queries.columns]
-    if limits:
-        terms = terms.join(queries.select("query_id", *limits), "query_id")
-    matches = match_postings(index, terms, params, where, engine)
+    return terms.join(queries.select("query_id", *limits), "query_id") if limits else terms
+
+
+def _score(
+    index: CorpusIndex, terms: DataFrame | Small, params: SearchParams,
+    where: dict | None, engine: str | None, blocks: DataFrame | None = None,
+) -> DataFrame:
+    matches = match_postings(index, terms, params, where, engine, blocks)
     phrases = scoring.phrase_matches(matches, index, params)
     return scoring.chunk_scores(scoring.concept_scores(phrases, params), params)
 
 
+def reachable_blocks(
+    index: CorpusIndex, terms: DataFrame | Small, params: SearchParams, top_k: int, per_doc: int | None = None,
+    where: dict | None = None, engine: str | None = None,
+) -> DataFrame | None:
+    """Blocks that can hold a hit, or ``None`` if the postings are too few to look for them."""
+    if index.bounds is None:
+        return None
+    small = isinstance(terms, Small)
+    if small and sum(row["df"] for row in terms.rows) <= params.prune_from:
+        return None
+    return pruning.live_blocks(
+        index, terms.df if small else terms, lambda blocks: _score(index, terms, params, where, engine, blocks), params, top_k, per_doc,
+    )
+
+
 def search(
     index: CorpusIndex,
     queries: DataFrame,
@@ -147,9 +185,16 @@ def search(
     engine: str | None = None,
     params: SearchParams = SearchParams(),
 ) -> DataFrame:
-    """``(query_id, chunk_id, doc, covered, n_concepts, score, rank)`` for the best hits."""
-    scored = score_queries(index, queries, synonyms, where, engine, params)
-    return scoring.top_hits(scored, top_k, per_doc)
+    """``(query_id, chunk_id, doc, covered, n_concepts, score, rank)`` for the best hits.
+
+    Questions on frequent terms score only the blocks that can hold a hit; the hits are
+    the same either way.
+    """
+    terms = _asked_terms(index, queries, synonyms, params)
+    small = small_or_none(terms, params.broadcast_rows)
+    terms = terms if small is None else small
+    blocks = reachable_blocks(index, terms, params, top_k, per_doc, where, engine)
+    return scoring.top_hits(_score(index, terms, params, where, engine, blocks), top_k, per_doc)
 
 
 def guarded_queries(

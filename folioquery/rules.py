@@ -91,3 +91,7 @@ class SearchParams:
     # with the postings is a salted shuffle join.
     broadcast_rows: int = 20000
     salts: int = 16
+    # Questions whose terms have more postings than this look at block bounds first and
+    # score only blocks that can reach the hit list; first_blocks set the threshold.
+    prune_from: int = 1_000_000
+    first_blocks: int = 16

@@ -6,13 +6,13 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from __spark_entry__ import oracle_sql, queries
 from folioquery.operators.index import open_index, write_index
 from folioquery.plans import search as S
 from folioquery.rules import SearchParams
 from folioquery.session import small_or_none
 from workload import adapter as A
 from workload import queries as Q
+from workload.oracle import ORACLE
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="test tables not present")
@@ -37,12 +37,12 @@ def asked(spark, text):
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(Q.QUERIES) == set(ORACLE)
 
 
 def test_no_nested_loops_and_no_python(spark):
     bad = {}
-    for name, run in queries().items():
+    for name, run in Q.QUERIES.items():
         text = plan(run(spark, SF))
         found = re.findall(r"CartesianProduct|BroadcastNestedLoopJoin|\w*EvalPython|MapInPandas", text)
         if found:

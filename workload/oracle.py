@@ -596,6 +596,14 @@ capped AS (SELECT * FROM (
         ), 10,
     ),
     "bm25_batch": ranked(bm25_hits(BENCHMARK_TERMS, strict=False), 3),
+    "bm25_pruned": " UNION ALL ".join(
+        f"SELECT *, '{mode}' AS mode FROM ({sql})"
+        for mode, sql in (
+            ("strict", ranked(bm25_hits(one_word_concepts("erst", "thing")), 10)),
+            ("soft", ranked(bm25_hits(one_word_concepts("reed", "erst", "ananbl"), strict=False), 50)),
+            ("batch", ranked(bm25_hits(BENCHMARK_TERMS, strict=False), 3)),
+        )
+    ),
     "bm25_guarded": ranked(
         bm25_hits(
             BENCHMARK_TERMS, strict=False,

@@ -665,6 +665,21 @@ def bm25_batch(spark, sf):
     return _hits(S.search(ix, _benchmark_queries(spark, sf), top_k=3, params=soft))
 
 
+@query
+def bm25_pruned(spark, sf):
+    """The same hit lists when only blocks that can hold a hit are scored."""
+    def params(coverage):
+        return SearchParams(**{**PLAIN.__dict__, "coverage": coverage, "prune_from": 0})
+
+    ix = A.corpus_index(spark, sf)
+    strict = _hits(S.search(ix, _queries(spark, "erst thing"), top_k=10, params=params("strict")))
+    soft = _hits(S.search(ix, _queries(spark, "reed erst ananble"), top_k=50, params=params("soft")))
+    batch = _hits(S.search(ix, _benchmark_queries(spark, sf), top_k=3, params=params("soft")))
+    modes = (("strict", strict), ("soft", soft), ("batch", batch))
+    parts = [df.withColumn("mode", F.lit(mode)) for mode, df in modes]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query
 def bm25_guarded(spark, sf):
     """Benchmark texts, some naming an engine, behind the applicability guard."""
