@@ -29,7 +29,7 @@ EVAL_SCHEMA = T.StructType(
         T.StructField("query", T.StringType()),
         T.StructField("expect_any", T.ArrayType(T.StringType())),
         T.StructField("forbid", T.ArrayType(T.StringType())),
-        T.StructField("filters", T.MapType(T.StringType(), T.StringType())),
+        T.StructField("filters", T.VariantType()),
         T.StructField("top_k", T.IntegerType()),
         T.StructField("note", T.StringType()),
     ]
@@ -183,7 +183,8 @@ def corpus_stats(chunks: DataFrame) -> DataFrame:
 
 
 def read_eval_cases(spark: SparkSession, path: str) -> DataFrame:
-    """Labelled queries, one JSON object per line, blank lines skipped."""
+    """Labelled queries, one JSON object per line, blank lines skipped. ``filters`` is kept
+    as a variant: a value may be a scalar or a list, under any key."""
     return (
         spark.read.text(path)
         .filter(F.trim("value") != "")

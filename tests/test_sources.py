@@ -147,6 +147,33 @@ def test_eval_set_and_gate(spark, files):
     assert [r["passed"] for r in loose] == [False]
 
 
+def test_filters_of_any_shape(spark, files):
+    from folioquery.operators.filters import filter_values, unknown_filters
+
+    shapes = ['{"lang": "ru", "chapter": 4}', '{"lang": ["ru", "en"], "chapter": [4, "5", "x", 6.5]}', '{"doc": [], "lang": null}', '{"year": 1, "doc": "a"}', "{}", None]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(shapes)], "i int, s string").withColumn("f", F.parse_json("s"))
+    got = df.select(filter_values(F.col("f"), "lang"), filter_values(F.col("f"), "chapter", "int"), filter_values(F.col("f"), "doc"), unknown_filters(F.col("f")), "i").orderBy("i").collect()
+    assert [tuple(r)[:3] for r in got] == [
+        (["ru"], [4], None), (["ru", "en"], [4, 5, None, 6], None), (None, None, []), (None, None, ["a"]), (None, None, None), (None, None, None)]
+    assert [r[3] or [] for r in got] == [[], [], [], ["year"], [], []]
+
+
+def test_gate_takes_lists_and_engines_and_refuses_unknown_keys(spark, files):
+    index = open_index(spark, str(files / "built" / "index"))
+    rows = [(1, "разъемы", '{"engine": "K7M"}'), (2, "разъемы", '{"engine": ["K4M", "K7M"]}'), (3, "разъемы", '{"doc": []}'), (4, "разъемы", '{"doc": ["owner", "diagrams"], "lang": ["ru"]}')]
+
+    def cases(rows):
+        df = spark.createDataFrame(rows, "query_id long, query string, f string").coalesce(1)
+        return df.select("query_id", "query", F.parse_json("f").alias("filters"), F.lit(5).alias("top_k"), F.array(F.lit("8V")).alias("expect_any"), F.array(F.lit("16V")).alias("forbid"))
+
+    open_vehicle = type(VEHICLE)(VEHICLE.engines, {}, {})
+    got = {(r.query_id, r.kind): r.passed for r in run_gate(index, cases(rows), open_vehicle).collect()}
+    assert [got[i, "expected"] for i in (1, 2, 3, 4)] == [True, True, False, True]
+    assert [got[i, "forbidden"] for i in (1, 2, 3, 4)] == [True, False, True, False]
+    with pytest.raises(ValueError, match="year"):
+        run_gate(index, cases([(1, "a", '{"year": 2001}')]), open_vehicle)
+
+
 def test_command_line(spark, files):
     ix = str(files / "built" / "index")
     listed = cli.run(spark, [ix, "--list-sources"])

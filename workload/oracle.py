@@ -376,16 +376,24 @@ def in_order(list_sql: str) -> str:
 
 ASKED_ENGINE = "(CASE q.query_id % 3 WHEN 0 THEN 'K9K' WHEN 1 THEN 'H4M' ELSE 'K7M' END)"
 
+# Limits of the labelled questions: their filters by shape, and the engine every fourth one names.
+GATE_LIMITS = """(q.query_id % 4 <> 0 OR (
+    (CAST(replace(c.doc, 'src', '') AS INTEGER) >= 10 OR CAST(replace(c.doc, 'src', '') AS INTEGER) % 3 = 0)
+    AND (c.engines IS NULL OR list_contains(c.engines, 'K4M'))))
+  AND CASE q.query_id % 6 WHEN 1 THEN c.lang = 'en' WHEN 2 THEN c.lang IN ('fr', 'de')
+    WHEN 3 THEN c.engines IS NULL OR list_has_any(c.engines, ['K4M', 'H4M']) WHEN 4 THEN FALSE
+    WHEN 5 THEN c.doc IN ('src1', 'src2', 'src3', 'src5', 'src8') AND (c.engines IS NULL OR list_contains(c.engines, 'K7M'))
+    ELSE TRUE END"""
+
 COVERED = """
-tags AS (
-  SELECT DISTINCT source AS doc, unnest(CASE doc_id % 5 WHEN 1 THEN ['K7M'] WHEN 2 THEN ['K4M']
-    WHEN 3 THEN ['K4M', 'K7M'] WHEN 4 THEN ['H4M'] END) AS engine
-  FROM documents WHERE length(source) = 4),
-coverage AS (
-  SELECT * FROM tags WHERE (CAST(substring(doc, 4, 1) AS INTEGER) + length(engine)) % 2 = 1
-    AND NOT (engine = 'K7M' AND doc IN ('src0', 'src4'))),
+volumes AS (
+  SELECT source || ':u' || doc_id || ':0' AS id,
+    source || '/' || CASE WHEN doc_id % 20 < 2 THEN doc_id % 20 ELSE doc_id % 20 // 2 + 100 END AS doc,
+    CASE doc_id % 5 WHEN 1 THEN ['K7M'] WHEN 2 THEN ['K4M'] WHEN 3 THEN ['K4M', 'K7M'] WHEN 4 THEN ['H4M'] END AS engines
+  FROM documents),
+coverage AS (SELECT DISTINCT doc, unnest(engines) AS engine FROM volumes),
 wanted AS (SELECT unnest(['K7M', 'D4F']) AS engine),
-docs AS (SELECT DISTINCT source AS doc FROM documents),
+docs AS (SELECT DISTINCT doc FROM volumes),
 allowed AS (
   SELECT w.engine, d.doc FROM docs d CROSS JOIN wanted w
   WHERE NOT EXISTS (SELECT 1 FROM coverage c WHERE c.doc = d.doc)
@@ -432,7 +440,7 @@ UNION ALL SELECT 'pictures', page_id, NULL, {H1}, page_id || '.jpg', length({PAR
 FROM documents d LEFT JOIN pages p ON p.page_id = d.doc_id AND d.doc_id % 10 = 0""",
     "page_range_lookup": f"""SELECT {DOC_ID.replace('source', 'c.source').replace('doc_id', 'c.doc_id')} AS id,
   string_agg('p' || p.doc_id, '|' ORDER BY p.doc_id) AS pictures
-FROM documents c JOIN documents p ON p.source = c.source AND length(p.text) > 100
+FROM documents c JOIN documents p ON p.source = c.source
   AND p.doc_id BETWEEN c.doc_id AND c.doc_id + c.doc_id % 3
 GROUP BY c.source, c.doc_id""",
     "topic_filter": f"""SELECT page_id, title FROM (SELECT page_id, html, {H1} AS title FROM pages)
@@ -456,8 +464,7 @@ SELECT doc_id, token, count(*) AS n FROM (
   SELECT DISTINCT unnest({forms('w')}) AS token FROM (SELECT DISTINCT unnest({words('text')}) AS w FROM documents))""",
     "stem_ru": f"""WITH t AS (
   SELECT DISTINCT token FROM (
-    SELECT unnest({words(f"translate(lower(text), '{LATIN}', '{CYRILLIC}')")}) AS token FROM documents)
-  WHERE regexp_matches(token, '^[а-я]+$')),{ru_stem_ctes('t')}
+    SELECT unnest({words(f"translate(lower(text), '{LATIN}', '{CYRILLIC}')")}) AS token FROM documents)),{ru_stem_ctes('t')}
 SELECT token, stem FROM stemmed""",
     "yo_folding": "SELECT doc_id, TRUE AS same FROM documents",
     "trigrams": f"""SELECT word, unnest({grams('word')}) AS gram
@@ -655,7 +662,7 @@ SELECT p_partkey, {in_order('l')} AS engines FROM c""",
     "allowed_docs": f"WITH {COVERED} SELECT engine, doc FROM allowed",
     "blocked_docs": f"""WITH {COVERED} SELECT w.engine, d.doc FROM docs d CROSS JOIN wanted w
 EXCEPT SELECT engine, doc FROM allowed""",
-    "two_level_gate": f"""WITH {CHUNKS},{COVERED} SELECT id, doc FROM chunks
+    "two_level_gate": f"""WITH {COVERED} SELECT id, doc FROM volumes
 WHERE doc IN (SELECT doc FROM allowed WHERE engine = 'K7M') AND (engines IS NULL OR list_contains(engines, 'K7M'))""",
     "eval_hit_at_k": f"""WITH {BENCH_HITS}
 SELECT b.item_id AS query_id, coalesce(bool_or(contains(h, lower(split_part(b.text, '.', 1)))), FALSE) AS hit
@@ -663,13 +670,24 @@ FROM benchmark b LEFT JOIN hay ON hay.query_id = b.item_id WHERE b.item_id % 4 <
     "eval_forbid": f"""WITH {BENCH_HITS}
 SELECT b.item_id AS query_id, coalesce(bool_or(contains(h, 'fr/') OR contains(h, 'elle eau')), FALSE) AS found
 FROM benchmark b LEFT JOIN hay ON hay.query_id = b.item_id WHERE b.item_id % 4 > 1 GROUP BY b.item_id""",
+    "eval_gate": f"""WITH {INDEX},{bm25_hits(BENCHMARK_TERMS, strict=False, where=GATE_LIMITS)},
+top AS (SELECT query_id, id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {ORDER}) AS rank FROM scores)
+  WHERE rank <= query_id % 3 + 2),
+hay AS (
+  SELECT query_id, lower({CITATION} || ' ' || text) AS h
+  FROM top JOIN (SELECT *, 1 AS unit_parts FROM chunks) USING (id))
+SELECT b.item_id AS query_id, 'expected' AS kind,
+  coalesce(bool_or(contains(h, lower(split_part(b.text, '.', 1))) OR contains(h, 'thing')), FALSE) AS passed
+FROM benchmark b LEFT JOIN hay ON hay.query_id = b.item_id GROUP BY b.item_id
+UNION ALL SELECT b.item_id, 'forbidden', NOT coalesce(bool_or(contains(h, 'fr/') OR contains(h, 'elle eau')), FALSE)
+FROM benchmark b LEFT JOIN hay ON hay.query_id = b.item_id WHERE b.item_id % 2 = 0 GROUP BY b.item_id""",
     "dup_ids": "SELECT conv_id::VARCHAR AS id, count(*) AS n FROM conversations GROUP BY conv_id HAVING count(*) > 1",
     "completeness": """SELECT count(*) AS n_rows, count(*) FILTER (doc_id IS NULL) AS missing_id,
   count(*) FILTER (source IS NULL) AS missing_doc, count(*) FILTER (source IS NULL) AS missing_doc_title,
   count(*) FILTER (lang IS NULL) AS missing_lang, count(*) FILTER (text IS NULL) AS missing_text,
   0::BIGINT AS missing_unit_parts, count(*) FILTER (NOT contains(text, chr(10))) AS missing_section FROM documents""",
-    "document_set_difference": """WITH l AS (SELECT DISTINCT source AS doc FROM documents WHERE lang = 'fr' AND length(text) > 6000),
-r AS (SELECT DISTINCT source AS doc FROM documents WHERE lang = 'de' AND length(text) > 6000)
+    "document_set_difference": """WITH l AS (SELECT DISTINCT source || '/' || length(text) // 40 AS doc FROM documents WHERE lang = 'fr'),
+r AS (SELECT DISTINCT source || '/' || length(text) // 40 AS doc FROM documents WHERE lang = 'de')
 SELECT doc, 'left' AS side FROM l WHERE doc NOT IN (SELECT doc FROM r)
 UNION ALL SELECT doc, 'right' FROM r WHERE doc NOT IN (SELECT doc FROM l)""",
     "title_ratio": f"""WITH {packed('documents', 'doc_id', rules.CHUNK_TARGET)}

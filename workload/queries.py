@@ -18,6 +18,7 @@ from folioquery.operators import chunking, expansion, index, quality, scoring, u
 from folioquery.operators.filters import engine_condition, where_condition
 from folioquery.plans import build
 from folioquery.plans import search as S
+from folioquery.plans.evaluate import run_gate
 from folioquery.rules import SearchParams
 from folioquery.sources import corpus as src
 
@@ -123,8 +124,7 @@ def asset_lookup(spark, sf):
 def page_range_lookup(spark, sf):
     """Rendered pages inside each chunk's page range, within its document."""
     pictures = (
-        A.table(spark, sf, "documents").filter(F.length("text") > 100)
-        .select(
+        A.table(spark, sf, "documents").select(
             F.col("source").alias("doc"), F.col("doc_id").cast("int").alias("page"),
             F.concat(F.lit("p"), F.col("doc_id")).alias("path"),
         )
@@ -237,11 +237,11 @@ CYRILLIC = "абсдефгхийклмнопярстуввхыз"
 
 @query
 def stem_ru(spark, sf):
-    """The words of the documents written in Russian letters, stemmed by the Russian rules."""
+    """All words of the documents, their plain letters written in Russian ones, stemmed by the
+    Russian rules; words with other letters or digits among them."""
     d = src.spread(A.table(spark, sf, "documents"))
     cyrillic = F.translate(F.lower("text"), LATIN, CYRILLIC)
-    words = F.filter(T.surface_tokens(cyrillic), lambda t: t.rlike("^[а-я]+$"))
-    tokens = explode_once(d, F.array_distinct(words), "token").distinct()
+    tokens = explode_once(d, F.array_distinct(T.surface_tokens(cyrillic)), "token").distinct()
     return tokens.select("token", stem_russian(F.col("token")).alias("stem"))
 
 
@@ -772,20 +772,23 @@ def coalesce_profile(spark, sf):
     return c.select("c_custkey", app.resolve_engine(named, profile).alias("engine"))
 
 
-def _coverage(spark, sf):
-    """Coverage of sources by the engines their own documents are tagged with: sources
-    0-9 state theirs, the others state none."""
-    d = A.table(spark, sf, "documents")
-    stated = d.filter(F.length("source") == 4).select(
-        F.col("source").alias("doc"), F.explode(A.engine_tags(F.col("doc_id"))).alias("engine")
-    )
-    sparse = stated.filter((F.substring("doc", 4, 1).cast("int") + F.length("engine")) % 2 == 1)
-    return app.document_coverage(
-        d.select(F.col("source").alias("doc")),
-        sparse.filter(~((F.col("engine") == "K7M") & F.col("doc").isin("src0", "src4"))),
+def _volumes(spark, sf):
+    """Every document as a chunk of a volume of its source; a volume holds two in twenty
+    ids, two volumes hold one, so volumes cover different engines and some state none."""
+    rest = F.col("doc_id") % 20
+    volume = F.when(rest < 2, rest).otherwise(F.floor(rest / 2) + 100)
+    return A.table(spark, sf, "documents").select(
+        F.concat(F.col("source"), F.lit(":u"), F.col("doc_id"), F.lit(":0")).alias("id"),
+        F.concat_ws("/", "source", volume.cast("string")).alias("doc"), A.engine_tags(F.col("doc_id")).alias("engines"),
     )
 
 
+def _coverage(spark, sf):
+    """Coverage of volumes by the engines their own documents are tagged with."""
+    volumes = _volumes(spark, sf)
+    return app.document_coverage(volumes.select("doc"), volumes.select("doc", F.explode("engines").alias("engine")))
+
+
 @query
 def allowed_docs(spark, sf):
     return app.allowed_documents(_coverage(spark, sf), ["K7M", "D4F"])
@@ -799,8 +802,7 @@ def blocked_docs(spark, sf):
 @query
 def two_level_gate(spark, sf):
     """Documents that may answer for the engine, then the chunks inside them."""
-    chunks = A.documents_as_chunks(spark, sf)
-    return app.gate(chunks, _coverage(spark, sf), "K7M").select("id", "doc")
+    return app.gate(_volumes(spark, sf), _coverage(spark, sf), "K7M").select("id", "doc")
 
 
 # --- quality ----------------------------------------------------------------------------------------------
@@ -833,6 +835,35 @@ def eval_forbid(spark, sf):
     return quality.forbidden_found(_eval_cases(spark, sf), _eval_haystacks(spark, sf))
 
 
+def _filtered_cases(spark, sf):
+    """Benchmark texts as labelled questions with filters of several shapes, some naming an
+    engine; the text before the first stop is expected, two French strings are forbidden."""
+    shape = F.col("item_id") % 6
+    filters = (
+        F.when(shape == 1, F.lit('{"lang": "en"}'))
+        .when(shape == 2, F.lit('{"lang": ["fr", "de"]}'))
+        .when(shape == 3, F.lit('{"engine": ["K4M", "H4M"], "doc": null}'))
+        .when(shape == 4, F.lit('{"doc": []}'))
+        .when(shape == 5, F.lit('{"doc": ["src1", "src2", "src3", "src5", "src8"], "engine": "K7M"}'))
+    )
+    b = A.table(spark, sf, "benchmark")
+    return b.select(
+        F.col("item_id").alias("query_id"),
+        F.concat("text", F.when(F.col("item_id") % 4 == 0, F.lit(" k4m")).otherwise(F.lit(""))).alias("query"),
+        F.array(F.split_part("text", F.lit("."), F.lit(1)), F.lit("thing")).alias("expect_any"),
+        F.when(F.col("item_id") % 2 == 0, F.array(F.lit("fr/"), F.lit("elle eau"))).alias("forbid"),
+        F.parse_json(filters).alias("filters"),
+        (F.col("item_id") % 3 + 2).cast("int").alias("top_k"),
+    )
+
+
+@query
+def eval_gate(spark, sf):
+    """The whole gate: typed filters, guard, own hit counts, both verdicts."""
+    soft = SearchParams(**{**PLAIN.__dict__, "coverage": "soft"})
+    return run_gate(A.corpus_index(spark, sf), _filtered_cases(spark, sf), A.VEHICLE, params=soft).drop("query")
+
+
 @query
 def dup_ids(spark, sf):
     """Ids that occur more than once: conversations by conversation id."""
@@ -848,11 +879,9 @@ def completeness(spark, sf):
 
 @query
 def document_set_difference(spark, sf):
-    """Sources on one side only: those with French texts against those with German ones."""
-    d = A.documents_as_chunks(spark, sf)
-    fr = d.filter((F.col("lang") == "fr") & (F.length("text") > 6000)).select("doc")
-    de = d.filter((F.col("lang") == "de") & (F.length("text") > 6000)).select("doc")
-    return quality.set_difference(fr, de)
+    """Lengths of texts, in steps of 40, that occur on one side only: French or German."""
+    d = A.documents_as_chunks(spark, sf).withColumn("doc", F.concat_ws("/", "doc", F.floor(F.length("text") / 40).cast("string")))
+    return quality.set_difference(d.filter(F.col("lang") == "fr").select("doc"), d.filter(F.col("lang") == "de").select("doc"))
 
 
 @query
