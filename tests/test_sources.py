@@ -160,7 +160,7 @@ def test_filters_of_any_shape(spark, files):
 
 def test_gate_takes_lists_and_engines_and_refuses_unknown_keys(spark, files):
     index = open_index(spark, str(files / "built" / "index"))
-    rows = [(1, "разъемы", '{"engine": "K7M"}'), (2, "разъемы", '{"engine": ["K4M", "K7M"]}'), (3, "разъемы", '{"doc": []}'), (4, "разъемы", '{"doc": ["owner", "diagrams"], "lang": ["ru"]}')]
+    rows = [(1, "распиновка", '{"engine": "K7M"}'), (2, "распиновка", '{"engine": ["K4M", "K7M"]}'), (3, "распиновка", '{"doc": []}'), (4, "распиновка", '{"doc": ["owner", "diagrams"], "lang": ["ru"]}')]
 
     def cases(rows):
         df = spark.createDataFrame(rows, "query_id long, query string, f string").coalesce(1)
