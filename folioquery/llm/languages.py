@@ -8,6 +8,14 @@ domain's and those towards the whole. How often a declaration or a suffix goes w
 language is counted the same way. A row's own decision is taken out of its host's and
 domain's counts, so it is not evidence for itself.
 
+A further class stands for everything else, text in no labelled language and noise: all
+trigrams alike, ``BACKGROUND`` of all texts beforehand, no evidence but its likelihood. It
+takes part in the posterior, so a text that fits no language is not accepted.
+
+Each text goes to Python once for the fit and once for its likelihood, which is written;
+counts and decisions are made from these narrow rows, and the texts are joined last, by a
+row key of their own. Likelihoods leave Python in slices of ``SLICE`` rows.
+
 All counts cover all rows. What reaches the driver is the trigram model, whose size is
 languages x ``BUCKETS`` whatever the corpus. Count tables are joined; Spark broadcasts
 them only below its own size threshold, and skewed hosts are split by adaptive execution.
@@ -16,7 +24,9 @@ Defined cases: a text without words has no likelihood and is never accepted; nul
 declaration, host or suffix give no evidence; a declaration is reduced to its primary
 subtag; languages are those of the labelled rows (null labels ignored), and without any
 the result is null and not accepted; ties go to the first language in order; repeated
-rows keep a row each; other columns are carried, working columns start with ``_lang_``.
+rows keep a row each; other columns are carried, those named like a result are replaced;
+working columns start with ``_lang_``. More than ``MAX_LANGUAGES`` labels are an error:
+labels are a closed set of languages, and the model on the driver has that bound.
 """
 
 from __future__ import annotations
@@ -31,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tables import as_bytes
+from .tables import as_bytes, stored
 from .words import fold_words
 
 BUCKETS = 1 << 14
@@ -40,6 +50,9 @@ MAX_LANGUAGES = 256
 FULL_WEIGHT = 200.0
 ALPHA = 10.0  # pseudo-rows that a host or domain starts with
 MIN_PROBABILITY = 0.5
+BACKGROUND = 0.01
+SLICE = 512
+RESULTS = ["lang_id", "lang_probability", "lang_by_text", "lang_accepted", "lang_declared", "lang_host", "lang_suffix"]
 
 _HIDDEN = re.compile(rb"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
 
@@ -89,26 +102,33 @@ def fit_trigrams(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     return langs, np.log(counts / counts.sum(axis=0))
 
 
-def _with_likelihood(rows: DataFrame, langs: list[str], model: np.ndarray, html: bool) -> DataFrame:
-    """``rows`` with ``_lang_text`` (bytes) replaced by ``_lang_ll`` and ``_lang_n``."""
+def _with_likelihood(rows: DataFrame, model: np.ndarray, html: bool) -> DataFrame:
+    """``rows`` with ``_lang_text`` (bytes) replaced by the number of trigrams ``_lang_n``,
+    ``_lang_ll`` relative to the best language, and ``_lang_other``, the background's."""
     kept = [f for f in rows.schema.fields if f.name != "_lang_text"]
-    schema = T.StructType([*kept, T.StructField("_lang_ll", T.ArrayType(T.DoubleType())), T.StructField("_lang_n", T.LongType())])
+    schema = T.StructType([
+        *kept, T.StructField("_lang_ll", T.ArrayType(T.DoubleType())), T.StructField("_lang_other", T.DoubleType()), T.StructField("_lang_n", T.LongType()),
+    ])
     shared = rows.sparkSession.sparkContext.broadcast(model.astype(np.float32))
-    names = [f.name for f in kept]
+    names, flat = [f.name for f in kept], -np.log(BUCKETS)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = shared.value
-        for batch in batches:
-            lls, sizes = [], []
-            for data in batch.column("_lang_text"):
-                found = trigram_buckets(visible_text(data.as_py()) if html else data.as_py())
-                ll = weights[found].sum(axis=0, dtype=np.float64) / (1 + len(found) / FULL_WEIGHT)
-                lls.append((ll - ll.max()).tolist())
-                sizes.append(len(found))
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(n) for n in names), pa.array(lls, pa.list_(pa.float64())), pa.array(sizes, pa.int64())],
-                names=[*names, "_lang_ll", "_lang_n"],
-            )
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(at, SLICE)
+                lls, others, sizes = [], [], []
+                for data in batch.column("_lang_text"):
+                    found = trigram_buckets(visible_text(data.as_py()) if html else data.as_py())
+                    level = 1 + len(found) / FULL_WEIGHT
+                    ll = weights[found].sum(axis=0, dtype=np.float64) / level
+                    lls.append((ll - ll.max()).tolist())
+                    others.append(len(found) * flat / level - ll.max())
+                    sizes.append(len(found))
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(n) for n in names), pa.array(lls, pa.list_(pa.float64())), pa.array(others, pa.float64()), pa.array(sizes, pa.int64())],
+                    names=[*names, "_lang_ll", "_lang_other", "_lang_n"],
+                )
 
     return rows.mapInArrow(score, schema)
 
@@ -135,24 +155,31 @@ def identify_languages(
     """``rows`` with ``lang_id``, ``lang_probability``, ``lang_by_text``, ``lang_accepted``,
     ``lang_declared``, ``lang_host`` and ``lang_suffix``; without the text column on request."""
     labels = F.split(host, r"\.")
+    carried = [c for c in rows.columns if c not in RESULTS and (keep_text or c != text_col)]
+    keys = ["_lang_declared", "_lang_host", "_lang_domain", "_lang_suffix"]
     prepared = rows.select(
-        *[c for c in rows.columns if keep_text or c != text_col],
+        *carried,
         F.nullif(F.lower(F.regexp_extract(F.coalesce(declared, F.lit("")), "^[A-Za-z]+", 0)), F.lit("")).alias("_lang_declared"),
         F.nullif(host, F.lit("")).alias("_lang_host"),
         F.when(F.size(labels) > 1, F.concat_ws(".", F.slice(labels, -2, 2))).alias("_lang_domain"),
         F.when(F.size(labels) > 1, F.element_at(labels, -1)).alias("_lang_suffix"),
-        as_bytes(text_col).alias("_lang_text"),
+        *([] if keep_text else [as_bytes(text_col).alias("_lang_text")]),
     )
+    passed = carried
+    if keep_text:
+        prepared = stored(prepared.withColumn("_lang_row", F.monotonically_increasing_id()), "language-rows")
+        passed = ["_lang_row"]
     size = max(1, len(langs))
-    slim = prepared.select("_lang_declared", "_lang_host", "_lang_domain", "_lang_suffix", "_lang_text")
-    soft = _with_likelihood(slim, langs, model, html).withColumn("_lang_soft", _softmax(F.col("_lang_ll"))).withColumn("_lang_all", F.lit(0))
+    text = as_bytes(text_col) if keep_text else F.col("_lang_text")
+    slim = prepared.select(*passed, *keys, text.alias("_lang_text"))
+    soft = stored(_with_likelihood(slim, model, html), "language-evidence").withColumn("_lang_soft", _softmax(F.col("_lang_ll"))).withColumn("_lang_all", F.lit(0))
     whole = _counts(soft, "_lang_all", size, "n").first()
     total = np.array(whole["n"] if whole else [0.0] * size)
     base = F.array(*[F.lit(float(x)) for x in (total + 1) / (total.sum() + size)])
     marginal = F.array(*[F.lit(float(x)) for x in total + 1.0])
 
-    joined = _with_likelihood(prepared, langs, model, html).withColumn("_lang_soft", _softmax(F.col("_lang_ll")))
-    for key in ("_lang_host", "_lang_domain", "_lang_declared", "_lang_suffix"):
+    joined = soft.drop("_lang_all")
+    for key in keys:
         joined = joined.join(_counts(soft, key, size, f"{key}_n"), key, "left")
 
     zero = F.array(*[F.lit(0.0)] * size)
@@ -174,18 +201,21 @@ def identify_languages(
     )
     add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
     logs = add(add(F.col("_lang_ll"), F.transform("_lang_p2", lambda p: F.log(p))), add(evidence(F.col("_lang_declared_n")), evidence(F.col("_lang_suffix_n"))))
-    joined = joined.withColumn("_lang_logs", logs).withColumn("_lang_logs", F.transform("_lang_logs", lambda x: x - F.array_max("_lang_logs")))
-    joined = joined.withColumn("_lang_post", _softmax(F.col("_lang_logs"))).withColumn("_lang_best", F.array_max("_lang_post"))
+    # The background is the last entry.
+    joined = joined.withColumn("_lang_logs", F.array_append(logs, F.col("_lang_other") + float(np.log(BACKGROUND))))
+    joined = joined.withColumn("_lang_logs", F.transform("_lang_logs", lambda x: x - F.array_max("_lang_logs")))
+    joined = joined.withColumn("_lang_post", F.slice(_softmax(F.col("_lang_logs")), 1, size)).withColumn("_lang_best", F.array_max("_lang_post"))
     names = F.array(*[F.lit(x) for x in langs]) if langs else F.lit(None).cast("array<string>")
     best = names[(F.array_position("_lang_post", F.col("_lang_best")) - 1).cast("int")]
     by_text = names[(F.array_position("_lang_ll", F.lit(0.0)) - 1).cast("int")]
     worded = F.col("_lang_n") > 0
     accepted = worded & (F.col("_lang_best") >= MIN_PROBABILITY) & F.lit(bool(langs))
-    return joined.select(
-        *[c for c in rows.columns if keep_text or c != text_col],
+    decided = joined.select(
+        *passed,
         best.alias("lang_id"), F.col("_lang_best").alias("lang_probability"), F.when(worded, by_text).alias("lang_by_text"), accepted.alias("lang_accepted"),
         F.col("_lang_declared").alias("lang_declared"), F.col("_lang_host").alias("lang_host"), F.col("_lang_suffix").alias("lang_suffix"),
     )
+    return prepared.drop(*keys).join(decided, "_lang_row").drop("_lang_row") if keep_text else decided
 
 
 def markup_language(html: Column) -> Column:

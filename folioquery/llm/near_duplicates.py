@@ -21,9 +21,10 @@ buckets are dealt as a grid of cells. Thus no candidate link between classes is
 no bucket, class or link list is collected.
 
 Defined cases: null or empty text and text without words have no elements and are classes
-of their own; fewer than five words are one element; rows that share an id share a class;
-a null id has a null class; ties pick the smallest id; empty tables give empty results;
-other columns are not looked at.
+of their own; fewer than five words are one element; rows that share an id are told apart
+by their text and each keeps its links, so an id can stand in two classes, which count as one
+where they get the same smallest id; a null id has a null class; ties pick the smallest id;
+empty tables give empty results; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -41,6 +42,7 @@ from .words import mix, shingles
 
 REGISTERS, ROWS = 100, 4  # 25 bands: a pair at 0.8 is missed with probability (1 - 0.8**4)**25 = 2e-6
 THRESHOLD = 0.8
+SLICE = 512  # rows whose signatures leave Python together
 CELL = 200  # members on each side of a grid cell of a large bucket
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -127,12 +129,12 @@ def _most_apart(x: str, y: str, far: float) -> Column:
 
 
 def _signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, print_a, print_b, bands, total, extra, fine, half); no elements: null prints and no bands."""
+    """(doc_id, hash, print_a, print_b, bands, total, extra, fine, half); no elements: null prints and no bands."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, SLICE) for whole in batches for at in range(0, whole.num_rows, SLICE)):
             a, b, bands, total, extra, fine, half = [], [], [], [], [], [], []
-            for data in batch.column(1):
+            for data in batch.column(2):
                 elements, weights = shingles(data.as_py())
                 if not elements.size:
                     a.append(None), b.append(None), bands.append([]), total.append(0), extra.append(0), fine.append([]), half.append([])
@@ -149,14 +151,14 @@ def _signatures(docs: DataFrame) -> DataFrame:
                     key = mix(key + rows[:, r])
                 bands.append(key.view(np.int64).tolist())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(bands, longs)]
+                [batch.column(0), batch.column(1), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(bands, longs)]
                 + [pa.array(total, pa.int64()), pa.array(extra, pa.int64()), pa.array(fine, longs), pa.array(half, longs)],
-                names=["doc_id", "print_a", "print_b", "bands", "total", "extra", "fine", "half"],
+                names=["doc_id", "hash", "print_a", "print_b", "bands", "total", "extra", "fine", "half"],
             )
 
     longs = pa.list_(pa.int64())
     return docs.mapInArrow(
-        sign, "doc_id long, print_a long, print_b long, bands array<long>, total long, extra long, fine array<long>, half array<long>"
+        sign, "doc_id long, hash long, print_a long, print_b long, bands array<long>, total long, extra long, fine array<long>, half array<long>"
     )
 
 
@@ -222,20 +224,21 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     """One row per document: ``class_id`` is the smallest id of its class, ``class_size``
     counts its documents, ``kept`` marks the one with that id."""
     far = 1.0 - threshold + 1e-9
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), as_bytes(text_col).alias("data"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(as_bytes(text_col)).alias("hash"), as_bytes(text_col).alias("data"))
     signed = stored(_signatures(texts), "minhash-signatures")
+    # A node is a weighted set with a number of its own: rows that share an id can differ in text.
     nodes = signed.filter("doc_id is not null and print_a is not null").groupBy("print_a", "print_b").agg(
-        F.min("doc_id").alias("node"), *(F.first(c).alias(c) for c in ("bands", "total", "extra", "fine", "half"))
+        F.min(F.struct("doc_id", "hash")).alias("least"), *(F.first(c).alias(c) for c in ("bands", "total", "extra", "fine", "half"))
     )
-    nodes = stored(nodes, "minhash-nodes")
+    nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "minhash-nodes")
     members = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     # The centre is picked by a hash, so that different bands pick different centres.
     centres = members.groupBy("band", "key").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("node", "band").alias("h"), "node")).alias("c")
     ).filter("n > 1").select("band", "key", F.col("c.node").alias("centre"))
     buckets = stored(members.join(centres, ["band", "key"]).select("band", "key", "node", "centre"), "minhash-buckets")
-    involved = buckets.select("node").distinct()
-    whole = texts.withColumnRenamed("doc_id", "node").join(involved, "node", "left_semi").dropDuplicates(["node"])
+    involved = nodes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "least.doc_id", "least.hash")
+    whole = texts.join(involved, ["doc_id", "hash"]).select("node", "data").dropDuplicates(["node"])
     whole = stored(whole, "minhash-texts")
 
     stars = buckets.filter("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
@@ -271,8 +274,11 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     if not more.isEmpty():
         classes = components(links.unionByName(more))
 
-    by_node = nodes.select("print_a", "print_b", "node").join(classes.withColumnRenamed("vertex", "node"), "node", "left")
-    by_print = by_node.select("print_a", "print_b", F.coalesce("component", "node").alias("class_id"))
+    named = nodes.select("print_a", "print_b", "node", F.col("least.doc_id").alias("own"))
+    linked = named.join(classes.withColumnRenamed("vertex", "node"), "node")
+    smallest = linked.groupBy("component").agg(F.min("own").alias("class_id"))
+    linked = linked.join(smallest, "component").select("node", "class_id")
+    by_print = named.join(linked, "node", "left").select("print_a", "print_b", F.coalesce("class_id", "own").alias("class_id"))
     named = signed.select("doc_id", "print_a", "print_b").join(by_print, ["print_a", "print_b"], "left")
     named = named.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
     sizes = named.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"))

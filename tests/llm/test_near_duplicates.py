@@ -127,3 +127,11 @@ def test_sketches_rule_out_no_link(spark):
         else:
             out += r.d > r.most
     assert links > 50 and out > 200
+
+
+def test_an_id_with_two_texts_keeps_both_links_in_any_order(spark):
+    base = [" ".join(f"{p}{i}" for i in range(60)) for p in "xy"]
+    rows = [(5, base[0]), (5, base[1]), (6, base[0] + " more"), (7, base[1] + " more"), (8, "something else entirely here today")]
+    for order in (rows, rows[::-1]):
+        got = near_duplicate_classes(spark.createDataFrame(order, "doc_id long, text string").coalesce(1)).collect()
+        assert sorted((r.doc_id, r.class_id) for r in got) == [(5, 5), (5, 5), (6, 5), (7, 5), (8, 8)]
