@@ -1,4 +1,10 @@
-"""Documents to training sequences: five stages, each on all rows the one before kept."""
+"""Documents to training sequences: five stages, each on all rows the one before kept.
+
+Defined cases: a null, empty or wordless text has no language and goes in the first stage;
+null and repeated ids are no hindrance, every row is decided on by itself; a null label is
+evidence for no language; equal rows are one class of near duplicates, of which one stays;
+columns beyond those of documents are left out; an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
@@ -17,9 +23,9 @@ from folioquery.llm.tables import stored, table
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows whose id is listed, one for each id."""
-    return docs.select(*COLUMNS).join(ids.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+def _keyed(docs: DataFrame, name: str) -> DataFrame:
+    """The rows, written, with a key of their own: ids can be null or repeated."""
+    return stored(docs.select(*COLUMNS).withColumn("row_key", F.monotonically_increasing_id()), name)
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,15 +37,18 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 3: one document of each class stays, the one of smallest id; rows without an id stay."""
-    kept = _only(docs, near_duplicate_classes(docs).filter("kept"))
-    return kept.unionByName(docs.filter("doc_id is null").select(*COLUMNS))
+    """Operator 3: one row of each class stays, that of smallest id; a row without an id
+    only where no row of its class has one. Rows without words are classes of their own."""
+    rows = _keyed(docs, "near-duplicate-rows")
+    found = near_duplicate_classes(rows, id_col="row_key").select(F.col("doc_id").alias("row_key"), "class_id")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key"))
+    kept = rows.select("row_key", "doc_id").join(found, "row_key").groupBy("class_id").agg(first.alias("first"))
+    return rows.join(stored(kept.select("first.row_key"), "near-duplicate-kept"), "row_key", "left_semi").select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 2: documents that hold a benchmark window go, with an id or without."""
-    # Ids can be null or repeated: rows are decided on by a stored key of their own.
-    rows = stored(docs.select(*COLUMNS).withColumn("row_key", F.monotonically_increasing_id()), "decontamination-rows")
+    rows = _keyed(docs, "decontamination-rows")
     found = find_contamination(rows, table(spark, sf_dir, "benchmark"), id_col="row_key")
     hit = found.filter("contaminated").select(F.col("doc_id").alias("row_key"))
     # Few rows: stored, so that the scan of all texts runs once and Spark sees their size.
