@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import stored
+from .tables import discard, stored
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -34,7 +34,8 @@ def components(links: DataFrame) -> DataFrame:
     edges = stored(edges, "components")
     state = None
     while True:
-        edges = stored(_star(_star(edges, True), False), "components")
+        before, edges = edges, stored(_star(_star(edges, True), False), "components")
+        discard(before)
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == state:
             break

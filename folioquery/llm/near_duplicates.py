@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graphs import components
-from .tables import as_bytes, stored
+from .tables import as_bytes, discard, stored
 from .words import mix, shingles
 
 REGISTERS, ROWS = 100, 4  # 25 bands: a pair at 0.8 is missed with probability (1 - 0.8**4)**25 = 2e-6
@@ -231,6 +231,8 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
         F.min(F.struct("doc_id", "hash")).alias("least"), *(F.first(c).alias(c) for c in ("bands", "total", "extra", "fine", "half"))
     )
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "minhash-nodes")
+    prints = stored(signed.select("doc_id", "print_a", "print_b"), "minhash-prints")
+    discard(signed)  # the sketches live on in the nodes
     members = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     # The centre is picked by a hash, so that different bands pick different centres.
     centres = members.groupBy("band", "key").agg(
@@ -279,7 +281,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     smallest = linked.groupBy("component").agg(F.min("own").alias("class_id"))
     linked = linked.join(smallest, "component").select("node", "class_id")
     by_print = named.join(linked, "node", "left").select("print_a", "print_b", F.coalesce("class_id", "own").alias("class_id"))
-    named = signed.select("doc_id", "print_a", "print_b").join(by_print, ["print_a", "print_b"], "left")
+    named = prints.join(by_print, ["print_a", "print_b"], "left")
     named = named.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
     sizes = named.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"))
     return named.join(sizes, "class_id", "left").select(

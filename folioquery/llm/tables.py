@@ -24,3 +24,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = new_scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(table: DataFrame) -> None:
+    """Remove a written table. Only for tables from which nothing unwritten still reads:
+    a lost executor may else ask for them again."""
+    spark = table.sparkSession
+    for folder in {path.rsplit("/", 1)[0] for path in table.inputFiles()}:
+        at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

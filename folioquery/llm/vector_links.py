@@ -8,8 +8,10 @@ precision links. The codebooks grow with the table so that buckets keep their ex
 size; the threshold follows from the wanted number of filters per vector.
 
 Buckets are cut into blocks by a hash of the id, and pairs of blocks are compared as
-separate groups, so no task holds more than two blocks. A pair counts in the smallest of
-its common filters only. Groups give counts per vector and a star per connected set, rows
+separate groups, so no task holds more than two blocks. Only the vector itself, as it came,
+travels to its filters. A pair counts in the smallest of its common filters only; codebooks
+follow from the table, so the filters of the few vectors with a near one are decoded again
+where that is asked. Groups give counts per vector and a star per connected set, rows
 in proportion to the vectors, not the pairs.
 
 Defined cases: null, zero or non-finite vectors and those with null components link with
@@ -19,7 +21,7 @@ empty tables give empty results; other columns are not looked at. A null id is k
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from statistics import NormalDist
 
 import numpy as np
@@ -60,38 +62,53 @@ def decode(vector: np.ndarray, books: list[np.ndarray], least: float) -> np.ndar
     return np.sort(np.repeat(np.arange(len(left)), count) * words**2 + order[at])
 
 
+class Decoder:
+    """Unit vectors and their filters, with codebooks made once for each length."""
+
+    def __init__(self, words: int):
+        self.words, self.books = words, {}
+
+    def unit(self, values: np.ndarray) -> np.ndarray:
+        x = values.astype(np.float64)
+        x = x / np.abs(x).max()  # so that squares cannot overflow
+        return x / np.linalg.norm(x)
+
+    def filters(self, x: np.ndarray) -> np.ndarray:
+        if len(x) not in self.books:
+            self.books[len(x)] = (codebooks(len(x), self.words), threshold(len(x), self.words))
+        book, least = self.books[len(x)]
+        # Few or uneven coordinates reach no far direction: the best ones always count.
+        best = sum((b @ part).max() for b, part in zip(book, np.array_split(x, BLOCKS), strict=True)) / BLOCKS**0.5
+        return decode(x, book, min(least, NEAR_BEST * best))
+
+
 def _decoded(vectors: DataFrame, words: int) -> DataFrame:
+    """(vec_id, v, filters): each vector as it came, with its filters."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        books: dict[int, tuple] = {}
+        decoder = Decoder(words)
         for batch in batches:
-            ids, filters, units = [], [], []
-            for vec, values in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                x = np.array(values, np.float64)
-                if len(x) not in books:
-                    books[len(x)] = (codebooks(len(x), words), threshold(len(x), words))
-                x = x / np.abs(x).max()  # so that squares cannot overflow
-                x = x / np.linalg.norm(x)
-                book, least = books[len(x)]
-                # Few or uneven coordinates reach no far direction: the best ones always count.
-                best = sum((b @ part).max() for b, part in zip(book, np.array_split(x, BLOCKS), strict=True)) / BLOCKS**0.5
-                ids.append(vec), filters.append(decode(x, book, min(least, NEAR_BEST * best))), units.append(x)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(filters, pa.list_(pa.int64())), pa.array(units, pa.list_(pa.float64()))], names=["vec_id", "filters", "unit"]
-            )
-
-    return vectors.mapInArrow(run, "vec_id long, filters array<long>, unit array<double>")
-
-
-def linked(ids: np.ndarray, units: np.ndarray, filters: list[np.ndarray], here: int, side: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
+            filters = [decoder.filters(decoder.unit(np.array(values))) for values in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(filters, pa.list_(pa.int64()))], names=["vec_id", "v", "filters"])
+
+    kind = dict(vectors.dtypes)["v"]
+    return vectors.mapInArrow(run, f"vec_id long, v {kind}, filters array<long>")
+
+
+def linked(ids: np.ndarray, units: np.ndarray, filters: Callable[[np.ndarray], np.ndarray], here: int, side: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
     """(links, smallest row of the connected set) of each row of one group."""
-    mine = [f[f < here] for f in filters]
-    known, place = np.unique(np.concatenate(mine), return_inverse=True)
-    member = np.zeros((len(ids), len(known)), np.float32)
-    member[np.repeat(np.arange(len(ids)), [len(f) for f in mine]), place] = 1
-    near = (units @ units.T >= LEAST) & (member @ member.T == 0) & (ids[:, None] != ids[None, :])
+    near = (units @ units.T >= LEAST) & (ids[:, None] != ids[None, :])
     if not same:
         near &= side[:, None] != side[None, :]
+    some = np.flatnonzero(near.any(axis=1))
     root = np.arange(len(ids))
+    if not len(some):
+        return np.zeros(len(ids), np.int64), root
+    mine = [found[found < here] for found in (filters(units[row]) for row in some)]
+    known, place = np.unique(np.concatenate(mine), return_inverse=True)
+    member = np.zeros((len(some), len(known)), np.float32)
+    member[np.repeat(np.arange(len(some)), [len(f) for f in mine]), place] = 1
+    near[np.ix_(some, some)] &= member @ member.T == 0
     while True:
         least = np.where(near, root[None, :], len(ids)).min(axis=1)
         lower = np.minimum(root, least)
@@ -101,49 +118,49 @@ def linked(ids: np.ndarray, units: np.ndarray, filters: list[np.ndarray], here:
         root = lower
 
 
-def _compare(groups: DataFrame) -> DataFrame:
+def _compare(groups: DataFrame, words: int) -> DataFrame:
     """(vec_id, links, root) from rows sorted by (dim, filter, low, high)."""
 
-    def settle(key, held):
+    def settle(decoder, key, held):
         ids = np.array([r["vec_id"] for r in held])
-        units, filters = np.array([r["unit"] for r in held]), [np.array(r["filters"], np.int64) for r in held]
-        links, root = linked(ids, units, filters, key[1], np.array([r["blk"] for r in held]), key[2] == key[3])
+        units = np.array([decoder.unit(np.array(r["v"])) for r in held])
+        links, root = linked(ids, units, decoder.filters, key[1], np.array([r["blk"] for r in held]), key[2] == key[3])
         keep = np.flatnonzero(links)
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (ids[keep], links[keep], ids[root[keep]])], names=["vec_id", "links", "root"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
+        key, held, decoder = None, [], Decoder(words)
         for batch in batches:
             for r in batch.to_pylist():
                 own = (r["dim"], r["filter"], r["low"], r["high"])
                 if own != key:
                     if len(held) > 1:
-                        yield settle(key, held)
+                        yield settle(decoder, key, held)
                     key, held = own, []
                 held.append(r)
         if len(held) > 1:
-            yield settle(key, held)
+            yield settle(decoder, key, held)
 
     return groups.mapInArrow(run, "vec_id long, links long, root long")
 
 
 def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """One row per vector: links, component and whether it represents its component."""
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v"))
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     sound = rows.filter("vec_id is not null and v is not null").filter(F.forall("v", finite) & F.exists("v", lambda x: x != 0))
     n = vectors.count()
     words = max(8, int((max(n, 1) / 4) ** (1 / BLOCKS)))
     decoded = stored(_decoded(sound, words), "vector-filters")
-    each = decoded.select("vec_id", F.size("unit").alias("dim"), F.explode("filters").alias("filter"))
+    each = decoded.select("vec_id", F.size("v").alias("dim"), F.explode("filters").alias("filter"))
     buckets = each.groupBy("dim", "filter").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     buckets = buckets.select("dim", "filter", F.ceil(F.col("n") / GROUP).cast("int").alias("parts"))
-    placed = decoded.select("vec_id", "unit", "filters", F.size("unit").alias("dim"), F.explode("filters").alias("filter")).join(buckets, ["dim", "filter"])
+    placed = decoded.select("vec_id", "v", F.size("v").alias("dim"), F.explode("filters").alias("filter")).join(buckets, ["dim", "filter"])
     placed = placed.withColumn("blk", F.pmod(F.xxhash64("vec_id", "filter"), F.col("parts")).cast("int"))
     other = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    groups = other.select("dim", "filter", F.least("blk", "with").alias("low"), F.greatest("blk", "with").alias("high"), "blk", "vec_id", "unit", "filters")
+    groups = other.select("dim", "filter", F.least("blk", "with").alias("low"), F.greatest("blk", "with").alias("high"), "blk", "vec_id", "v")
     key = ["dim", "filter", "low", "high"]
-    found = stored(_compare(groups.repartition(*key).sortWithinPartitions(*key)), "vector-links")
+    found = stored(_compare(groups.repartition(*key).sortWithinPartitions(*key), words), "vector-links")
     links = found.groupBy("vec_id").agg(F.sum("links").alias("n_links"))
     classes = components(found.filter("vec_id <> root").select(F.col("vec_id").alias("a"), F.col("root").alias("b")))
     out = rows.select("vec_id").join(links, "vec_id", "left").join(classes.withColumnRenamed("vertex", "vec_id"), "vec_id", "left")
