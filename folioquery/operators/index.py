@@ -241,7 +241,7 @@ def suggested_buckets(scan: DataFrame) -> int:
     return min(4096, max(8, scan.rdd.getNumPartitions() // 8))
 
 
-def write_index(chunks: DataFrame, path: str, buckets: int = TERM_BUCKETS) -> None:
+def write_index(chunks: DataFrame, path: str, buckets: int = TERM_BUCKETS, blocks: int | None = None) -> None:
     """Build and store every index table under ``path``.
 
     Texts are tokenised once for the postings; term counts and totals read the
@@ -262,7 +262,8 @@ def write_index(chunks: DataFrame, path: str, buckets: int = TERM_BUCKETS) -> No
         rows.withColumn("id_bucket", id_bucket(F.col("id"), buckets)),
         "chunks", "id_bucket", "id_bucket", "id",
     )
-    blocks = suggested_blocks(spark.read.parquet(f"{path}/chunks").count())  # from file footers
+    if blocks is None:
+        blocks = suggested_blocks(spark.read.parquet(f"{path}/chunks").count())  # from file footers
     store(build_postings(rows, buckets, blocks), "postings", "bucket", "bucket", "term", "block", "chunk_id")
     postings = spark.read.parquet(f"{path}/postings")
     store(block_bounds(postings), "bounds", "bucket", "bucket", "term", "block")

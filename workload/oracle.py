@@ -611,6 +611,7 @@ capped AS (SELECT * FROM (
             ("batch", ranked(bm25_hits(BENCHMARK_TERMS, strict=False), 3)),
         )
     ),
+    "corpus_layers": ranked(bm25_hits(one_word_concepts("erst", "thing")), 50),
     "bm25_guarded": ranked(
         bm25_hits(
             BENCHMARK_TERMS, strict=False,

@@ -16,10 +16,11 @@ from folioquery.functions.russian import stem_russian
 from folioquery.operators import applicability as app
 from folioquery.operators import chunking, expansion, index, quality, scoring, units
 from folioquery.operators.filters import engine_condition, where_condition
-from folioquery.plans import build
+from folioquery.plans import build, updates
 from folioquery.plans import search as S
 from folioquery.plans.evaluate import run_gate
 from folioquery.rules import SearchParams
+from folioquery.session import new_scratch_path
 from folioquery.sources import corpus as src
 
 from . import adapter as A
@@ -680,6 +681,21 @@ def bm25_pruned(spark, sf):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+@query
+def corpus_layers(spark, sf):
+    """Hits from a corpus that two publishers built in three steps: one hands in texts that
+    are partly outdated, a second adds its own, the first hands in its texts anew."""
+    path = new_scratch_path(spark, "layers")
+    volume = F.concat_ws("/", "doc", "lang", (F.col("pdf_page") % 3).cast("string"))
+    chunks = A.documents_as_chunks(spark, sf).withColumn("doc", volume)
+    first, second = chunks.filter("lang in ('en', 'fr')"), chunks.filter("lang not in ('en', 'fr')")
+    outdated = first.withColumn("text", F.when(F.col("doc").endswith("/1"), F.concat(F.lit("erst thing "), "text")).otherwise(F.col("text")))
+    updates.ingest_documents(spark, path, outdated, "first", buckets=8)
+    updates.ingest_documents(spark, path, second, "second")
+    updates.ingest_documents(spark, path, first, "first")
+    return _hits(S.search(updates.open_corpus(spark, path), _queries(spark, "erst thing"), top_k=50, params=PLAIN))
+
+
 @query
 def bm25_guarded(spark, sf):
     """Benchmark texts, some naming an engine, behind the applicability guard."""
