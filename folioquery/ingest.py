@@ -1,11 +1,13 @@
 """Build a corpus and its index from page texts.
 
     python -m folioquery.ingest PAGES OUT --layout handbook|headings|manual
-        [--bookmarks F] [--toc F] [--sources F] [--images F] [--buckets N] [--stats]
+        [--bookmarks F] [--toc F] [--depth N] [--sources F] [--images F] [--buckets N] [--stats]
 
 All inputs are JSON lines. PAGES: doc, lang, part, page, text, where ``page``
 counts inside each ``part`` of a split file. Bookmarks and contents entries: doc,
-level, title, page, with page numbers running through the whole document.
+level, title, page and maybe position (the place in the outline, for entries that share a
+page), with page numbers running through the whole document. ``--depth`` is the level down
+to which bookmarks open units and titles are paths; without it all do, under plain titles.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from .plans import build
 from .sources.corpus import corpus_stats, read_chunks, read_sources
 
 PAGES = "doc string, lang string, part int, page long, text string"
-MARKS = "doc string, level int, title string, page long"
+MARKS = "doc string, level int, title string, page long, position long"
 IMAGES = "doc string, unit_id string, lang string, section string, image string, text string"
 
 
@@ -33,6 +35,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--layout", choices=("handbook", "headings", "manual"), required=True)
     p.add_argument("--bookmarks")
     p.add_argument("--toc")
+    p.add_argument("--depth", type=int)
     p.add_argument("--sources")
     p.add_argument("--images")
     p.add_argument("--buckets", type=int, default=TERM_BUCKETS)
@@ -59,13 +62,13 @@ def run(spark: SparkSession, argv: Sequence[str]) -> list[str]:
         if not args.bookmarks:
             parser().error("the manual layout needs --bookmarks")
         marks = spark.read.schema(MARKS).json(args.bookmarks)
-        units = build.units_by_bookmarks(build.parse_manual(pages), marks)
+        units = build.units_by_bookmarks(build.parse_manual(pages), marks, depth=args.depth)
     else:
         parsed = build.parse_handbook(pages)
         by = build.units_by_layout_id if args.layout == "handbook" else build.units_by_heading
         units = by(parsed)
     if args.toc:
-        units = U.fill_titles(units, spark.read.schema(MARKS).json(args.toc))
+        units = U.fill_titles(units, spark.read.schema(MARKS).json(args.toc), depth=args.depth)
     if args.images:
         units = U.union_units(units, spark.read.schema(IMAGES).json(args.images)).fillna(
             0, ["block"]

@@ -85,16 +85,123 @@ def global_pages(pages: DataFrame, parts: DataFrame) -> DataFrame:
     )
 
 
-def bookmark_ranges(bookmarks: DataFrame) -> DataFrame:
+def _numbered(bookmarks: DataFrame, block: int) -> DataFrame:
+    """Bookmarks in reading order, ``ordinal`` counting from 0 within the document.
+
+    The order is page, ``position`` (where the outline states one), level, title. Rows
+    are numbered inside blocks of ``block`` pages; block totals are added by key.
+    """
+    stated = F.col("position") if "position" in bookmarks.columns else F.lit(None)
+    inside = Window.partitionBy("doc", "_block").orderBy("first_page", "_position", "level", "title")
+    across = Window.partitionBy("doc").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocked = bookmarks.filter(F.col("page").isNotNull()).select(
+        "doc", F.greatest(F.coalesce("level", F.lit(1)), F.lit(1)).cast("int").alias("level"),
+        F.nullif(F.trim("title"), F.lit("")).alias("title"), F.col("page").alias("first_page"),
+        stated.cast("bigint").alias("_position"), F.floor(F.col("page") / block).alias("_block"),
+    )
+    before = blocked.groupBy("doc", "_block").agg(F.count("*").alias("_rows")).select(
+        "doc", "_block", F.coalesce(F.sum("_rows").over(across), F.lit(0)).alias("_before")
+    )
+    return (
+        blocked.withColumn("_row", F.row_number().over(inside))
+        .join(before, ["doc", "_block"])
+        .select("doc", "level", "title", "first_page", (F.col("_before") + F.col("_row") - 1).alias("ordinal"))
+    )
+
+
+def bookmark_tree(bookmarks: DataFrame, block: int = 4096) -> DataFrame:
+    """Nested sections of an outline: ``(doc, ordinal, level, title, path, parent, first_page, end_page)``.
+
+    A section ends where the next bookmark of its own level or above begins (null: with
+    the document). ``path`` holds the titles from the outermost section down to its own,
+    ``parent`` the ordinal of the one around it; levels may be skipped. Bookmarks without
+    a page open nothing.
+
+    Each bookmark asks every level down to its own for the last mark before it and the
+    first after it. The answers are as-of values inside blocks of ``block`` bookmarks,
+    completed from the blocks' first and last marks, so no task works through a whole
+    document; a bookmark's answers, as many as it has levels, meet in one row.
+    """
+    mark = F.when(F.col("at") == F.col("level"), F.struct("ordinal", "first_page", "title"))
+    asked = _numbered(bookmarks, block).select(
+        "*", F.floor(F.col("ordinal") / block).alias("_block"),
+        F.explode(F.sequence(F.lit(1), F.col("level"))).alias("at"),
+    ).withColumn("_mark", mark)
+    inside, across = Window.partitionBy("doc", "at", "_block"), Window.partitionBy("doc", "at")
+
+    def latest(value: str, window: Window) -> Column:
+        # Looking ahead is looking back in the other order, which needs one pass only.
+        return F.last(value, ignorenulls=True).over(window.rowsBetween(Window.unboundedPreceding, -1))
+
+    around = (
+        asked.groupBy("doc", "at", "_block")
+        .agg(F.min("_mark").alias("_first"), F.max("_mark").alias("_last"))
+        .select(
+            "doc", "at", "_block",
+            latest("_last", across.orderBy("_block")).alias("_block_before"),
+            latest("_first", across.orderBy(F.desc("_block"))).alias("_block_after"),
+        )
+    )
+    placed = (
+        asked.withColumn("_before", latest("_mark", inside.orderBy("ordinal")))
+        .withColumn("_after", latest("_mark", inside.orderBy(F.desc("ordinal"))))
+        .join(around, ["doc", "at", "_block"])
+        .withColumn("_before", F.coalesce("_before", "_block_before"))
+        .withColumn("_after", F.coalesce("_after", "_block_after"))
+    )
+    outer = F.when(
+        (F.col("at") < F.col("level")) & F.col("_before").isNotNull(),
+        F.struct("at", F.col("_before.ordinal").alias("ordinal"), F.col("_before.title").alias("title")),
+    )
+    # A mark of an inner level counts only if it came after all marks of the levels above.
+    none = F.struct(F.lit(-1).cast("bigint").alias("last"), F.array().cast("array<string>").alias("titles"))
+    chain = F.aggregate(
+        F.sort_array(F.collect_list(outer)), none,
+        lambda acc, o: F.when(
+            o["ordinal"] > acc["last"],
+            F.struct(o["ordinal"].alias("last"), F.concat(acc["titles"], F.array(o["title"])).alias("titles")),
+        ).otherwise(acc),
+    )
+    return (
+        placed.groupBy("doc", "ordinal", "level", "title", "first_page")
+        .agg(chain.alias("_chain"), F.min("_after").alias("_next"))
+        .select(
+            "doc", "ordinal", "level", "title",
+            F.array_compact(F.concat("_chain.titles", F.array("title"))).alias("path"),
+            F.when(F.col("_chain.last") >= 0, F.col("_chain.last")).alias("parent"),
+            "first_page", F.col("_next.first_page").alias("end_page"),
+        )
+    )
+
+
+def bookmark_ranges(bookmarks: DataFrame, depth: int | None = None) -> DataFrame:
     """``[page, next page)`` for each bookmark of a document.
 
     Several bookmarks on one page open one unit that carries all their titles,
-    outer levels first, so each of them can be found.
+    outer levels first, so each of them can be found. With a ``depth`` only
+    bookmarks down to that level open units, and a title is the whole path.
     """
-    titles = F.array_sort(F.collect_set(F.struct("level", "title")))
-    joined = F.array_join(F.transform(titles, lambda t: t["title"]), rules.TITLE_SEPARATOR)
-    one_per_page = bookmarks.groupBy("doc", "page").agg(
-        F.nullif(joined, F.lit("")).alias("title")
+    if depth is None:
+        titles = F.transform(
+            F.array_sort(F.collect_set(F.struct("level", "title"))), lambda t: t["title"]
+        )
+        opened = bookmarks.groupBy("doc", "page").agg(titles.alias("_titles"))
+    else:
+        tree = bookmark_tree(bookmarks.filter(F.coalesce("level", F.lit(1)) <= depth))
+        marks = F.sort_array(F.collect_list(F.struct("ordinal", "level", "path")))
+        # A mark followed by a deeper one on its page is part of that one's path.
+        innermost = F.filter(
+            "_marks", lambda m, i: F.coalesce(F.get("_marks", i + 1)["level"] <= m["level"], F.lit(True))
+        )
+        paths = F.transform(innermost, lambda m: F.array_join(m["path"], rules.PATH_SEPARATOR))
+        opened = (
+            tree.withColumnRenamed("first_page", "page")
+            .groupBy("doc", "page").agg(marks.alias("_marks"))
+            .select("doc", "page", F.array_distinct(paths).alias("_titles"))
+        )
+    one_per_page = opened.select(
+        "doc", "page",
+        F.nullif(F.array_join("_titles", rules.TITLE_SEPARATOR), F.lit("")).alias("title"),
     )
     return next_value(one_per_page, "doc", "page", "next_page").select(
         "doc", "title", F.col("page").alias("first_page"), "next_page"
@@ -168,13 +275,15 @@ def heading_islands(
     return running_total(flagged, doc, line_no, "_opens", "island", block).drop("_opens")
 
 
-def fill_titles(units: DataFrame, toc: DataFrame, width: int = 64) -> DataFrame:
+def fill_titles(
+    units: DataFrame, toc: DataFrame, width: int = 64, depth: int | None = None
+) -> DataFrame:
     """Give an untitled unit the contents entry at or before its first page.
 
     The contents entries become page ranges, so only untitled units join, each
-    with exactly one entry.
+    with exactly one entry; with a ``depth`` it is the entry's path down to there.
     """
-    ranges = bookmark_ranges(toc).select(
+    ranges = bookmark_ranges(toc, depth).select(
         "doc", F.col("title").alias("_toc_title"),
         F.col("first_page").alias("_from"), F.col("next_page").alias("_to"),
     )

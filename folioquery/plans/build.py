@@ -81,12 +81,15 @@ def units_by_heading(pages: DataFrame, block: int = 4096) -> DataFrame:
     ).drop("island")
 
 
-def units_by_bookmarks(pages: DataFrame, bookmarks: DataFrame, width: int = 256) -> DataFrame:
+def units_by_bookmarks(
+    pages: DataFrame, bookmarks: DataFrame, width: int = 256, depth: int | None = None
+) -> DataFrame:
     """A bookmark's page range is a unit; the bookmark's title is its title.
 
-    Pages before a document's first bookmark form an untitled unit.
+    With a ``depth`` deeper bookmarks open no units and titles are paths. Pages before
+    a document's first bookmark form an untitled unit.
     """
-    ranges = U.bookmark_ranges(bookmarks).withColumnsRenamed(
+    ranges = U.bookmark_ranges(bookmarks, depth).withColumnsRenamed(
         {"title": "section", "first_page": "unit_start"}
     )
     begins = pages.groupBy("doc").agg(F.min("pdf_page").alias("unit_start"))

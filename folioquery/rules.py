@@ -68,6 +68,7 @@ BELT_WORD = r"\b(?:ремень|ремн\w+|belts?)\b"
 CHAIN_WORD = r"\b(?:цепь|цепью|цепи|цепей|цепям|цепями|цепях|chains?)\b"
 MIN_CHUNK_CHARS = 40
 TITLE_SEPARATOR = " / "
+PATH_SEPARATOR = " > "
 CHUNK_TARGET = 1300
 
 

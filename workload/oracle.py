@@ -415,6 +415,19 @@ longest AS (SELECT item_id, w FROM (
   SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY length(w) DESC, w DESC) AS r FROM bw) WHERE r = 1),
 unknown AS (SELECT DISTINCT w || right(w, 1) AS surface FROM longest)"""
 
+OUTLINE = """RECURSIVE m AS (
+  SELECT user_id AS doc, event_type || ' ' || event_id AS title, event_id // 100 AS page,
+    CASE event_type WHEN 'signup' THEN 1 WHEN 'purchase' THEN 2 WHEN 'view' THEN 3 WHEN 'click' THEN 4 ELSE 6 END AS level,
+    row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS ordinal FROM events),
+p AS (
+  SELECT m.doc, m.ordinal, m.level, m.title, m.page,
+    max(o.ordinal) FILTER (o.ordinal < m.ordinal AND o.level < m.level) AS parent,
+    arg_min(o.page, o.ordinal) FILTER (o.ordinal > m.ordinal AND o.level <= m.level) AS end_page
+  FROM m JOIN m o ON o.doc = m.doc GROUP BY ALL),
+t AS (
+  SELECT *, title AS path FROM p WHERE parent IS NULL
+  UNION ALL SELECT p.*, t.path || ' > ' || p.title FROM p JOIN t ON t.doc = p.doc AND t.ordinal = p.parent)"""
+
 ORACLE: dict[str, str] = {
     "scan_corpus": f"WITH {CHUNKS} SELECT id, doc, lang, length(text) AS chars FROM chunks",
     "list_sources": "SELECT source AS doc, lang, count(*) AS units, count(*) AS chunks FROM documents GROUP BY ALL",
@@ -533,6 +546,18 @@ WHERE page_id NOT IN (SELECT k FROM parts) AND {H1} IS NOT NULL""",
 SELECT e.user_id AS doc, m.title, m.first_page, m.next_page, e.event_id AS pdf_page
 FROM events e JOIN m ON m.user_id = e.user_id AND e.event_id >= m.first_page
   AND (m.next_page IS NULL OR e.event_id < m.next_page)""",
+    "bookmark_tree": f"""WITH {OUTLINE}
+SELECT doc, ordinal, level, title, path, parent, page AS first_page, end_page FROM t""",
+    "units_depth": f"""WITH {OUTLINE},
+cut AS (
+  SELECT *, lead(level) OVER w AS next_level, lead(page) OVER w AS page_after
+  FROM t WHERE level <= 2 WINDOW w AS (PARTITION BY doc ORDER BY ordinal)),
+opened AS (
+  SELECT doc, page, string_agg(path, ' / ' ORDER BY ordinal) AS title FROM cut
+  WHERE next_level IS NULL OR next_level <= level OR page_after <> page GROUP BY ALL),
+r AS (SELECT *, lead(page) OVER (PARTITION BY doc ORDER BY page) AS next_page FROM opened)
+SELECT r.doc, r.title, r.page AS first_page, r.next_page, count(*) AS events
+FROM r JOIN m ON m.doc = r.doc AND m.page >= r.page AND (r.next_page IS NULL OR m.page < r.next_page) GROUP BY ALL""",
     "units_groupid": """SELECT conv_id, string_agg(text, chr(10) ORDER BY turn, text) AS text,
   min(turn) AS first_page, max(turn) AS last_page FROM conversations GROUP BY conv_id""",
     "units_islands": f"""WITH {DOC_LINES}, f AS (

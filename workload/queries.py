@@ -405,6 +405,35 @@ def units_range(spark, sf):
     return joined.select("doc", "title", "first_page", "next_page", "pdf_page")
 
 
+def _outline(spark, sf):
+    """Events of a user as the outline of a document: kinds are levels, one level is skipped,
+    a hundred event numbers are a page."""
+    kind = F.col("event_type")
+    level = F.when(kind == "signup", 1).when(kind == "purchase", 2).when(kind == "view", 3).when(kind == "click", 4)
+    return A.table(spark, sf, "events").select(
+        F.col("user_id").alias("doc"), level.otherwise(6).alias("level"),
+        F.concat_ws(" ", "event_type", "event_id").alias("title"),
+        F.floor(F.col("event_id") / 100).alias("page"), F.col("event_id").alias("position"),
+    )
+
+
+@query
+def bookmark_tree(spark, sf):
+    """Every outline entry with its path, the entry around it, and the page where it ends."""
+    return units.bookmark_tree(_outline(spark, sf)).withColumn("path", F.array_join("path", " > "))
+
+
+@query
+def units_depth(spark, sf):
+    """Events on the pages of the sections that two outline levels open, under path titles."""
+    outline = _outline(spark, sf)
+    ranges = units.bookmark_ranges(outline, depth=2)
+    joined = units.interval_join(
+        outline.select("doc", "page"), ranges, "doc", "page", "first_page", "next_page", width=64
+    )
+    return joined.groupBy("doc", "title", "first_page", "next_page").agg(F.count("*").alias("events"))
+
+
 @query
 def units_groupid(spark, sf):
     """Turns gathered into their conversation in order."""
