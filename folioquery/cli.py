@@ -1,6 +1,7 @@
 """Command line: ask a question of a stored corpus.
 
     python -m folioquery.cli INDEX "question" [--top N] [--doc D] [--lang L] [--chapter C]
+        [--images FOLDER] [--pages FOLDER]
     python -m folioquery.cli INDEX --list-sources
 """
 
@@ -16,7 +17,9 @@ from .functions.citation import chunk_citation, snippet
 from .operators.expansion import prepare_dictionary
 from .operators.index import open_index
 from .plans.search import SearchRequest, ask_guarded, expand
-from .sources.corpus import Vehicle, list_sources, read_synonyms, read_vehicle
+from .sources.corpus import (
+    Vehicle, image_paths, list_files, list_sources, page_files, page_pictures, read_synonyms, read_vehicle,
+)
 
 
 def parser() -> argparse.ArgumentParser:
@@ -30,10 +33,17 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--per-doc", type=int)
     p.add_argument("--synonyms", help="JSON file: phrase -> alternatives")
     p.add_argument("--vehicle", help="JSON file: engines, document_engines, profile")
+    p.add_argument("--images", help="folder of the illustrations that chunks name")
+    p.add_argument("--pages", help="folder of rendered pages: <document>/<page>.jpg")
     p.add_argument("--list-sources", action="store_true")
     return p
 
 
+# What places a hit among the pictures.
+_PLACE = ["id", "doc", "image", "pdf_page", "pdf_page_end", "part_page", "part_page_end"]
+_PLACE_SCHEMA = "id string, doc string, image string, pdf_page int, pdf_page_end int, part_page int, part_page_end int"
+
+
 def request_of(args: argparse.Namespace) -> SearchRequest:
     given = {"doc": args.doc, "lang": args.lang, "chapter": args.chapter}
     return SearchRequest(
@@ -41,6 +51,21 @@ def request_of(args: argparse.Namespace) -> SearchRequest:
     )
 
 
+def pictures_of(spark: SparkSession, shown: list, images: str | None, pages: str | None) -> dict[str, list[str]]:
+    """Paths of the illustration and of the rendered pages of each shown hit, by id."""
+    if not shown or not (images or pages):
+        return {}
+    hits = spark.createDataFrame([tuple(r[c] for c in _PLACE) for r in shown], _PLACE_SCHEMA)
+    found: dict[str, list[str]] = {}
+    if images:
+        for r in image_paths(hits, list_files(spark, images)).filter("path is not null").collect():
+            found.setdefault(r["id"], []).append(r["path"])
+    if pages:
+        for r in page_pictures(hits, page_files(list_files(spark, pages))).collect():
+            found.setdefault(r["id"], []).extend(r["pictures"])
+    return found
+
+
 def run(spark: SparkSession, argv: Sequence[str]) -> list[str]:
     """The printed lines of one invocation."""
     args = parser().parse_args(argv)
@@ -61,10 +86,11 @@ def run(spark: SparkSession, argv: Sequence[str]) -> list[str]:
         {t for c in expand(index, args.query, synonyms) for phrase, _ in c["phrases"] for t in phrase}
     )
     shown = hits.select(
-        "rank", "id", "score", "image", chunk_citation().alias("citation"),
+        "rank", "score", *_PLACE, chunk_citation().alias("citation"),
         snippet(F.col("text"), F.array(*[F.lit(t) for t in terms]).cast("array<string>"))
         .alias("snippet"),
     ).orderBy("rank").collect()
+    pictures = pictures_of(spark, shown, args.images, args.pages)
     lines = [f"Запрос: {args.query}   найдено фрагментов: {len(shown)}"]
     lines += verdict.warnings
     if not shown:
@@ -72,8 +98,10 @@ def run(spark: SparkSession, argv: Sequence[str]) -> list[str]:
     for r in shown:
         lines.append(f"[{r['rank']}] {r['citation']}")
         lines.append(f"    id={r['id']}  score={r['score']:.2f}")
-        if r["image"]:
+        paths = pictures.get(r["id"], [])
+        if r["image"] and not any(p.endswith("/" + r["image"]) for p in paths):
             lines.append(f"    {r['image']}")
+        lines += [f"    {p}" for p in paths]
         lines.append(f"   {r['snippet']}")
     return lines
 

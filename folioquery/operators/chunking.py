@@ -57,75 +57,99 @@ def _sentence_atoms(paragraph: Column, target: int) -> Column:
 
 
 def _atoms(text: Column, target: int) -> Column:
+    """Pieces in order: separator before it, text, and the line of the text it stands on."""
     paragraphs = F.filter(
-        F.transform(F.split(text, "\n"), lambda l: F.trim(l)), lambda p: F.length(p) > 0
+        F.transform(
+            F.split(text, "\n"), lambda l, i: F.struct(F.trim(l).alias("text"), i.alias("line"))
+        ),
+        lambda p: F.length(p["text"]) > 0,
     )
 
     def pieces(p: Column) -> Column:
         return F.when(F.length(p) <= target, _spaced(p)).otherwise(_sentence_atoms(p, target))
 
-    def new_paragraph(atom: Column, i: Column) -> Column:
-        return F.struct(
-            F.when(i == 0, F.lit("\n")).otherwise(atom["sep"]).alias("sep"),
-            atom["text"].alias("text"),
+    def spread(p: Column) -> Column:
+        return F.transform(
+            pieces(p["text"]),
+            lambda atom, i: F.struct(
+                F.when(i == 0, F.lit("\n")).otherwise(atom["sep"]).alias("sep"),
+                atom["text"].alias("text"), p["line"].alias("line"),
+            ),
         )
 
-    return F.flatten(F.transform(paragraphs, lambda p: F.transform(pieces(p), new_paragraph)))
+    return F.flatten(F.transform(paragraphs, spread))
 
 
-def chunk_unit(
-    text: Column,
-    target: int = rules.CHUNK_TARGET,
-    min_chars: int = rules.MIN_CHUNK_CHARS,
-) -> Column:
-    """The parts of a unit: greedy packing up to ``target`` characters.
+_NO_PARTS = "array<struct<text:string,first:int,last:int>>"
 
-    A last part shorter than ``min_chars`` joins the part before it.
-    """
+
+def _part(text: Column, first: Column, last: Column) -> Column:
+    """A part and the lines it runs over."""
+    return F.struct(text.alias("text"), first.alias("first"), last.alias("last"))
+
+
+def _packed(text: Column, target: int, min_chars: int) -> Column:
+    """The parts of a unit with the lines of ``text`` each runs over."""
     start = F.struct(
-        F.array().cast("array<string>").alias("parts"), F.lit("").alias("open")
+        F.array().cast(_NO_PARTS).alias("parts"),
+        _part(F.lit(""), F.lit(None).cast("int"), F.lit(None).cast("int")).alias("open"),
     )
 
     def pack(acc: Column, atom: Column) -> Column:
+        parts, open_ = acc["parts"], acc["open"]
         fits = (
-            F.length(acc["open"]) + F.length(atom["sep"]) + F.length(atom["text"]) <= target
+            F.length(open_["text"]) + F.length(atom["sep"]) + F.length(atom["text"]) <= target
+        )
+        alone = _part(atom["text"], atom["line"], atom["line"])
+        longer = _part(
+            F.concat(open_["text"], atom["sep"], atom["text"]), open_["first"], atom["line"]
         )
         return (
-            F.when(
-                acc["open"] == "",
-                F.struct(acc["parts"].alias("parts"), atom["text"].alias("open")),
-            )
-            .when(
-                fits,
-                F.struct(
-                    acc["parts"].alias("parts"),
-                    F.concat(acc["open"], atom["sep"], atom["text"]).alias("open"),
-                ),
-            )
+            F.when(open_["text"] == "", F.struct(parts.alias("parts"), alone.alias("open")))
+            .when(fits, F.struct(parts.alias("parts"), longer.alias("open")))
             .otherwise(
-                F.struct(
-                    F.concat(acc["parts"], F.array(acc["open"])).alias("parts"),
-                    atom["text"].alias("open"),
-                )
+                F.struct(F.concat(parts, F.array(open_)).alias("parts"), alone.alias("open"))
             )
         )
 
     def close(acc: Column) -> Column:
         parts, tail = acc["parts"], acc["open"]
         count = F.size(parts)
+        before = F.get(parts, count - 1)
         merged = F.concat(
             F.slice(parts, F.lit(1), count - 1),
-            F.array(F.concat(F.get(parts, count - 1), F.lit("\n"), tail)),
+            F.array(
+                _part(
+                    F.concat(before["text"], F.lit("\n"), tail["text"]), before["first"], tail["last"]
+                )
+            ),
         )
         return (
-            F.when(tail == "", parts)
-            .when((F.length(tail) < min_chars) & (count > 0), merged)
+            F.when(tail["text"] == "", parts)
+            .when((F.length(tail["text"]) < min_chars) & (count > 0), merged)
             .otherwise(F.concat(parts, F.array(tail)))
         )
 
     return F.aggregate(_atoms(text, target), start, pack, close)
 
 
+def chunk_unit(
+    text: Column,
+    target: int = rules.CHUNK_TARGET,
+    min_chars: int = rules.MIN_CHUNK_CHARS,
+) -> Column:
+    """The parts of a unit: greedy packing up to ``target`` characters.
+
+    A last part shorter than ``min_chars`` joins the part before it.
+    """
+    return F.transform(_packed(text, target, min_chars), lambda p: p["text"])
+
+
+def _page_at(starts: Column, line: Column) -> Column:
+    """The page that line is on: the last one that starts at it or before; null without starts."""
+    return F.array_max(F.transform(F.filter(starts, lambda s: s["line"] <= line), lambda s: s["page"]))
+
+
 def chunk_page(
     section: Column,
     text: Column,
@@ -155,30 +179,34 @@ def _pack_states(lengths: Column, target: int, state: Column) -> Column:
 
 
 def _pieces(atoms: Column, carried: Column, target: int) -> Column:
-    """What a block adds to the part left open before it (first, maybe empty) and to each new part."""
+    """What a block adds to the part left open before it (first, maybe empty) and to each new part,
+    with the lines of the block that it runs over."""
+    nothing = _part(F.lit(""), F.lit(None).cast("int"), F.lit(None).cast("int"))
     start = F.struct(
-        F.array().cast("array<string>").alias("parts"), F.lit("").alias("open"), carried.alias("size")
+        F.array().cast(_NO_PARTS).alias("parts"), nothing.alias("open"), carried.alias("size")
     )
 
     def step(acc: Column, atom: Column) -> Column:
+        parts, open_ = acc["parts"], acc["open"]
         more = F.length(atom["sep"]) + F.length(atom["text"])
+        alone = _part(atom["text"], atom["line"], atom["line"])
+        longer = _part(
+            F.concat(open_["text"], atom["sep"], atom["text"]),
+            F.coalesce(open_["first"], atom["line"]), atom["line"],
+        )
         return (
             F.when(
                 acc["size"] == 0,
-                F.struct(acc["parts"].alias("parts"), atom["text"].alias("open"), F.length(atom["text"]).alias("size")),
+                F.struct(parts.alias("parts"), alone.alias("open"), F.length(atom["text"]).alias("size")),
             )
             .when(
                 acc["size"] + more <= target,
-                F.struct(
-                    acc["parts"].alias("parts"),
-                    F.concat(acc["open"], atom["sep"], atom["text"]).alias("open"),
-                    (acc["size"] + more).alias("size"),
-                ),
+                F.struct(parts.alias("parts"), longer.alias("open"), (acc["size"] + more).alias("size")),
             )
             .otherwise(
                 F.struct(
-                    F.concat(acc["parts"], F.array(acc["open"])).alias("parts"),
-                    atom["text"].alias("open"), F.length(atom["text"]).alias("size"),
+                    F.concat(parts, F.array(open_)).alias("parts"),
+                    alone.alias("open"), F.length(atom["text"]).alias("size"),
                 )
             )
         )
@@ -191,10 +219,15 @@ def _blocks_to_parts(units: DataFrame, kept: list[str], target: int, min_chars:
 
     The lengths of a unit's atoms, not their texts, meet in one row; folding them
     gives each block the part and length it starts from. A part that spans blocks
-    is put together from what each adds.
+    is put together from what each adds, and so are its pages.
     """
     key = ["doc", "unit_id"]
-    atoms = units.select(*kept, "unit_id", "block", _atoms(F.col("text"), target).alias("_atoms"))
+    paged = [c for c in units.columns if c == "page_starts"]
+    pages = [
+        _page_at(F.col("page_starts"), F.col(f"_piece.{line}")).alias(name)
+        for line, name in (("first", "part_page"), ("last", "part_page_end")) if paged
+    ]
+    atoms = units.select(*kept, *paged, "unit_id", "block", _atoms(F.col("text"), target).alias("_atoms"))
     sizes = F.transform(
         "_atoms", lambda a: F.struct(F.length(a["sep"]).alias("sep"), F.length(a["text"]).alias("text"))
     )
@@ -231,10 +264,14 @@ def _blocks_to_parts(units: DataFrame, kept: list[str], target: int, min_chars:
     pieces = (
         atoms.join(starts, [*key, "block"])
         .select(
-            *kept, "unit_id", "block", "_closed", "_open", "_total", "_short",
-            F.posexplode(_pieces(F.col("_atoms"), F.col("_open"), target)).alias("_i", "text"),
+            *kept, *paged, "unit_id", "block", "_closed", "_open", "_total", "_short",
+            F.posexplode_outer(_pieces(F.col("_atoms"), F.col("_open"), target)).alias("_i", "_piece"),
+        )
+        .filter(F.col("_piece.text") != "")
+        .select(
+            *kept, "unit_id", "block", "_closed", "_open", "_total", "_short", "_i",
+            F.col("_piece.text").alias("text"), *pages,
         )
-        .filter(F.col("text") != "")
         .withColumn("part", F.col("_closed") + F.col("_i"))
         # A last part that is too short joins the one before.
         .withColumn("text", F.when(tail & opens, F.concat(F.lit("\n"), F.col("text"))).otherwise(F.col("text")))
@@ -245,10 +282,11 @@ def _blocks_to_parts(units: DataFrame, kept: list[str], target: int, min_chars:
         .agg(
             *[F.first(c).alias(c) for c in kept if c not in key],
             F.first(F.col("_total") - F.col("_short").cast("int")).alias("unit_parts"),
+            *([F.min("part_page").alias("part_page"), F.max("part_page_end").alias("part_page_end")] if paged else []),
             F.sort_array(F.collect_list(F.struct("block", "_i", "text"))).alias("_all"),
         )
         .withColumn("text", F.array_join(F.transform("_all", lambda p: p["text"]), ""))
-        .select(*kept, "unit_id", "unit_parts", "part", "text")
+        .drop("_all")
     )
 
 
@@ -257,17 +295,30 @@ def units_to_chunks(units: DataFrame, target: int = rules.CHUNK_TARGET) -> DataF
 
     ``units`` needs ``doc``, ``unit_id`` and ``text``. Map-only, unless a
     ``block`` column says that long units come in several rows; the parts are the
-    same however a unit is divided into blocks.
+    same however a unit is divided into blocks. With ``page_starts`` (see
+    ``gather_units``) a part also states its own pages, ``part_page`` to ``part_page_end``.
     """
-    kept = [c for c in units.columns if c not in ("text", "unit_id", "block")]
+    kept = [c for c in units.columns if c not in ("text", "unit_id", "block", "page_starts")]
     if "block" in units.columns:
         parts = _blocks_to_parts(units, kept, target, rules.MIN_CHUNK_CHARS)
     else:
+        paged = [c for c in units.columns if c == "page_starts"]
+        packed = _packed(F.col("text"), target, rules.MIN_CHUNK_CHARS)
         parts = (
-            units.select(*kept, "unit_id", chunk_unit(F.col("text"), target).alias("_parts"))
+            units.select(*kept, *paged, "unit_id", packed.alias("_parts"))
             .withColumn("unit_parts", F.size("_parts"))
-            .select(*kept, "unit_id", "unit_parts", F.posexplode_outer("_parts").alias("part", "text"))
-            .filter(F.col("text").isNotNull())
+            .select(*kept, *paged, "unit_id", "unit_parts", F.posexplode_outer("_parts").alias("part", "_part"))
+            .filter(F.col("_part").isNotNull())
+            .select(
+                *kept, "unit_id", "unit_parts", "part", F.col("_part.text").alias("text"),
+                *(
+                    [
+                        _page_at(F.col("page_starts"), F.col("_part.first")).alias("part_page"),
+                        _page_at(F.col("page_starts"), F.col("_part.last")).alias("part_page_end"),
+                    ]
+                    if paged else []
+                ),
+            )
         )
     return parts.withColumn(
         "id", F.concat_ws(":", "doc", F.concat(F.lit("u"), F.col("unit_id")), F.col("part"))

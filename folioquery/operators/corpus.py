@@ -20,6 +20,9 @@ CHUNK_SCHEMA = T.StructType(
         T.StructField("pdf_page_end", T.IntegerType()),
         T.StructField("image", T.StringType()),
         T.StructField("engines", T.ArrayType(T.StringType())),
+        # Pages of the part itself; ``pdf_page`` to ``pdf_page_end`` is the whole unit.
+        T.StructField("part_page", T.IntegerType()),
+        T.StructField("part_page_end", T.IntegerType()),
     ]
 )
 

@@ -250,8 +250,21 @@ def gather_units(
     A unit is one row (``block`` 0) unless it spans more than ``block_pages``
     pages; then it is a row per block of pages, so no task ever gathers an
     unbounded unit's text. Nothing is left out, and ``units_to_chunks`` cuts the
-    same parts whatever ``block_pages`` is.
+    same parts whatever ``block_pages`` is. ``page_starts`` lists the line of
+    ``text``, counted from 0, that each page with a text begins on.
     """
+    starts = F.aggregate(
+        "_pages",
+        F.struct(F.lit(0).alias("line"), F.array().cast("array<struct<line:int,page:bigint>>").alias("starts")),
+        lambda acc, p: F.struct(
+            (acc["line"] + F.size(F.split(p[text], "\n"))).alias("line"),
+            F.concat(
+                acc["starts"],
+                F.array(F.struct(acc["line"].alias("line"), p[page].cast("bigint").alias("page"))),
+            ).alias("starts"),
+        ),
+        lambda acc: acc["starts"],
+    )
     extent = pages.groupBy(*keys).agg(
         F.min(page).alias("first_page"), F.max(page).alias("last_page")
     )
@@ -262,7 +275,9 @@ def gather_units(
         .repartition(*keys, "block")
         .groupBy(*keys, "block", "first_page", "last_page")
         .agg(F.sort_array(F.collect_list(F.struct(F.col(page), F.col(text)))).alias("_pages"))
+        .withColumn("_pages", F.filter("_pages", lambda p: p[text].isNotNull()))
         .withColumn("text", F.array_join(F.transform("_pages", lambda p: p[text]), "\n"))
+        .withColumn("page_starts", starts)
         .drop("_pages")
     )
 

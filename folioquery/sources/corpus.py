@@ -216,18 +216,30 @@ def list_files(spark: SparkSession, path: str, pattern: str = "*.jpg") -> DataFr
     )
 
 
+def page_files(files: DataFrame) -> DataFrame:
+    """``(doc, page, path)`` of rendered pages among files: ``.../<document>/<page>.jpg``."""
+    number = F.regexp_extract("path", r"/(\d+)\.[^./]+$", 1)
+    return files.filter(number != "").select(
+        F.split_part("path", F.lit("/"), F.lit(-2)).alias("doc"), number.cast("bigint").alias("page"), "path"
+    )
+
+
 def page_pictures(chunks: DataFrame, pictures: DataFrame, width: int = 64) -> DataFrame:
     """``(id, pictures)``: rendered pages within each chunk's page range.
 
-    ``pictures(doc, page, path)``. Ranges and pages meet per document and page
-    bucket; the list of one chunk is bounded by its page range.
+    The range is that of the part where it is known, else that of its unit, so
+    pictures of a long unit stand with the part they belong to. ``pictures(doc,
+    page, path)``. Ranges and pages meet per document and page bucket; the list of
+    one chunk is bounded by its page range.
     """
-    ranges = chunks.filter(F.col("pdf_page").isNotNull()).select(
-        "id", "doc", "pdf_page",
-        (F.coalesce("pdf_page_end", "pdf_page") + 1).alias("_after"),
-    )
+    own = [c for c in ("part_page", "part_page_end") if c in chunks.columns]
+    first = F.coalesce(*own[:1], "pdf_page")
+    last = F.coalesce(*own[1:], *own[:1], "pdf_page_end", "pdf_page")
+    ranges = chunks.select(
+        "id", "doc", first.alias("_from"), (last + 1).alias("_after")
+    ).filter(F.col("_from").isNotNull())
     return (
-        interval_join(pictures, ranges, "doc", "page", "pdf_page", "_after", width)
+        interval_join(pictures, ranges, "doc", "page", "_from", "_after", width)
         .groupBy("id")
         .agg(F.sort_array(F.collect_list(F.struct("page", "path"))).alias("_p"))
         .select("id", F.col("_p.path").alias("pictures"))

@@ -40,6 +40,31 @@ def test_manual_in_split_files(spark, tmp_path):
     assert answer[1] == "[1] Workshop — GEARBOX REFITTING — PDF-стр. 5-6"
 
 
+def test_pictures_of_the_part_only(spark, tmp_path):
+    long = "\n".join([BODY] * 18)
+    pages = [{"doc": "manual", "lang": "en", "part": 1, "page": n, "text": f"{long}\n{word} comes off last."}
+             for n, word in ((1, "Bracket"), (2, "Manifold"), (3, "Gasket"))]
+    marks = [{"doc": "manual", "level": 1, "title": "INTAKE", "page": 1},
+             {"doc": "manual", "level": 2, "title": "REMOVAL", "page": 1}, {"doc": "manual", "level": 3, "title": "BOLTS", "page": 2}]
+    images = [{"doc": "diagrams", "unit_id": "i1", "lang": "en", "section": "Loom", "image": "2.jpg",
+               "text": "Connector list of the engine loom with all of its pins."}]
+    out, shots, assets = str(tmp_path / "out"), tmp_path / "shots", tmp_path / "assets"
+    ingest.run(spark, [
+        lines(tmp_path / "p.jsonl", pages), out, "--layout", "manual", "--depth", "2",
+        "--bookmarks", lines(tmp_path / "b.jsonl", marks), "--images", lines(tmp_path / "i.jsonl", images), "--buckets", "4"])
+    for folder, names in ((shots / "manual", (1, 2, 3, 9)), (shots / "other", (2,)), (assets, (2,))):
+        folder.mkdir(parents=True)
+        for name in names:
+            (folder / f"{name}.jpg").write_bytes(b"x")
+    ask = lambda question: cli.run(spark, [
+        f"{out}/index", question, "--top", "1", "--pages", str(shots), "--images", str(assets)])
+    answer = ask("manifold")
+    assert answer[1].startswith("[1] manual — INTAKE > REMOVAL — PDF-стр. 1-3")
+    shown = {line.rsplit("shots/", 1)[1] for line in answer if "shots/" in line}
+    assert "manual/2.jpg" in shown and shown < {"manual/1.jpg", "manual/2.jpg", "manual/3.jpg"}
+    assert [line.rsplit("/", 1)[1] for line in ask("loom pins") if "/assets/" in line] == ["2.jpg"]
+
+
 def test_handbook_by_headings(spark, tmp_path):
     pages = [{"doc": "book", "lang": "ru", "part": 1, "page": n, "text": f"3.{n}\n{head}\n{BODY}"}
              for n, head in ((1, "ШИНЫ (1/2)"), (2, "ШИНЫ (2/2)"), (3, "ЛАМПЫ"))]

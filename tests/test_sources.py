@@ -21,7 +21,7 @@ from test_search import SYNONYMS
 
 def row(id_, doc, lang, section, text, parts=1, chapter=None, page=None, end=None, image=None, engines=None):
     return (id_, doc, {"owner": "Owner's book", "workshop": "Workshop manual"}.get(doc, "Diagrams"),
-            lang, section, text, parts, chapter, page, end, image, engines)
+            lang, section, text, parts, chapter, page, end, image, engines, None, None)
 
 
 ROWS = [

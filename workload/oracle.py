@@ -490,12 +490,24 @@ u AS (
     arg_min(regexp_replace(section, ' *\\(\\d+/\\d+\\) *$', ''), page_id) AS section,
     min(CAST(split_part(page_label, '.', 1) AS INTEGER)) AS chapter,
     string_agg({DEHYPHEN.format(t='body')}, chr(10) ORDER BY page_id) AS text
-  FROM head JOIN langs USING (page_id) GROUP BY 1, 2),{packed('u', 'unit', rules.CHUNK_TARGET)}
-SELECT unit || ':' || i AS id, 'Book in ' || doc AS doc_title, section, chapter,
+  FROM head JOIN langs USING (page_id) GROUP BY 1, 2),{packed('u', 'unit', rules.CHUNK_TARGET)},
+page_at AS (
+  SELECT unit, page_id, sum(n) OVER (PARTITION BY unit ORDER BY page_id) - n AS start FROM (
+    SELECT doc || ':uRUS_UD' || (page_id // 3 + 57000) AS unit, page_id,
+      length(regexp_replace(coalesce({DEHYPHEN.format(t='body')}, ''), '\\s', '', 'g')) AS n FROM head JOIN langs USING (page_id))),
+part_at AS (
+  SELECT *, sum(n) OVER (PARTITION BY k ORDER BY i) AS stop FROM (
+    SELECT k, parts, i, length(regexp_replace(parts[i + 1], '\\s', '', 'g')) AS n
+    FROM (SELECT k, parts, unnest(range(len(parts))) AS i FROM parts))),
+paged AS (
+  SELECT k, i, any_value(parts) AS parts, CAST(max(page_id) FILTER (start <= stop - n) AS INTEGER) AS part_page,
+    CAST(max(page_id) FILTER (start < stop) AS INTEGER) AS part_page_end
+  FROM part_at JOIN page_at ON unit = k GROUP BY k, i)
+SELECT unit || ':' || i AS id, part_page, part_page_end, 'Book in ' || doc AS doc_title, section, chapter,
   CAST(first_page AS INTEGER) AS pdf_page, CAST(last_page AS INTEGER) AS pdf_page_end,
   len(parts) AS unit_parts,
   CASE WHEN length(parts[i + 1]) < 40 THEN section || chr(10) || parts[i + 1] ELSE parts[i + 1] END AS text
-FROM (SELECT k, parts, unnest(range(len(parts))) AS i FROM parts) JOIN u ON unit = k""",
+FROM paged JOIN u ON unit = k""",
     "parse_page": f"""WITH {PARSED_PAGES}
 SELECT page_id, page_label, CAST(split_part(page_label, '.', 1) AS INTEGER) AS chapter, section,
   {DEHYPHEN.format(t='body')} AS text FROM head""",

@@ -384,7 +384,7 @@ def build_chunks(spark, sf):
     units_ = build.units_by_layout_id(build.parse_handbook(pages))
     titles = pages.select("doc", F.concat(F.lit("Book in "), "lang").alias("doc_title")).distinct()
     return build.chunk_units(units_, titles).select(
-        "id", "doc_title", "section", "chapter", "pdf_page", "pdf_page_end",
+        "id", "doc_title", "section", "chapter", "pdf_page", "pdf_page_end", "part_page", "part_page_end",
         F.col("unit_parts").cast("bigint").alias("unit_parts"), "text",
     )
 
