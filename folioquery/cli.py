@@ -1,7 +1,7 @@
 """Command line: ask a question of a stored corpus.
 
     python -m folioquery.cli INDEX "question" [--top N] [--doc D] [--lang L] [--chapter C]
-        [--images FOLDER] [--pages FOLDER]
+        [--images FOLDER] [--pages FOLDER] [--passage WORDS]
     python -m folioquery.cli INDEX --list-sources
 """
 
@@ -14,9 +14,10 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .functions.citation import chunk_citation, snippet
+from .operators.applicability import code_names, without_codes
 from .operators.expansion import prepare_dictionary
 from .operators.index import open_index
-from .plans.search import SearchRequest, ask_guarded, expand
+from .plans.search import SearchRequest, ask_guarded, expand, with_passages
 from .sources.corpus import (
     Vehicle, image_paths, list_files, list_sources, page_files, page_pictures, read_synonyms, read_vehicle,
 )
@@ -35,6 +36,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--vehicle", help="JSON file: engines, document_engines, profile")
     p.add_argument("--images", help="folder of the illustrations that chunks name")
     p.add_argument("--pages", help="folder of rendered pages: <document>/<page>.jpg")
+    p.add_argument("--passage", type=int, help="show so many words where most of the question stands")
     p.add_argument("--list-sources", action="store_true")
     return p
 
@@ -85,10 +87,14 @@ def run(spark: SparkSession, argv: Sequence[str]) -> list[str]:
     terms = sorted(
         {t for c in expand(index, args.query, synonyms) for phrase, _ in c["phrases"] for t in phrase}
     )
+    window = snippet(F.col("text"), F.array(*[F.lit(t) for t in terms]).cast("array<string>"))
+    if args.passage:
+        asked = spark.createDataFrame([(0, args.query)], "query_id long, query string")
+        asked = asked.withColumn("query", without_codes(F.col("query"), code_names(vehicle)))
+        hits = with_passages(index, hits, asked, synonyms, width=args.passage)
+        window = F.col("passage.text")
     shown = hits.select(
-        "rank", "score", *_PLACE, chunk_citation().alias("citation"),
-        snippet(F.col("text"), F.array(*[F.lit(t) for t in terms]).cast("array<string>"))
-        .alias("snippet"),
+        "rank", "score", *_PLACE, chunk_citation().alias("citation"), window.alias("snippet"),
     ).orderBy("rank").collect()
     pictures = pictures_of(spark, shown, args.images, args.pages)
     lines = [f"Запрос: {args.query}   найдено фрагментов: {len(shown)}"]

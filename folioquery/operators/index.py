@@ -27,7 +27,7 @@ FILTER_COLUMNS = ["doc", "lang", "chapter", "engines"]
 BLOCK_CHUNKS, BOUND_COUNTS = 32, 8
 
 
-def _occurrences(text: Column, in_title: bool) -> Column:
+def occurrences(text: Column, in_title: bool) -> Column:
     """Index terms of a text with their word position; -1 marks the title.
 
     Every word gives one entry; the parts of compounds, rare in most texts, are
@@ -55,7 +55,7 @@ def _occurrences(text: Column, in_title: bool) -> Column:
     return let(surface_tokens(F.coalesce(text, F.lit(""))), listed)
 
 
-def _runs(occurrences: Column) -> Column:
+def _runs(found: Column) -> Column:
     """Group an array of occurrences by term: sort once, then cut into runs."""
 
     def cut(terms: Column, places: Column) -> Column:
@@ -87,7 +87,7 @@ def _runs(occurrences: Column) -> Column:
         )
 
     return let(
-        F.sort_array(occurrences),
+        F.sort_array(found),
         lambda rows: F.when(
             F.size(rows) > 0,
             let(rows["term"], lambda terms: let(rows["pos"], lambda pos: cut(terms, pos))),
@@ -119,14 +119,14 @@ def chunk_block(chunk_id: Column, chunk_len: Column, blocks: int) -> Column:
 
 def chunk_terms(chunks: DataFrame) -> DataFrame:
     """One row per chunk with its entries array and length (tokens, title included)."""
-    occurrences = F.concat(_occurrences(F.col("section"), True), _occurrences(F.col("text"), False))
+    found = F.concat(occurrences(F.col("section"), True), occurrences(F.col("text"), False))
     return (
         as_chunks(chunks)
         .select(
             F.col("id").alias("chunk_id"),
             *FILTER_COLUMNS,
             has_torque(F.col("text")).alias("has_torque"),
-            _runs(occurrences).alias("entries"),
+            _runs(found).alias("entries"),
         )
         .withColumn(
             "chunk_len",

@@ -15,6 +15,7 @@ from ..functions.lets import let
 from ..rules import SearchParams
 from ..session import lookup
 from .index import CorpusIndex, term_bucket
+from .passages import cover_pairs
 
 
 def idf(df: Column, n_chunks: int) -> Column:
@@ -165,9 +166,8 @@ def chunk_scores(concepts: DataFrame, params: SearchParams) -> DataFrame:
         factor = F.pow(F.col("covered") / F.col("n_concepts"), F.lit(2.0))
     score = factor * F.col("_sum")
     if params.proximity_bonus:
-        score = score + params.proximity_bonus * near_pairs(
-            F.col("_found"), params.proximity_window
-        )
+        close = cover_pairs if params.proximity == "cover" else near_pairs
+        score = score + params.proximity_bonus * close(F.col("_found"), params.proximity_window)
     if params.torque_bonus:
         score = score + F.when(
             F.col("wants_torque") & F.col("has_torque"), F.lit(params.torque_bonus)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.citation import chunk_citation, snippet
 from ..operators import applicability as app
-from ..operators import expansion, pruning, scoring
+from ..operators import expansion, passages, pruning, scoring
 from ..operators.expansion import Dictionary
 from ..operators.filters import LIMITS, engine_condition, limits_condition, where_condition
 from ..operators.index import CorpusIndex, id_bucket
@@ -279,6 +279,18 @@ def rendered(hits: DataFrame, terms: list[str]) -> DataFrame:
     )
 
 
+def with_passages(
+    index: CorpusIndex,
+    hits: DataFrame,
+    queries: DataFrame,
+    synonyms: Dictionary | None = None,
+    params: SearchParams = SearchParams(),
+    width: int = 40,
+) -> DataFrame:
+    """Hits with chunk columns and the ``passage`` that holds most of their question."""
+    return passages.with_passages(hits, question_terms(index, queries, synonyms, params), width)
+
+
 def expand(
     index: CorpusIndex,
     query: str,

@@ -82,6 +82,9 @@ class SearchParams:
     title_bonus: float = 1.0
     proximity_window: int = 8
     proximity_bonus: float = 0.25
+    # "pairs": each two neighbouring concepts within the window count; "cover": one
+    # stretch with all concepts, at most a window long for each step between them.
+    proximity: str = "pairs"
     torque_bonus: float = 0.25
     coverage: str = "strict"  # or "soft"
     fuzzy: bool = True

@@ -95,6 +95,7 @@ def bm25_hits(
     strict: bool = True,
     title_bonus: float = 0.0,
     proximity: str | None = None,
+    cover: bool = False,
     torque: str | None = None,
     where: str = "TRUE",
 ) -> str:
@@ -118,6 +119,15 @@ near AS (
     SELECT DISTINCT a.query_id, a.id, a.concept_id FROM pos a JOIN pos b
       ON a.query_id = b.query_id AND a.id = b.id AND b.concept_id = a.concept_id + 1
       AND abs(a.p - b.p) <= {proximity}) GROUP BY query_id, id),"""
+        if cover:
+            near = f"""
+pos AS (
+  SELECT DISTINCT m.query_id, m.id, m.concept_id, unnest(m.positions) AS p
+  FROM matched m JOIN phrases USING (query_id, id, concept_id, phrase_id)),
+near AS (
+  SELECT DISTINCT query_id, id, 2 AS pairs FROM pos a JOIN pos b USING (query_id, id) JOIN pos c USING (query_id, id)
+  WHERE a.concept_id = 0 AND b.concept_id = 1 AND c.concept_id = 2
+    AND greatest(a.p, b.p, c.p) - least(a.p, b.p, c.p) <= 2 * {proximity}),"""
         join = "LEFT JOIN near USING (query_id, id)"
         bonus = " + 0.25 * coalesce(pairs, 0)"
     if torque:
@@ -619,6 +629,9 @@ SELECT id AS chunk_id, round(s_best, 4) AS s_best FROM concept_best""",
     "bm25_crosslang": ranked(bm25_hits(fixed_terms(THING), where="c.lang IN ('fr', 'de')"), 20),
     "bm25_title": ranked(bm25_hits(one_word_concepts("thing", "ered"), title_bonus=1.0), 20),
     "bm25_proximity": ranked(bm25_hits(one_word_concepts("thing", "ered", "oned"), proximity="8"), 50),
+    "bm25_cover": ranked(
+        bm25_hits(one_word_concepts("thing", "ered", "oned"), proximity="8", cover=True), 50
+    ),
     "bm25_numeric_boost": ranked(
         bm25_hits(
             one_word_concepts("ring", "tighten", "torqu"), torque="c.text LIKE '% N.m.%'"
@@ -690,6 +703,31 @@ SELECT query_id, rank, id, {CITATION} AS citation, printf('%.2f', score) AS scor
   {snippet(240, 'erst', 'thing')} AS snippet, image
 FROM (SELECT query_id, id, score, rank FROM top WHERE rank <= 5)
   JOIN (SELECT *, 1 AS unit_parts FROM chunks) USING (id)""",
+    "best_passage": f"""WITH {INDEX},{bm25_hits(BENCHMARK_TERMS, strict=False)},
+hits AS (SELECT query_id, id FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {ORDER}) AS rank FROM scores) WHERE rank <= 3),
+ev AS (
+  SELECT h.query_id, h.id, q.term, unnest(p.positions) AS place,
+    CAST(round(ln(1 + (t.n - d.df + 0.5) / (d.df + 0.5)) * 1000000) AS BIGINT) AS w
+  FROM hits h JOIN q USING (query_id) JOIN postings p ON p.id = h.id AND p.term = q.term
+    JOIN dfs d ON d.term = q.term CROSS JOIN totals t),
+held AS (
+  SELECT e.query_id, e.id, e.place AS last, f.term, max(f.w) AS w, max(f.place) AS place
+  FROM (SELECT DISTINCT query_id, id, place FROM ev) e JOIN ev f
+    ON f.query_id = e.query_id AND f.id = e.id AND f.place <= e.place AND f.place > e.place - 30 GROUP BY ALL),
+best AS (
+  SELECT query_id, id, min(place) AS first, last, sum(w) AS weight FROM held GROUP BY query_id, id, last
+  QUALIFY row_number() OVER (PARTITION BY query_id, id ORDER BY sum(w) DESC, last) = 1),
+texts AS (
+  SELECT h.query_id, h.id, b.first, b.last, coalesce(b.weight, 0) AS weight,
+    regexp_extract_all(text, '{TOKEN}') AS l, regexp_split_to_array(text, '{TOKEN}') AS gaps
+  FROM hits h LEFT JOIN best b USING (query_id, id) JOIN chunks c ON c.id = h.id),
+cut AS (
+  SELECT *, greatest(0, least(coalesce(first - (29 - (last - first)) // 2, 0), len(l) - 30)) AS a FROM texts)
+SELECT query_id, id, CAST(first AS BIGINT) AS first_word, CAST(last AS BIGINT) AS last_word, CAST(weight AS BIGINT) AS weight,
+  CASE WHEN len(l) > 0 THEN regexp_replace(array_to_string(list_transform(range(a, least(a + 30, len(l))),
+    lambda i: l[i + 1] || CASE WHEN i < least(a + 30, len(l)) - 1 THEN gaps[i + 2] ELSE '' END), ''), '\\s+', ' ', 'g')
+  END AS passage FROM cut""",
     "code_extract": f"""WITH n AS (SELECT p_partkey, concat_ws(' ', 'for',
   CASE p_size % 3 WHEN 0 THEN 'hr16de,' WHEN 1 THEN 'K9K' END, p_type,
   CASE WHEN p_size % 5 = 0 THEN '(H4M) k4m' END, 'xk7m') AS note FROM part),

@@ -659,6 +659,13 @@ def bm25_proximity(spark, sf):
     return _search(spark, sf, "thing ered oned", top_k=50, params=params)
 
 
+@query
+def bm25_cover(spark, sf):
+    """Three words that stand in one short stretch, in any order, lift a text."""
+    params = SearchParams(**{**PLAIN.__dict__, "proximity_bonus": 0.25, "proximity": "cover"})
+    return _search(spark, sf, "thing ered oned", top_k=50, params=params)
+
+
 @query
 def bm25_numeric_boost(spark, sf):
     """A torque question prefers notes that state one."""
@@ -787,6 +794,20 @@ def render_hits(spark, sf):
     return shown.withColumn("rank", F.col("rank").cast("bigint"))
 
 
+@query
+def best_passage(spark, sf):
+    """The thirty words of each hit that hold most of a benchmark text, by idf."""
+    ix = A.corpus_index(spark, sf)
+    soft = SearchParams(**{**PLAIN.__dict__, "coverage": "soft"})
+    asked = _benchmark_queries(spark, sf)
+    hits = S.with_chunks(ix, S.search(ix, asked, top_k=3, params=soft), soft)
+    return S.with_passages(ix, hits, asked, params=soft, width=30).select(
+        "query_id", "id", F.col("passage.first").cast("bigint").alias("first_word"),
+        F.col("passage.last").cast("bigint").alias("last_word"), "passage.weight",
+        F.col("passage.text").alias("passage"),
+    )
+
+
 # --- applicability ------------------------------------------------------------------------------------
 
 
