@@ -586,6 +586,39 @@ FROM r JOIN m ON m.doc = r.doc AND m.page >= r.page AND (r.next_page IS NULL OR
   SELECT *, sum(CASE WHEN {is_heading(PLAIN_LINE)} THEN 1 ELSE 0 END)
     OVER (PARTITION BY doc_id ORDER BY line_no) AS island FROM lines)
 SELECT doc_id, CAST(island AS BIGINT) AS island, count(*) AS lines, min(line_no) AS first_line FROM f GROUP BY ALL""",
+    "short_units": """WITH u AS (
+  SELECT p_brand AS doc, p_partkey AS id, CAST(p_partkey // 3 AS INTEGER) AS page,
+    CASE WHEN p_size % 4 = 0 THEN p_type END AS section,
+    repeat(left(p_name, p_size % 7 + 2) || '.', p_size % 9) AS text FROM part),
+f AS (
+  SELECT *, length(trim(text)) AS n, length(trim(text)) >= 40 AS is_long,
+    count(*) FILTER (length(trim(text)) >= 40) OVER w AS island
+  FROM u WHERE trim(text) <> '' WINDOW w AS (PARTITION BY doc ORDER BY page, id)),
+g AS (
+  SELECT *, sum(n) OVER (PARTITION BY doc, island ORDER BY page, id) - n AS before,
+    sum(n) OVER (PARTITION BY doc, island) AS total FROM f WHERE NOT is_long),
+h AS (
+  SELECT g.*, total >= 40 OR longs IS NULL AS alone, CAST(before * greatest(total // 120, 1) // total AS BIGINT) AS part,
+    least(island + 1, longs) AS host, island < longs AS leads
+  FROM g LEFT JOIN (SELECT doc, max(island) AS longs FROM f WHERE is_long GROUP BY doc) USING (doc)),
+own AS (
+  SELECT *, row_number() OVER (PARTITION BY doc, island, part ORDER BY page, id) AS i FROM h WHERE alone),
+made AS (
+  SELECT doc, arg_min(id, i) AS unit_id, min(page) AS first_page, max(page) AS last_page, max(section) FILTER (i = 1) AS section,
+    string_agg(CASE WHEN i = 1 THEN text ELSE concat_ws(chr(10), section, text) END, chr(10) ORDER BY i) AS text
+  FROM own GROUP BY doc, island, part),
+taken AS (
+  SELECT doc, host, leads, min(page) AS first_page, max(page) AS last_page,
+    string_agg(concat_ws(chr(10), section, text), chr(10) ORDER BY page, id) AS text
+  FROM h WHERE NOT alone GROUP BY ALL)
+SELECT * FROM made
+UNION ALL
+SELECT f.doc, f.id, least(f.page, a.first_page), greatest(f.page, b.last_page), f.section,
+  concat_ws(chr(10), a.text, f.text, b.text)
+FROM f LEFT JOIN taken a ON a.doc = f.doc AND a.host = f.island AND a.leads
+  LEFT JOIN taken b ON b.doc = f.doc AND b.host = f.island AND NOT b.leads WHERE is_long
+UNION ALL
+SELECT doc, id, page, page, section, text FROM u WHERE trim(text) = ''""",
     "title_fallback": """SELECT d.source AS doc, d.doc_id AS unit_id, CASE WHEN contains(d.text, chr(10))
   THEN split_part(d.text, chr(10), 1) ELSE (SELECT 'entry ' || max(t.doc_id) FROM documents t
     WHERE t.source = d.source AND t.doc_id % 9 = 0 AND t.doc_id <= d.doc_id) END AS section

@@ -16,6 +16,7 @@ from folioquery.functions.russian import stem_russian
 from folioquery.operators import applicability as app
 from folioquery.operators import chunking, expansion, index, quality, scoring, units
 from folioquery.operators.filters import engine_condition, where_condition
+from folioquery.operators.short_units import absorb_short
 from folioquery.plans import build, updates
 from folioquery.plans import search as S
 from folioquery.plans.evaluate import run_gate
@@ -454,6 +455,21 @@ def units_islands(spark, sf):
     )
 
 
+@query
+def short_units(spark, sf):
+    """Part names, repeated up to eight times or not at all, as units of their brand's
+    document; short ones join each other or a neighbour."""
+    p = A.table(spark, sf, "part")
+    named_units = p.select(
+        F.col("p_brand").alias("doc"), F.col("p_partkey").alias("unit_id"),
+        F.floor(F.col("p_partkey") / 3).cast("int").alias("first_page"),
+        F.floor(F.col("p_partkey") / 3).cast("int").alias("last_page"),
+        F.when(F.col("p_size") % 4 == 0, F.col("p_type")).alias("section"),
+        F.repeat(F.concat(F.left("p_name", F.col("p_size") % 7 + 2), F.lit(".")), F.col("p_size") % 9).alias("text"),
+    )
+    return absorb_short(named_units, min_chars=40, target=120)
+
+
 @query
 def title_fallback(spark, sf):
     """Units without a heading take the contents entry at or before their page."""
