@@ -2,6 +2,7 @@
 
     python -m folioquery.ingest PAGES OUT --layout handbook|headings|manual
         [--bookmarks F] [--toc F] [--depth N] [--sources F] [--images F] [--buckets N] [--stats]
+        [--join-short]
 
 All inputs are JSON lines. PAGES: doc, lang, part, page, text, where ``page``
 counts inside each ``part`` of a split file. Bookmarks and contents entries: doc,
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 
 from .operators import units as U
 from .operators.index import TERM_BUCKETS
+from .operators.short_units import absorb_short
 from .plans import build
 from .sources.corpus import corpus_stats, read_chunks, read_sources
 
@@ -39,6 +41,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--sources")
     p.add_argument("--images")
     p.add_argument("--buckets", type=int, default=TERM_BUCKETS)
+    p.add_argument("--join-short", action="store_true", help="no chunk below the minimum length where a document has more")
     p.add_argument("--stats", action="store_true")
     return p
 
@@ -69,6 +72,8 @@ def run(spark: SparkSession, argv: Sequence[str]) -> list[str]:
         units = by(parsed)
     if args.toc:
         units = U.fill_titles(units, spark.read.schema(MARKS).json(args.toc), depth=args.depth)
+    if args.join_short:
+        units = absorb_short(units)
     if args.images:
         units = U.union_units(units, spark.read.schema(IMAGES).json(args.images)).fillna(
             0, ["block"]

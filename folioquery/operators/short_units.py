@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions.lets import let
-from ..session import join_small
+from ..session import join_small, new_scratch_path
 from .units import running_total
 
 
@@ -68,6 +68,13 @@ def _joined(members: Column, own_title: Column, paged: bool) -> Column:
     return let(F.transform(members, piece), merged)
 
 
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    """A narrow table that is read several times, written once."""
+    path = new_scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def absorb_short(
     units: DataFrame,
     min_chars: int = rules.MIN_CHUNK_CHARS,
@@ -88,7 +95,8 @@ def absorb_short(
     No text is lost; the titles of joined units become lines before their texts. Units
     without text, without document or with an ``image`` stay as they are. Runs are found
     from running totals over blocks, so neither a large document nor a long run meets in
-    one task; what is gathered is bounded by ``target``.
+    one task; what is gathered is bounded by ``target``. Sizes and members, a few numbers a
+    unit, are written to the scratch folder when this is called.
     """
     if target < 2 * min_chars:
         raise ValueError("target must be at least twice min_chars")
@@ -110,6 +118,7 @@ def absorb_short(
     placed = running_total(
         in_order(sizes, "doc", "_page", "unit_id", "_at", block), "doc", "_at", "_long", "_island", block
     )
+    placed = _stored(placed, "unit-sizes")
     long_ = placed.filter(F.col("_long") == 1)
     short = running_total(placed.filter(F.col("_long") == 0), "doc", "_at", "_chars", "_through", block)
 
@@ -136,6 +145,7 @@ def absorb_short(
         )
         .select(*key, "_at", "_island", "_part", "_alone", "_host", "_leads")
     )
+    members = _stored(members, "short-units")
     texts = units.filter((chars < min_chars) & (chars > 0))
     rest = [c for c in units.columns if c not in ("doc", "text", "first_page", "last_page", "page_starts")]
     gathered = (

@@ -73,3 +73,20 @@ def test_handbook_by_headings(spark, tmp_path):
     rows = read_chunks(spark, f"{out}/corpus", "parquet").collect()
     got = {(r["section"], r["pdf_page"], r["pdf_page_end"], r["chapter"]) for r in rows}
     assert got == {("ШИНЫ", 1, 2, 3), ("ЛАМПЫ", 3, 3, 3)}
+
+
+def test_short_units_join_their_neighbours(spark, tmp_path):
+    texts = [f"{BODY} First.", "Oil: 4 l.", f"{BODY} Third.", "See page 1."]
+    pages = [{"doc": "manual", "lang": "en", "part": 1, "page": i + 1, "text": t} for i, t in enumerate(texts)]
+    marks = [{"doc": "manual", "level": 1, "title": f"TOPIC {i + 1}", "page": i + 1} for i in range(4)]
+    out = str(tmp_path / "out")
+    given = [lines(tmp_path / "p.jsonl", pages), out, "--layout", "manual",
+             "--bookmarks", lines(tmp_path / "b.jsonl", marks), "--buckets", "2", "--join-short"]
+    ingest.run(spark, given)
+    rows = {r["id"]: r for r in read_chunks(spark, f"{out}/corpus", "parquet").collect()}
+    assert set(rows) == {"manual:u1:0", "manual:u3:0"}
+    third = rows["manual:u3:0"]
+    assert third["text"] == f"TOPIC 2\nOil: 4 l.\n{BODY} Third.\nTOPIC 4\nSee page 1."
+    assert (third["pdf_page"], third["pdf_page_end"]) == (2, 4)
+    shown = cli.run(spark, [f"{out}/index", "oil", "--passage", "6"])
+    assert shown[-1].split() == "TOPIC 2 Oil: 4 l. Undo".split()
