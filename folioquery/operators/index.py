@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lets import explode_once, let
 from ..functions.lines import has_torque
-from ..functions.text import is_compound, stem_word, surface_tokens, tokenize, trigrams
+from ..functions.text import is_compound, stem, stem_word, surface_tokens, tokenize, trigrams
 from .corpus import as_chunks
 
 TERM_BUCKETS = 64
@@ -137,6 +137,24 @@ def chunk_terms(chunks: DataFrame) -> DataFrame:
     )
 
 
+def asked_chunks(chunks: DataFrame, terms: list[str]) -> DataFrame:
+    """One row per chunk with its whole length and the entries of ``terms`` alone."""
+
+    def kept(found: Column) -> Column:
+        wanted = F.filter(found, lambda o: o["term"].isin(terms))
+        return F.struct(F.size(found).alias("chunk_len"), _runs(wanted).alias("entries"))
+
+    found = F.concat(occurrences(F.col("section"), True), occurrences(F.col("text"), False))
+    return (
+        as_chunks(chunks)
+        .select(
+            F.col("id").alias("chunk_id"), *FILTER_COLUMNS,
+            has_torque(F.col("text")).alias("has_torque"), let(found, kept).alias("_own"),
+        )
+        .select("chunk_id", *FILTER_COLUMNS, "has_torque", "_own.chunk_len", "_own.entries")
+    )
+
+
 def chunk_lengths(chunks: DataFrame) -> DataFrame:
     """Tokens per chunk, title included; tokenises only."""
     def count(text: str) -> Column:
@@ -223,6 +241,8 @@ class CorpusIndex:
     n_tokens: int
     buckets: int = TERM_BUCKETS
     bounds: DataFrame | None = None
+    # Rows of ``asked_chunks`` with their block, if the index holds some terms alone.
+    asked: DataFrame | None = None
 
     @property
     def spark(self) -> SparkSession:
@@ -298,6 +318,83 @@ def open_index(spark: SparkSession, path: str) -> CorpusIndex:
     )
 
 
+# Matches that one task scores, about.
+TASK_MATCHES = 400_000
+
+
+def by_block(asked: DataFrame, matches: int, positions: bool = True) -> DataFrame:
+    """Postings of ``asked`` chunks, all of a block in one partition.
+
+    Chunks travel as one row each, before their entries are unfolded; whatever is grouped
+    by block and more afterwards needs no further shuffle. Partitions follow the number
+    of ``matches`` to come, so that a task's groups stay few on any corpus.
+    """
+    rows = asked.filter(F.size("entries") > 0)
+    if not positions:
+        rows = rows.withColumn("entries", F.transform("entries", lambda e: e.dropFields("positions")))
+    tasks = max(asked.sparkSession.sparkContext.defaultParallelism, matches // TASK_MATCHES)
+    others = [c for c in rows.columns if c != "entries"]
+    return rows.repartition(tasks, "block").select(*others, F.inline("entries"))
+
+
+def write_index_for(
+    chunks: DataFrame, terms: list[str], path: str, buckets: int = TERM_BUCKETS, bounds: bool = False
+) -> CorpusIndex:
+    """An index that holds the postings of ``terms`` alone, for questions known beforehand.
+
+    Every chunk is read and tokenised once and its length counted whole, so counts, totals
+    and scores are those of the full index; only postings nobody asks for are not stored,
+    texts are not copied, and nothing is shuffled but rows of term counts. The vocabulary
+    for typo repair is not part of it.
+    """
+    spark = chunks.sparkSession
+    asked_chunks(chunks, terms).write.parquet(f"{path}/asked")
+    asked = spark.read.parquet(f"{path}/asked")
+    totals = asked.agg(
+        F.count("*").alias("n_chunks"), F.coalesce(F.sum("chunk_len"), F.lit(0)).alias("n_tokens"),
+        F.coalesce(F.sum(F.greatest(F.size("entries"), F.lit(0))), F.lit(0)).alias("n_postings"),
+    ).first()
+    blocks = suggested_blocks(totals["n_chunks"])
+    asked = asked.withColumn("block", chunk_block(F.col("chunk_id"), F.col("chunk_len"), blocks))
+    others = [c for c in asked.columns if c != "entries"]
+    bucket = term_bucket(F.col("term"), buckets)
+    postings = asked.select(*others, F.inline("entries")).withColumn("bucket", bucket)
+    document_frequency(postings).write.parquet(f"{path}/terms")
+    if bounds:
+        rows = by_block(asked, totals["n_postings"], positions=False).withColumn("bucket", bucket)
+        block_bounds(rows).write.parquet(f"{path}/bounds")
+    none = spark.createDataFrame([], "bucket int, gram string, surface string, n_grams int, n long")
+    return CorpusIndex(
+        chunks=as_chunks(chunks).withColumn("id_bucket", id_bucket(F.col("id"), buckets)),
+        postings=postings,
+        terms=spark.read.parquet(f"{path}/terms"),
+        grams=none.drop("n"),
+        gram_counts=none.select("bucket", "gram", "n"),
+        n_chunks=totals["n_chunks"],
+        n_tokens=totals["n_tokens"],
+        buckets=buckets,
+        bounds=spark.read.parquet(f"{path}/bounds") if bounds else None,
+        asked=asked,
+    )
+
+
+def write_vocabulary(chunks: DataFrame, path: str, buckets: int = TERM_BUCKETS) -> CorpusIndex:
+    """Words and trigrams of a corpus for typo repair, without postings or texts.
+
+    Distinct words are stored; trigrams are unfolded when they are looked up, all of a word
+    in one partition, so candidates are counted where they are found.
+    """
+    spark = chunks.sparkSession
+    surface_forms(chunks).write.parquet(f"{path}/surfaces")
+    surfaces = spark.read.parquet(f"{path}/surfaces")
+    grams = trigram_index(surfaces.repartition("surface"), buckets)
+    terms = surfaces.select(stem(F.col("surface")).alias("term")).withColumn("bucket", term_bucket(F.col("term"), buckets))
+    return CorpusIndex(
+        chunks=as_chunks(chunks), postings=terms, terms=terms, grams=grams,
+        gram_counts=gram_frequency(trigram_index(surfaces, buckets)), n_chunks=0, n_tokens=0, buckets=buckets,
+    )
+
+
 def index_in_memory(chunks: DataFrame) -> CorpusIndex:
     """An index over a small corpus without storing it; tables stay lazy plans."""
     rows = as_chunks(chunks)
