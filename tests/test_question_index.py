@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioquery.operators.expansion import prepare_dictionary
-from folioquery.operators.index import open_index, write_index
+from folioquery.operators.index import build_postings, open_index, term_documents, write_index
 from folioquery.plans import search as S
 from folioquery.rules import SearchParams
 from folioquery.sources.corpus import synonym_table
@@ -70,3 +70,8 @@ def test_matches_are_not_shuffled_again(spark, chunks):
     plan = S.search(own, queries, params=params)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(query_id" in plan and "hashpartitioning(block" in plan
     assert "chunk_id" not in "".join(line.split("hashpartitioning(")[1].split(")")[0] for line in plan.splitlines() if "hashpartitioning(" in line)
+
+
+def test_term_documents_are_the_counts_of_the_postings(chunks):
+    want = build_postings(chunks).groupBy("term").agg(F.count("*").alias("df"))
+    assert sorted(map(tuple, term_documents(chunks).collect())) == sorted(map(tuple, want.collect()))
