@@ -202,7 +202,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     queues = sorted((r.queue, r.n) for r in sums.groupBy("queue").agg(F.sum("n").alias("n")).collect())
     names = {q: i for i, (q, _) in enumerate(queues)}
     totals = tuple(n for _, n in queues)
-    placed = ids.join(bases.select("queue", "part", F.coalesce("base", F.lit(0)).alias("base")), ["queue", "part"])
+    # One short row a queue and partition: stored, so that Spark sees their size and ids stay where they are.
+    bases = stored(bases.select("queue", "part", F.coalesce("base", F.lit(0)).alias("base")), "queue-bases")
+    placed = ids.join(bases, ["queue", "part"])
     shared = spark.sparkContext.broadcast((names, totals))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

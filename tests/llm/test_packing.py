@@ -76,3 +76,14 @@ def test_repeated_rows_and_empty_table(spark):
     assert sorted((r.doc_id, r.start, r.sequence_id, r.offset) for r in pack(docs).collect())[0][:2] == (0, 0)
     assert pack(docs).agg(F.sum("length")).first()[0] == 2 * pack(documents(spark, ["x y"])).agg(F.sum("length")).first()[0]
     assert pack(docs.limit(0)).count() == 0
+
+
+def test_ids_are_not_shuffled(spark, sf_dir):
+    """The offsets of queues and partitions are broadcast to the ids, which stay in place."""
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20000")
+    try:
+        plan = pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
