@@ -1,10 +1,10 @@
-"""A small causal self-attention model over subword ids, in numpy.
+"""A small causal self-attention model over word classes, in numpy.
 
-Ids of the public vocabulary are written as three digits to base ``BASE``; each digit is
-predicted from the hidden state and the digits before it, so a token costs 3 x 37 scores
-instead of 50,257. Digit biases come from counts over the whole training corpus; context
-starts from a bounded sample and is then learned from every block of it. Sequences are cut into blocks of ``BLOCK`` positions, and
-each block attends to itself (causally) and to the whole block before: windows overlap,
+Class ids are written as three digits to base ``BASE``; each digit is
+predicted from the hidden state and the digits before it, so a token costs 3 x 20 scores
+instead of 8,000. Digit biases come from counts over the whole training corpus; context
+starts from a bounded sample and is then learned from every block of it. Sequences are
+cut into blocks of ``BLOCK`` positions, and each block attends to itself (causally) and to the whole block before: windows overlap,
 every token is scored once.
 """
 
@@ -14,7 +14,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-BASE, IDS, END = 37, 50257, 50256
+BASE, IDS, END = 20, 8000, 7999
 BLOCK, DIM = 16, 16
 
 
@@ -62,9 +62,14 @@ def _shift(a: np.ndarray) -> np.ndarray:
     return np.concatenate([np.concatenate([np.zeros_like(a[:1]), a[:-1]]), a], axis=1)
 
 
+def _times(a: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """a @ w as one product of matrices, not one for each block."""
+    return (a.reshape(-1, DIM) @ w).reshape(a.shape)
+
+
 def _attend(p, x, follows):
-    e = p["E"][x]
-    q, k, v = e @ p["Wq"] * np.float32(DIM**-0.5), _shift(e @ p["Wk"]), _shift(e @ p["Wv"])
+    e = p["E"].take(x, 0)
+    q, k, v = _times(e, p["Wq"] * np.float32(DIM**-0.5)), _shift(_times(e, p["Wk"])), _shift(_times(e, p["Wv"]))
     a = q @ k.transpose(0, 2, 1)
     a += p["R"][_AGO]
     np.exp(a, out=a)
@@ -72,15 +77,15 @@ def _attend(p, x, follows):
     a[~follows, :, :BLOCK] = 0
     a /= a.sum(axis=2, keepdims=True)
     o = a @ v
-    return e, q, k, v, a, o, e + o @ p["Wo"]
+    return e, q, k, v, a, o, e + _times(o, p["Wo"])
 
 
 def _digits(p, h, y):
     """Log probabilities and, per digit, (hidden state, logits' softmax, digit)."""
     d = (y // (BASE * BASE), y // BASE % BASE, y % BASE)
-    states = [h, h + p["D0"][d[0]]]
-    states.append(states[1] + p["D1"][d[1]])
-    biases = (p["b0"], p["b1"][d[0]], p["b2"][d[0] * BASE + d[1]])
+    states = [h, h + p["D0"].take(d[0], 0)]
+    states.append(states[1] + p["D1"].take(d[1], 0))
+    biases = (p["b0"], p["b1"].take(d[0], 0), p["b2"].take(d[0] * BASE + d[1], 0))
     total, parts, row = np.zeros(len(y)), [], np.arange(len(y))
     for i in range(3):
         s = states[i] @ p[f"U{i}"]
@@ -102,7 +107,24 @@ def log_probabilities(p: dict, x: np.ndarray, y: np.ndarray, follows: np.ndarray
     return out
 
 
+def _by_id(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different ids, and the sum of the rows of each."""
+    found = np.flatnonzero(np.bincount(ids, minlength=IDS))
+    sums = np.zeros(IDS * DIM, rows.dtype)
+    np.add.at(sums, (ids[:, None] * DIM + np.arange(DIM)).ravel(), rows.ravel())
+    return found, sums.reshape(IDS, DIM)[found]
+
+
 def loss_and_gradients(p: dict, x: np.ndarray, y: np.ndarray, follows: np.ndarray) -> tuple[float, dict]:
+    """Mean loss and the gradient of every parameter."""
+    loss, g, ids, rows = _gradients(p, x, y, follows)
+    g["E"] = np.zeros_like(p["E"])
+    g["E"][ids] = rows
+    return loss, g
+
+
+def _gradients(p: dict, x: np.ndarray, y: np.ndarray, follows: np.ndarray) -> tuple[float, dict, np.ndarray, np.ndarray]:
+    """Mean loss, gradients but for the embedding, the ids read and the gradients of their embedding rows."""
     e, q, k, v, a, o, h = _attend(p, x, follows)
     real = y >= 0
     total, parts = _digits(p, h[real], y[real])
@@ -111,19 +133,20 @@ def loss_and_gradients(p: dict, x: np.ndarray, y: np.ndarray, follows: np.ndarra
     back = np.zeros((int(real.sum()), DIM), np.float32)
     for i in (2, 1, 0):
         state, s, norm, digit = parts[i]
-        dz = s / norm[:, None]
-        dz[np.arange(len(digit)), digit] -= 1
-        dz /= n
+        dz, row = s, np.arange(len(digit))
+        dz /= (norm * n)[:, None]
+        dz[row, digit] -= 1 / n
         g[f"U{i}"] = state.T @ dz
         back = back + dz @ p[f"U{i}"].T
         if i:
-            g[f"D{i - 1}"] = np.zeros_like(p[f"D{i - 1}"])
-            np.add.at(g[f"D{i - 1}"], parts[i - 1][3], back)
+            marks = np.zeros((len(row), BASE), back.dtype)
+            marks[row, parts[i - 1][3]] = 1
+            g[f"D{i - 1}"] = marks.T @ back
     dh = np.zeros_like(h)
     dh[real] = back
     flat = lambda t: t.reshape(-1, DIM)
     g["Wo"] = flat(o).T @ flat(dh)
-    do = dh @ p["Wo"].T
+    do = _times(dh, p["Wo"].T)
     da = do @ v.transpose(0, 2, 1)
     ds = a * (da - (da * a).sum(axis=2, keepdims=True))
     g["R"] = np.bincount(_AGO.ravel(), weights=ds.sum(axis=0).ravel(), minlength=2 * BLOCK).astype(np.float32)
@@ -138,10 +161,9 @@ def loss_and_gradients(p: dict, x: np.ndarray, y: np.ndarray, follows: np.ndarra
     de = dh.copy()
     for name, d in (("Wq", dq), ("Wk", dk), ("Wv", dv)):
         g[name] = flat(e).T @ flat(d)
-        de += d @ p[name].T
-    g["E"] = np.zeros_like(p["E"])
-    np.add.at(g["E"], x.ravel(), flat(de))
-    return -float(total.sum()) / n, g
+        de += _times(d, p[name].T)
+    # Padding passes nothing back: it is no target, and no target attends to it.
+    return -float(total.sum()) / n, g, *_by_id(x[real], de[real])
 
 
 def train(p: dict, sequences: list[np.ndarray], steps: int = 300, batch: int = 192, rate: float = 0.01, seed: int = 11) -> dict:
@@ -194,16 +216,15 @@ def train_pass(p: dict, sequences: Iterable[np.ndarray], batch: int = 192, rate:
             begun = follows[low:high].copy()
             begun[0] = False
             real = y[low:high] >= 0
-            _, g = loss_and_gradients(p, x[low:high], y[low:high], begun)
+            _, g, ids, rows = _gradients(p, x[low:high], y[low:high], begun)
+            g["E"] = rows
             step += 1
             speed = rate * min(1.0, step / 20)
-            ids, n = np.unique(x[low:high][real], return_counts=True)
-            uses[ids] += n
+            uses += np.bincount(x[low:high][real], minlength=IDS)
             targets += int(real.sum())
             for k, (m, v) in moment.items():
-                at = ids if k == "E" else slice(None)
-                d = g[k][at]
-                m[at] += 0.1 * (d - m[at])
-                v[at] += 0.01 * (d * d - v[at])
-                p[k][at] -= speed * (m[at] / (1 - 0.9**step)) / (np.sqrt(v[at] / (1 - 0.99**step)) + 1e-7)
+                at, d = ids if k == "E" else slice(None), g[k]
+                m[at] = mean = m[at] + 0.1 * (d - m[at])
+                v[at] = square = v[at] + 0.01 * (d * d - v[at])
+                p[k][at] -= speed * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-7)
     return p, uses, targets

@@ -97,5 +97,31 @@ def test_fit_covers_every_training_row(spark, monkeypatch):
     assert seen == [sum(not r.held_out for r in got)] and seen[0] > 2
 
 
+def test_a_token_is_one_position_and_known_words_with_one_unseen_a_class_share_all_probability(spark, monkeypatch):
+    # Before, a word took a position for each of its subwords and one more for its boundary.
+    tokens = scoring.tokens_of(b"unpronounceable Antidisestablishmentarianism xqzzv")
+    ids, sizes = scoring.subwords(tokens, scoring.word_ids(None))
+    assert len(ids) == len(tokens) == sizes.sum() and ids[-1] == lm.END and (ids[:-1] < lm.END).all()
+    # With two classes: P(word) = P(class) * share, seen apart from the base.
+    monkeypatch.setattr(scoring, "SHARE", 0.0)
+    monkeypatch.setattr(scoring, "FREQUENT", 3)
+    monkeypatch.setattr(scoring, "fit_all", lambda training, model, classes: model)
+    monkeypatch.setattr(lm, "train", lambda p, s: p | {"U0": p["U0"] * 0, "U1": p["U1"] * 0, "U2": p["U2"] * 0})
+    got = score_texts(documents(spark, ["a b c", "a b", "a d e f a"]), classes=2).collect()
+    assert not any(r.held_out for r in got if r.doc_id in (0, 2))
+    # Without any context the model is the unigram of classes: near the base, whose classes are one.
+    counts = Counter(w for r, t in zip(sorted(got, key=lambda r: r.doc_id), ["a b c", "a b", "a d e f a"], strict=True) if not r.held_out for w in [*t.encode().split(), b""])
+    where = lambda w: lm.END if not w else zlib.crc32(w) % 2
+    n, v = Counter(), Counter()
+    for w, c in counts.items():
+        n[where(w)] += c
+        v[where(w)] += 1
+    whole = sum(n.values()) + 0.5 * lm.IDS
+    p = lambda w: (n[where(w)] + 0.5) / whole * (counts[w] + 0.5) / (n[where(w)] + 0.5 * (v[where(w)] + 1))
+    for r, text in zip(sorted(got, key=lambda r: r.doc_id), ["a b c", "a b", "a d e f a"], strict=True):
+        want = sum(math.log10(p(w)) for w in [*text.encode().split(), b""])
+        assert abs(r.score - want) < 0.02 * abs(want), (r.score, want)
+
+
 def test_empty_table(spark):
     assert score_texts(documents(spark, ["x"]).limit(0)).count() == 0
