@@ -13,12 +13,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioquery.llm.decontamination import find_contamination
+from folioquery.llm.decontamination import without_contaminated
 from folioquery.llm.languages import fit_trigrams, identify_languages
 from folioquery.llm.near_duplicates import near_duplicate_classes
 from folioquery.llm.packing import pack
 from folioquery.llm.secrets import redacted, with_secret_spans
-from folioquery.llm.tables import stored, table
+from folioquery.llm.tables import discard, scope, stored, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -40,19 +40,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Operator 3: one row of each class stays, that of smallest id; a row without an id
     only where no row of its class has one. Rows without words are classes of their own."""
     rows = _keyed(docs, "near-duplicate-rows")
-    found = near_duplicate_classes(rows, id_col="row_key").select(F.col("doc_id").alias("row_key"), "class_id")
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key"))
-    kept = rows.select("row_key", "doc_id").join(found, "row_key").groupBy("class_id").agg(first.alias("first"))
-    return rows.join(stored(kept.select("first.row_key"), "near-duplicate-kept"), "row_key", "left_semi").select(*COLUMNS)
+    with scope() as spent:
+        found = near_duplicate_classes(rows, id_col="row_key").select(F.col("doc_id").alias("row_key"), "class_id")
+        first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key"))
+        least = rows.select("row_key", "doc_id").join(found, "row_key").groupBy("class_id").agg(first.alias("first"))
+        kept = stored(least.select("first.row_key"), "near-duplicate-kept")
+    # What is kept is written: nothing reads the tables of the search any more.
+    for written in spent:
+        if written is not kept:
+            discard(written)
+    return rows.join(kept, "row_key", "left_semi").select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 2: documents that hold a benchmark window go, with an id or without."""
-    rows = _keyed(docs, "decontamination-rows")
-    found = find_contamination(rows, table(spark, sf_dir, "benchmark"), id_col="row_key")
-    hit = found.filter("contaminated").select(F.col("doc_id").alias("row_key"))
-    # Few rows: stored, so that the scan of all texts runs once and Spark sees their size.
-    return rows.join(stored(hit, "contaminated"), "row_key", "left_anti").select(*COLUMNS)
+    return without_contaminated(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -106,12 +106,58 @@ _ARROW = pa.schema([
 ])
 
 
+def _wanted(items: DataFrame, item_col: str, item_text_col: str) -> DataFrame:
+    return items.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), as_bytes(item_text_col).alias("data"))
+
+
+def _blocks(wanted: DataFrame, block_bytes: int) -> int:
+    """Parts of the items, each for an automaton of its own."""
+    total = wanted.agg(F.coalesce(F.sum(F.octet_length("data")), F.lit(0))).first()[0]
+    return max(1, -(-total // block_bytes))
+
+
+def _pairs(wanted: DataFrame, block: int, blocks: int) -> list[tuple[str, bytes]]:
+    part = wanted.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block) if blocks > 1 else wanted
+    rows = part.toArrow()
+    return list(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True))
+
+
+def _automaton(shared, key: str, width: int):
+    """The automaton of the items shared under ``key``; a worker keeps the last one."""
+    cache = worker_cache()
+    if cache.get("automaton_key") != key:
+        cache["automaton"], cache["automaton_key"] = build_automaton(shared.value, width), key
+    return cache["automaton"]
+
+
+def without_contaminated(
+    docs: DataFrame, items: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+    width: int = 10, block_bytes: int = 64 << 20,
+) -> DataFrame:
+    """The rows of ``docs`` that ``find_contamination`` finds clean, as they came. A row is judged
+    where it is read, so none needs an id and none is moved or written."""
+    wanted = _wanted(items, item_col, item_text_col)
+    blocks = _blocks(wanted, block_bytes)
+    kept, at = docs, docs.columns.index(text_col)
+
+    def clean(shared, key: str):
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            automaton = _automaton(shared, key, width)
+            for batch in batches:
+                texts = (t.as_py() or b"" for t in batch.column(at).cast(pa.binary()))
+                yield batch.filter(pa.array([not matches(automaton, fold_words(t))[0] for t in texts], pa.bool_()))
+
+        return scan
+
+    for block in range(blocks):
+        shared = docs.sparkSession.sparkContext.broadcast(_pairs(wanted, block, blocks))
+        kept = kept.mapInArrow(clean(shared, uuid.uuid4().hex), docs.schema)
+    return kept
+
+
 def _scan(docs: DataFrame, shared, key: str, width: int) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = worker_cache()
-        if cache.get("automaton_key") != key:
-            cache["automaton"], cache["automaton_key"] = build_automaton(shared.value, width), key
-        automaton = cache["automaton"]
+        automaton = _automaton(shared, key, width)
         for batch in batches:
             rows = []
             for doc, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -155,18 +201,14 @@ def find_contamination(
     """One row per document: counts, contaminated items and the matched ranges."""
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), as_bytes(text_col).alias("data"))
-    wanted = items.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), as_bytes(item_text_col).alias("data"))
-    total = wanted.agg(F.coalesce(F.sum(F.octet_length("data")), F.lit(0))).first()[0]
-    blocks = max(1, -(-total // block_bytes))
+    wanted = _wanted(items, item_col, item_text_col)
+    blocks = _blocks(wanted, block_bytes)
     parts, scanned = [], texts
     if blocks > 1:
         keyed = stored(texts.withColumn("row_key", F.monotonically_increasing_id()), "contamination-rows")
         scanned = keyed.select(F.col("row_key").alias("doc_id"), "data")
     for block in range(blocks):
-        part = wanted.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block) if blocks > 1 else wanted
-        rows = part.toArrow()
-        pairs = list(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True))
-        parts.append(_scan(scanned, spark.sparkContext.broadcast(pairs), uuid.uuid4().hex, width))
+        parts.append(_scan(scanned, spark.sparkContext.broadcast(_pairs(wanted, block, blocks)), uuid.uuid4().hex, width))
     if blocks == 1:
         return parts[0]
     union = parts[0]

@@ -13,12 +13,13 @@ trigrams alike, ``BACKGROUND`` of all texts beforehand, no evidence but its like
 takes part in the posterior, so a text that fits no language is not accepted.
 
 Each text goes to Python once for the fit and once for its likelihood, which is written;
-counts and decisions are made from these narrow rows, and the texts are joined last, by a
-row key of their own. Likelihoods leave Python in slices of ``SLICE`` rows.
+counts are made from it without reading texts again. Where texts are kept they are written
+beside it, and decided on where they are if the count tables were counted to be small; else
+decisions are made from narrow rows and meet the texts last, by a row key. Likelihoods leave Python in slices of ``SLICE`` rows.
 
 All counts cover all rows. What reaches the driver is the trigram model, whose size is
-languages x ``BUCKETS`` whatever the corpus. Count tables are joined; Spark broadcasts
-them only below its own size threshold, and skewed hosts are split by adaptive execution.
+languages x ``BUCKETS`` whatever the corpus. Count tables are joined; beside
+kept texts they are broadcast up to ``FEW_COUNTS``, else only below Spark's size threshold, and skewed hosts are split by adaptive execution.
 
 Defined cases: a text without words has no likelihood and is never accepted; null
 declaration, host or suffix give no evidence; a declaration is reduced to its primary
@@ -41,6 +42,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from folioquery.session import small_or_none
+
 from .tables import as_bytes, stored
 from .words import fold_words
 
@@ -52,6 +55,7 @@ ALPHA = 10.0  # pseudo-rows that a host or domain starts with
 MIN_PROBABILITY = 0.5
 BACKGROUND = 0.01
 SLICE = 512
+FEW_COUNTS = 400_000  # counts of a table, by key and language, that are broadcast where texts are carried
 RESULTS = ["lang_id", "lang_probability", "lang_by_text", "lang_accepted", "lang_declared", "lang_host", "lang_suffix"]
 
 _HIDDEN = re.compile(rb"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
@@ -102,8 +106,8 @@ def fit_trigrams(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     return langs, np.log(counts / counts.sum(axis=0))
 
 
-def _with_likelihood(rows: DataFrame, model: np.ndarray, html: bool) -> DataFrame:
-    """``rows`` with ``_lang_text`` (bytes) replaced by the number of trigrams ``_lang_n``,
+def _with_likelihood(rows: DataFrame, model: np.ndarray, html: bool, text_col: str = "_lang_text") -> DataFrame:
+    """``rows``, without ``_lang_text``, with the number of trigrams ``_lang_n`` of the text column,
     ``_lang_ll`` relative to the best language, and ``_lang_other``, the background's."""
     kept = [f for f in rows.schema.fields if f.name != "_lang_text"]
     schema = T.StructType([
@@ -118,8 +122,9 @@ def _with_likelihood(rows: DataFrame, model: np.ndarray, html: bool) -> DataFram
             for at in range(0, whole.num_rows, SLICE):
                 batch = whole.slice(at, SLICE)
                 lls, others, sizes = [], [], []
-                for data in batch.column("_lang_text"):
-                    found = trigram_buckets(visible_text(data.as_py()) if html else data.as_py())
+                for data in batch.column(text_col).cast(pa.binary()):
+                    data = data.as_py() or b""
+                    found = trigram_buckets(visible_text(data) if html else data)
                     level = 1 + len(found) / FULL_WEIGHT
                     ll = weights[found].sum(axis=0, dtype=np.float64) / level
                     lls.append((ll - ll.max()).tolist())
@@ -166,21 +171,29 @@ def identify_languages(
         *([] if keep_text else [as_bytes(text_col).alias("_lang_text")]),
     )
     passed = carried
-    if keep_text:
-        prepared = stored(prepared.withColumn("_lang_row", F.monotonically_increasing_id()), "language-rows")
-        passed = ["_lang_row"]
     size = max(1, len(langs))
-    text = as_bytes(text_col) if keep_text else F.col("_lang_text")
-    slim = prepared.select(*passed, *keys, text.alias("_lang_text"))
-    soft = stored(_with_likelihood(slim, model, html), "language-evidence").withColumn("_lang_soft", _softmax(F.col("_lang_ll"))).withColumn("_lang_all", F.lit(0))
+    read = "_lang_text"
+    if keep_text:
+        # Texts are written once, beside their evidence.
+        prepared, read = prepared.withColumn("_lang_row", F.monotonically_increasing_id()), text_col
+    soft = stored(_with_likelihood(prepared, model, html, read), "language-evidence")
+    rows = soft
+    soft = soft.withColumn("_lang_soft", _softmax(F.col("_lang_ll"))).withColumn("_lang_all", F.lit(0))
     whole = _counts(soft, "_lang_all", size, "n").first()
     total = np.array(whole["n"] if whole else [0.0] * size)
     base = F.array(*[F.lit(float(x)) for x in (total + 1) / (total.sum() + size)])
     marginal = F.array(*[F.lit(float(x)) for x in total + 1.0])
 
-    joined = soft.drop("_lang_all")
-    for key in keys:
-        joined = joined.join(_counts(soft, key, size, f"{key}_n"), key, "left")
+    counted = {key: _counts(soft, key, size, f"{key}_n") for key in keys}
+    if keep_text:
+        few = {key: small_or_none(counts, FEW_COUNTS // size) for key, counts in counted.items()}
+        if all(few.values()):
+            counted = {key: small.df for key, small in few.items()}
+        else:
+            passed = ["_lang_row"]  # many keys: texts wait where they are and meet their language last
+    joined = soft.select(*passed, *keys, "_lang_ll", "_lang_other", "_lang_n", "_lang_soft")
+    for key, counts in counted.items():
+        joined = joined.join(counts, key, "left")
 
     zero = F.array(*[F.lit(0.0)] * size)
     own = F.when(F.col("_lang_n") > 0, F.col("_lang_soft")).otherwise(zero)
@@ -215,7 +228,7 @@ def identify_languages(
         best.alias("lang_id"), F.col("_lang_best").alias("lang_probability"), F.when(worded, by_text).alias("lang_by_text"), accepted.alias("lang_accepted"),
         F.col("_lang_declared").alias("lang_declared"), F.col("_lang_host").alias("lang_host"), F.col("_lang_suffix").alias("lang_suffix"),
     )
-    return prepared.drop(*keys).join(decided, "_lang_row").drop("_lang_row") if keep_text else decided
+    return rows.select(*carried, "_lang_row").join(decided, "_lang_row").drop("_lang_row") if passed == ["_lang_row"] else decided
 
 
 def markup_language(html: Column) -> Column:

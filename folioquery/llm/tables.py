@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioquery.session import new_scratch_path
 
 
+_SCOPE: ContextVar[list[DataFrame] | None] = ContextVar("scope", default=None)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -23,7 +30,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    if (held := _SCOPE.get()) is not None:
+        held.append(written)
+    return written
+
+
+@contextmanager
+def scope() -> Iterator[list[DataFrame]]:
+    """Lists what is ``stored`` inside, so that it can be discarded once its result is written."""
+    held: list[DataFrame] = []
+    token = _SCOPE.set(held)
+    try:
+        yield held
+    finally:
+        _SCOPE.reset(token)
 
 
 def discard(table: DataFrame) -> None:

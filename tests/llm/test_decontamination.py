@@ -2,6 +2,7 @@ import hashlib
 
 from pyspark.sql import functions as F
 
+from folioquery.llm import decontamination
 from folioquery.llm.decontamination import find_contamination, merge
 
 from .cases import ODD, documents, words
@@ -59,3 +60,14 @@ def test_rows_without_an_id_or_with_one_id_stay_apart_in_many_blocks(spark):
     docs = spark.createDataFrame(texts, "doc_id long, text string")
     rows = lambda **kw: sorted(map(repr, find_contamination(docs, items, **kw).collect()))
     assert len(rows()) == len(texts) and rows(block_bytes=20) == rows()
+
+
+def test_clean_rows_stay_as_they_came_and_are_not_moved_or_written(spark, sf_dir, monkeypatch):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    want = {r.doc_id for r in find_contamination(docs, items).filter("not contaminated").collect()}
+    assert 0 < len(want) < docs.count()
+    for bytes_ in (64 << 20, 4000):  # one automaton, several
+        kept = decontamination.without_contaminated(docs, items, block_bytes=bytes_)
+        assert kept.schema == docs.schema and "Exchange" not in kept._jdf.queryExecution().executedPlan().toString()
+        assert sorted(tuple(r) for r in kept.collect()) == sorted(tuple(r) for r in docs.collect() if r.doc_id in want)

@@ -1,6 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from folioquery.llm import languages
 from folioquery.llm.languages import RESULTS, fit_trigrams, identify_languages, markup_language, visible_text
 
 from .cases import ODD, documents
@@ -79,3 +80,19 @@ def test_odd_rows_markup_and_empty_tables(spark):
     html = "<!DOCTYPE html><HTML class=a lang='fr-CA'><script>var a='</p>';</script><!-- x --><p>d&eacute;j&agrave;</p></html>"
     assert spark.range(1).select(markup_language(F.lit(html)).alias("m")).first().m == "fr-CA"
     assert visible_text(html.encode()).split() == ["déjà".encode()]
+
+
+def test_texts_stay_where_they_are_for_any_number_of_hosts(spark, sf_dir, monkeypatch):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
+    langs, model = languages.fit_trigrams(docs)
+
+    def found():
+        return languages.identify_languages(docs, langs, model, text_col="text", declared=F.col("lang"), host=F.col("source"))
+
+    few = found()
+    assert "Exchange hashpartitioning" not in few._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(languages, "FEW_COUNTS", 0)
+    many = found()
+    assert many.columns == few.columns and "_lang_row" in many._jdf.queryExecution().executedPlan().toString()
+    rows = lambda df: sorted((r.doc_id, r.text, r.lang_id, r.lang_accepted, round(r.lang_probability, 9)) for r in df.collect())
+    assert rows(few) == rows(many) and len(rows(few)) == docs.count()

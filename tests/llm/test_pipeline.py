@@ -1,8 +1,11 @@
 import re
+from pathlib import Path
 
 import corpus_pipeline
 from pyspark.sql import functions as F
 
+from folioquery.session import scratch_dir
+
 from .cases import ODD, words
 from .test_decontamination import brute as leaks
 from .test_near_duplicates import classes
@@ -74,3 +77,13 @@ def test_empty_table_gives_an_empty_result(spark, sf_dir):
     for name, stage in corpus_pipeline.STAGES:
         docs = corpus_pipeline.stored(stage(spark, docs, sf_dir), f"test-{name}")
     assert docs.count() == 0
+
+
+def test_only_rows_and_what_is_kept_are_left_on_disk_behind_near_duplicates(spark, sf_dir):
+    folder = Path(scratch_dir(spark))
+    before = set(folder.iterdir())
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = corpus_pipeline.near_duplicates(spark, docs, sf_dir)
+    made = {p.name.rsplit("-", 1)[0] for p in folder.iterdir() if p not in before}
+    assert made == {"near-duplicate-rows", "near-duplicate-kept"}
+    assert 0 < rows.count() < docs.count()
