@@ -208,6 +208,15 @@ def bookmark_ranges(bookmarks: DataFrame, depth: int | None = None) -> DataFrame
     )
 
 
+def _mean_distance(points: DataFrame, group: str, point: str) -> int:
+    """Distance between neighbouring points of a group, on the average over all groups."""
+    ranges = points.groupBy(group).agg(
+        (F.max(point) - F.min(point)).cast("double").alias("_range"), F.count(point).alias("_points")
+    )
+    whole, n = ranges.agg(F.sum("_range"), F.sum("_points")).first()
+    return int((whole or 0) // n) + 1 if n else 1
+
+
 def interval_join(
     points: DataFrame,
     intervals: DataFrame,
@@ -221,9 +230,11 @@ def interval_join(
 
     Both sides meet on ``(group, bucket)`` with buckets of ``width`` points, so
     the match is an equi-join that also splits a very large group; an interval is
-    listed once per bucket it covers. Open intervals, few per group, are closed
-    at their group's last point first.
+    listed once per bucket it covers. Buckets are wider where points lie far apart,
+    so that a group's range holds about as many buckets as it has points at most.
+    Open intervals, few per group, are closed at their group's last point first.
     """
+    width = max(width, _mean_distance(points, group, point))
     closed = intervals.filter(F.col(end).isNotNull()).withColumn("_end", F.col(end))
     open_ = intervals.filter(F.col(end).isNull())
     last = points.groupBy(group).agg((F.max(point) + 1).alias("_end"))
