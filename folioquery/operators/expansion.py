@@ -3,7 +3,7 @@
 Queries travel as a relation ``(query_id, query)``, so one question and a batch
 take the same plan. The result is one row per term of each alternative phrase::
 
-    query_id, n_concepts, wants_torque, concept_id, phrase_id, phrase_len, term, weight
+    query_id, n_concepts, wants_torque, concept_id, phrase_id, phrase_len, plain, term, weight
 """
 
 from __future__ import annotations
@@ -361,15 +361,17 @@ def concepts(words: DataFrame, dict_: Dictionary | None, params: SearchParams) -
 
 
 def query_terms(concept_rows: DataFrame) -> DataFrame:
-    """One row per term of each phrase of each concept."""
+    """One row per term of each phrase of each concept; ``plain`` if it is the concept's only one."""
     return (
         concept_rows.select(
             "query_id", "n_concepts", "wants_torque", "concept_id",
+            (F.size("phrases") == 1).alias("_sole"),
             F.posexplode("phrases").alias("phrase_id", "_p"),
         )
         .select(
             "query_id", "n_concepts", "wants_torque", "concept_id", "phrase_id",
             F.size("_p.terms").alias("phrase_len"),
+            (F.col("_sole") & (F.size("_p.terms") == 1)).alias("plain"),
             F.col("_p.weight").alias("weight"),
             F.explode("_p.terms").alias("term"),
         )

@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 
 from ..functions.lets import explode_once, let
 from ..functions.lines import has_torque
-from ..functions.text import is_compound, stem, stem_word, surface_tokens, tokenize, trigrams
+from ..functions.text import (
+    is_compound, stem, stem_word, surface_tokens, token_forms, tokenize, trigrams,
+)
 from .corpus import as_chunks
 
 TERM_BUCKETS = 64
@@ -137,19 +139,91 @@ def chunk_terms(chunks: DataFrame) -> DataFrame:
     )
 
 
-def asked_chunks(chunks: DataFrame, terms: list[str]) -> DataFrame:
-    """One row per chunk with its whole length and the entries of ``terms`` alone."""
+# Up to this many asked terms, words are first told apart by their first letters.
+FEW_TERMS, PREFIX_LETTERS = 100, 5
 
-    def kept(found: Column) -> Column:
+
+def _may_be(word: Column, terms: list[str]) -> Column:
+    """Whether a word can have one of ``terms`` as its stem. Stems only cut endings off,
+    so a word starts with its stem; a compound may hold a term as a part."""
+    by_length: dict[int, set[str]] = {}
+    for term in terms:
+        start = term[:PREFIX_LETTERS]
+        by_length.setdefault(len(start), set()).add(start)
+    found = F.contains(word, F.lit("-"))
+    for length, starts in sorted(by_length.items(), reverse=True):
+        found = found | F.left(word, F.lit(length)).isin(sorted(starts))
+    return found
+
+
+def _n_forms(words: Column) -> Column:
+    """Number of index forms of a word list: the words, and the parts of compounds."""
+    parts = F.aggregate(F.filter(words, is_compound), F.lit(0), lambda n, w: n + F.size(F.split(w, "-")))
+    return F.size(words) + F.when(F.exists(words, is_compound), parts).otherwise(F.lit(0))
+
+
+def _asked_forms(words: Column, terms: list[str]) -> Column:
+    """Every occurrence of one of ``terms`` in a word list, without its place."""
+    def forms(kept: Column) -> Column:
+        split = F.flatten(F.transform(kept, token_forms))
+        return F.when(F.exists(kept, is_compound), split).otherwise(kept)
+
+    kept = F.filter(words, lambda w: _may_be(w, terms)) if len(terms) <= FEW_TERMS else words
+    return F.filter(F.transform(let(kept, forms), stem_word), lambda t: t.isin(terms))
+
+
+def _counted(title: Column, body: Column) -> Column:
+    """``_runs`` for occurrences without places: term counts alone."""
+
+    def cut(terms: Column) -> Column:
+        size = F.size(terms)
+        starts = F.filter(
+            F.sequence(F.lit(0), size - 1),
+            lambda i: (i == 0) | (F.get(terms, i) != F.get(terms, i - 1)),
+        )
+
+        def entry(s: Column, start: Column, i: Column) -> Column:
+            own = F.when(F.size(title) > 0, F.size(F.filter(title, lambda t: t == F.get(terms, start))))
+            return F.struct(
+                F.get(terms, start).alias("term"), (F.coalesce(F.get(s, i + 1), size) - start).alias("tf"),
+                F.coalesce(own, F.lit(0)).alias("title_tf"),
+            )
+
+        return let(starts, lambda s: F.transform(s, lambda start, i: entry(s, start, i)))
+
+    return let(F.sort_array(F.concat(title, body)), lambda terms: F.when(F.size(terms) > 0, cut(terms)))
+
+
+def asked_chunks(chunks: DataFrame, terms: list[str], positions: bool = True) -> DataFrame:
+    """One row per chunk with its whole length and the entries of ``terms`` alone; their
+    positions only where they are wanted, since counting words is much cheaper without."""
+
+    def placed(found: Column) -> Column:
         wanted = F.filter(found, lambda o: o["term"].isin(terms))
         return F.struct(F.size(found).alias("chunk_len"), _runs(wanted).alias("entries"))
 
-    found = F.concat(occurrences(F.col("section"), True), occurrences(F.col("text"), False))
+    def listed(column: str) -> Column:
+        return let(
+            surface_tokens(F.coalesce(F.col(column), F.lit(""))),
+            lambda words: F.struct(_n_forms(words).alias("n"), _asked_forms(words, terms).alias("found")),
+        )
+
+    def counted(both: Column) -> Column:
+        return F.struct(
+            (both["title"]["n"] + both["body"]["n"]).alias("chunk_len"),
+            _counted(both["title"]["found"], both["body"]["found"]).alias("entries"),
+        )
+
+    if positions:
+        found = F.concat(occurrences(F.col("section"), True), occurrences(F.col("text"), False))
+        own = let(found, placed)
+    else:
+        own = let(F.struct(listed("section").alias("title"), listed("text").alias("body")), counted)
     return (
         as_chunks(chunks)
         .select(
             F.col("id").alias("chunk_id"), *FILTER_COLUMNS,
-            has_torque(F.col("text")).alias("has_torque"), let(found, kept).alias("_own"),
+            has_torque(F.col("text")).alias("has_torque"), own.alias("_own"),
         )
         .select("chunk_id", *FILTER_COLUMNS, "has_torque", "_own.chunk_len", "_own.entries")
     )
@@ -338,7 +412,7 @@ def by_block(asked: DataFrame, matches: int, positions: bool = True) -> DataFram
     of ``matches`` to come, so that a task's groups stay few on any corpus.
     """
     rows = asked.filter(F.size("entries") > 0)
-    if not positions:
+    if not positions and "positions" in rows.schema["entries"].dataType.elementType.names:
         rows = rows.withColumn("entries", F.transform("entries", lambda e: e.dropFields("positions")))
     tasks = max(asked.sparkSession.sparkContext.defaultParallelism, matches // TASK_MATCHES)
     others = [c for c in rows.columns if c != "entries"]
@@ -346,17 +420,18 @@ def by_block(asked: DataFrame, matches: int, positions: bool = True) -> DataFram
 
 
 def write_index_for(
-    chunks: DataFrame, terms: list[str], path: str, buckets: int = TERM_BUCKETS, bounds: bool = False
+    chunks: DataFrame, terms: list[str], path: str, buckets: int = TERM_BUCKETS, bounds: bool = False,
+    positions: bool = True,
 ) -> CorpusIndex:
     """An index that holds the postings of ``terms`` alone, for questions known beforehand.
 
     Every chunk is read and tokenised once and its length counted whole, so counts, totals
     and scores are those of the full index; only postings nobody asks for are not stored,
     texts are not copied, and nothing is shuffled but rows of term counts. The vocabulary
-    for typo repair is not part of it.
+    for typo repair is not part of it. Without ``positions`` it serves no proximity bonus.
     """
     spark = chunks.sparkSession
-    asked_chunks(chunks, terms).write.parquet(f"{path}/asked")
+    asked_chunks(chunks, terms, positions).write.parquet(f"{path}/asked")
     asked = spark.read.parquet(f"{path}/asked")
     totals = asked.agg(
         F.count("*").alias("n_chunks"), F.coalesce(F.sum("chunk_len"), F.lit(0)).alias("n_tokens"),

@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioquery.operators.expansion import prepare_dictionary
+from folioquery.operators import index as I
+from folioquery.operators import scoring
 from folioquery.operators.index import build_postings, open_index, term_documents, write_index
 from folioquery.plans import search as S
 from folioquery.rules import SearchParams
@@ -75,3 +77,35 @@ def test_matches_are_not_shuffled_again(spark, chunks):
 def test_term_documents_are_the_counts_of_the_postings(chunks):
     want = build_postings(chunks).groupBy("term").agg(F.count("*").alias("df"))
     assert sorted(map(tuple, term_documents(chunks).collect())) == sorted(map(tuple, want.collect()))
+
+
+@pytest.mark.parametrize("few", [100, 0])
+def test_counts_without_places_are_those_of_the_postings(spark, chunks, monkeypatch, few):
+    """Titles, compounds, endings of both languages, decimals; asked by few letters or by all stems."""
+    monkeypatch.setattr(I, "FEW_TERMS", few)
+    terms = sorted(r.term for r in build_postings(chunks).select("term").distinct().collect())
+    odd = chunks.limit(1).withColumn("id", F.lit("odd")).withColumn("section", F.lit("Oils-Level oil"))
+    rows = chunks.unionByName(odd.withColumn("text", F.lit("oiling a-b x2-y 1.5.2 ё-oils сцеплениями eyes")))
+    columns = ["chunk_id", "chunk_len", "has_torque", "e.term", "e.tf", "e.title_tf"]
+    for asked in (["oil", "a", "сцеплен", "x2-y", "1.5.2", "clutch"], terms):
+        own = I.asked_chunks(rows, asked, positions=False).select("*", F.explode("entries").alias("e")).select(*columns)
+        want = I.asked_chunks(rows, asked).select("*", F.explode("entries").alias("e")).select(*columns)
+        got = sorted(map(tuple, own.collect()))
+        assert got and got == sorted(map(tuple, want.collect()))
+        lengths = [{r.chunk_id: r.chunk_len for r in I.asked_chunks(rows, asked, p).collect()} for p in (True, False)]
+        assert lengths[0] == lengths[1]
+
+
+@pytest.mark.parametrize("coverage", ["strict", "soft"])
+def test_pair_scores_are_the_scores_of_all_levels_in_fewer_rows(spark, chunks, full, coverage):
+    params = SearchParams(coverage=coverage, proximity_bonus=0.0, fuzzy=False)
+    queries = spark.createDataFrame([*QUESTIONS, (6, "clutch-pedal oil level")], "query_id long, query string")
+    synonyms = prepare_dictionary(synonym_table(spark, {"oil": ["fluid", "level gauge"]}))
+    own = S.index_for_questions(chunks, queries, synonyms, params)
+    assert "positions" not in own.postings.columns
+    for index in (own, full):
+        matches = S.match_postings(index, S.question_terms(index, queries, synonyms, params), params)
+        levels = scoring.concept_scores(scoring.phrase_matches(matches, index, params), params)
+        columns = ["query_id", "chunk_id", "doc", "covered", "n_concepts", F.round("score", 9)]
+        want = sorted(map(tuple, scoring.chunk_scores(levels, params).select(*columns).collect()))
+        assert want and want == sorted(map(tuple, scoring.pair_scores(matches, index, params).select(*columns).collect()))
