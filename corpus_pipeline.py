@@ -18,7 +18,7 @@ from folioquery.llm.languages import fit_trigrams, identify_languages
 from folioquery.llm.near_duplicates import near_duplicate_classes
 from folioquery.llm.packing import pack
 from folioquery.llm.secrets import redacted, with_secret_spans
-from folioquery.llm.tables import discard, scope, stored, table
+from folioquery.llm.tables import discard, marked_rows, scope, stored, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -49,7 +49,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     for written in spent:
         if written is not kept:
             discard(written)
-    return rows.join(kept, "row_key", "left_semi").select(*COLUMNS)
+    return marked_rows(rows, kept, "row_key").select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -54,3 +54,20 @@ def discard(table: DataFrame) -> None:
     for folder in {path.rsplit("/", 1)[0] for path in table.inputFiles()}:
         at = spark._jvm.org.apache.hadoop.fs.Path(folder)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def marked_rows(rows: DataFrame, marked: DataFrame, key: str) -> DataFrame:
+    """The ``rows`` whose key is among ``marked``, without moving them.
+
+    Keys come from ``monotonically_increasing_id``, so they lie close together and go
+    into bitmaps: about a bit a row is sent to the tasks.
+    """
+    place = F.col(key) + 1
+    bitmaps = marked.groupBy(F.bitmap_bucket_number(place).alias("_bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("_marks")
+    )
+    at = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring("_marks", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    bit = F.floor(byte / F.pow(F.lit(2.0), at % 8)).cast("int") % 2
+    joined = rows.withColumn("_bucket", F.bitmap_bucket_number(place)).join(F.broadcast(bitmaps), "_bucket")
+    return joined.filter(bit == 1).drop("_bucket", "_marks")

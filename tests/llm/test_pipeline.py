@@ -4,6 +4,7 @@ from pathlib import Path
 import corpus_pipeline
 from pyspark.sql import functions as F
 
+from folioquery.llm.tables import marked_rows, stored
 from folioquery.session import scratch_dir
 
 from .cases import ODD, words
@@ -87,3 +88,14 @@ def test_only_rows_and_what_is_kept_are_left_on_disk_behind_near_duplicates(spar
     made = {p.name.rsplit("-", 1)[0] for p in folder.iterdir() if p not in before}
     assert made == {"near-duplicate-rows", "near-duplicate-kept"}
     assert 0 < rows.count() < docs.count()
+
+
+def test_rows_are_picked_by_bitmap_without_a_shuffle_of_their_own(spark):
+    rows = spark.range(0, 100_000, 1, 3).select(F.monotonically_increasing_id().alias("row_key"), F.col("id").alias("n"))
+    rows = stored(rows, "bitmap-rows")
+    for wanted in (F.col("n") % 7 < 3, F.col("n") == 99_999, F.lit(False)):
+        marked = rows.filter(wanted).select("row_key")
+        found = marked_rows(rows, marked, "row_key")
+        assert [r.n for r in found.orderBy("n").collect()] == [r.n for r in rows.filter(wanted).orderBy("n").collect()]
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(row_key" not in plan and "SortMergeJoin" not in plan
