@@ -25,9 +25,10 @@ repeated rows are packed each; empty tables give no pieces; other columns are no
 from __future__ import annotations
 
 import heapq
-import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -124,6 +125,7 @@ class Packer:
     def __init__(self, totals: tuple[int, ...]):
         self.totals, self.whole = totals, sum(totals)
         self.table = lru_cache(maxsize=64)(lambda block: round_robin(block, totals))
+        self.column = lru_cache(maxsize=1024)(self._column)
         self.state = lru_cache(maxsize=4096)(lambda block: served_before(block * BLOCK, totals))
         self.blocks = -(-(-(-self.whole // WINDOW)) // BLOCK)
 
@@ -141,18 +143,26 @@ class Packer:
             else:
                 high = guess - 1
             guess = (low + high) // 2
-        served = self.table(low)[:, queue]
-        return low * BLOCK + int(np.searchsorted(served, at, side="right")) - 1
+        return low * BLOCK + bisect_right(self.column(low, queue)[0], at) - 1
+
+    def _column(self, block: int, queue: int) -> tuple[list[int], list[int]]:
+        """Tokens of a queue served before each window of a block, and the places that the
+        queues before it take in each."""
+        table = self.table(block)
+        return table[:, queue].tolist(), np.diff(table[:, :queue], axis=0).sum(axis=1).tolist()
 
     def pieces(self, queue: int, start: int, length: int) -> Iterator[tuple[int, int, int, int]]:
         """(start in the run, length, sequence, offset)."""
-        done = 0
+        done, full = 0, self.whole // WINDOW
         window = self._window(queue, start)
         while done < length:
-            rows = self.table(window // BLOCK)
-            row, after = rows[window % BLOCK], rows[window % BLOCK + 1]
-            run = min(length - done, int(after[queue]) - (start + done))
-            at = int((after - row)[:queue].sum()) + start + done - int(row[queue])
+            served, before = self.column(window // BLOCK, queue)
+            row = window % BLOCK
+            run = min(length - done, served[row + 1] - start - done)
+            at = before[row] + start + done - served[row]
+            if run > 0 and window < full:
+                yield done, run, window, at
+                done, run = done + run, 0
             while run > 0:
                 sequence, offset, room = sequence_of(window, at, self.whole)
                 n = min(run, room)
@@ -211,14 +221,13 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
         names, totals = shared.value
         packer = Packer(totals)
         for batch in batches:
-            columns: list[list[int]] = [[] for _ in range(7)]
+            found: list[tuple[int, ...]] = []
             for doc, queue, at, data in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), strict=True):
                 wide = np.frombuffer(data.as_py(), "<u2").astype("<u4")
                 raw = memoryview(wide.tobytes())
                 for start, length, sequence, offset in packer.pieces(names[queue], at, len(wide)):
-                    crc = zlib.crc32(raw[4 * start : 4 * (start + length)])
-                    for column, value in zip(columns, (doc, start, length, crc, len(wide), sequence, offset), strict=True):
-                        column.append(value)
+                    found.append((doc, start, length, crc32(raw[4 * start : 4 * (start + length)]), len(wide), sequence, offset))
+            columns = zip(*found) if found else ([],) * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=_ARROW)
 
     return placed.select("doc_id", "queue", (F.col("base") + F.col("at")).alias("at"), "ids").mapInArrow(cut, SCHEMA)

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from folioquery.llm.packing import BLOCK, WINDOW, pack, round_robin, served_before
+from folioquery.llm.packing import BLOCK, WINDOW, Packer, pack, round_robin, served_before
 from folioquery.llm.tokens import encoder
 
 from .cases import ODD, documents
@@ -87,3 +87,14 @@ def test_ids_are_not_shuffled(spark, sf_dir):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_a_queue_of_a_block_is_laid_out_once_for_all_its_runs():
+    packer = Packer((300 * WINDOW, 5, 100 * WINDOW + 77))
+    for queue, total in enumerate(packer.totals):
+        for start in range(0, total, 40_000):
+            length = min(40_000, total - start)
+            pieces = list(packer.pieces(queue, start, length))
+            assert [p[0] for p in pieces] == [0, *np.cumsum([p[1] for p in pieces])[:-1]]
+            assert sum(p[1] for p in pieces) == length
+    assert packer.column.cache_info().misses <= 3 * packer.blocks
