@@ -43,6 +43,7 @@ WINDOW = 2048
 BLOCK = 256  # windows between closed-form states
 QUEUES = 1024
 END = 1
+SLICE = 256  # rows worked on at once, so that a worker's memory does not follow Spark's batches
 
 
 def served_before(window: int, totals: tuple[int, ...]) -> list[int]:
@@ -120,12 +121,20 @@ def sequence_of(window: int, at: int, whole: int) -> tuple[int, int, int]:
 
 
 class Packer:
-    """Cuts runs of a queue's tokens at window borders."""
+    """Cuts runs of a queue's tokens at window borders. Nothing it keeps refers back to
+    it, so its tables go with it and not when a worker next looks for cycles."""
 
     def __init__(self, totals: tuple[int, ...]):
         self.totals, self.whole = totals, sum(totals)
-        self.table = lru_cache(maxsize=64)(lambda block: round_robin(block, totals))
-        self.column = lru_cache(maxsize=1024)(self._column)
+        table = lru_cache(maxsize=64)(lambda block: round_robin(block, totals))
+
+        def column(block: int, queue: int) -> tuple[list[int], list[int]]:
+            # Tokens of a queue served before each window of a block, and the places that
+            # the queues before it take in each.
+            rows = table(block)
+            return rows[:, queue].tolist(), np.diff(rows[:, :queue], axis=0).sum(axis=1).tolist()
+
+        self.column = lru_cache(maxsize=1024)(column)
         self.state = lru_cache(maxsize=4096)(lambda block: served_before(block * BLOCK, totals))
         self.blocks = -(-(-(-self.whole // WINDOW)) // BLOCK)
 
@@ -145,12 +154,6 @@ class Packer:
             guess = (low + high) // 2
         return low * BLOCK + bisect_right(self.column(low, queue)[0], at) - 1
 
-    def _column(self, block: int, queue: int) -> tuple[list[int], list[int]]:
-        """Tokens of a queue served before each window of a block, and the places that the
-        queues before it take in each."""
-        table = self.table(block)
-        return table[:, queue].tolist(), np.diff(table[:, :queue], axis=0).sum(axis=1).tolist()
-
     def pieces(self, queue: int, start: int, length: int) -> Iterator[tuple[int, int, int, int]]:
         """(start in the run, length, sequence, offset)."""
         done, full = 0, self.whole // WINDOW
@@ -175,13 +178,20 @@ _ARROW = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches, ``SLICE`` at a time at most."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
+
 def tokenised(docs: DataFrame, id_col: str, text_col: str, source_col: str, tokenizer: str | None) -> DataFrame:
     """(doc_id, queue, part, at, ids): ``at`` counts the queue's tokens before it in its partition."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of, part = encoder(tokenizer), TaskContext.get().partitionId()
         end, before = END.to_bytes(2, "little"), {}
-        for batch in batches:
+        for batch in slices(batches):
             at, out = [], []
             for queue, text in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
                 ids = ids_of(text.as_py()) + end
@@ -220,7 +230,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, totals = shared.value
         packer = Packer(totals)
-        for batch in batches:
+        for batch in slices(batches):
             found: list[tuple[int, ...]] = []
             for doc, queue, at, data in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), strict=True):
                 wide = np.frombuffer(data.as_py(), "<u2").astype("<u4")

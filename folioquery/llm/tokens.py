@@ -1,14 +1,17 @@
-"""Token ids of a public byte-level BPE, by a cache of encoded words.
+"""Token ids of a public byte-level BPE.
 
-The pattern cuts a text into words before any merge, so a word's ids never depend on its
-neighbours. Texts of common Latin characters are cut by an equivalent pattern of the
-standard library and each word is looked up; any other text goes whole to the encoder.
+Texts go whole to the encoder, which takes less time than looking up every word and keeps
+nothing. The encoder's pattern recurses on very long runs of white space; a text with such
+a run is cut into words by an equivalent pattern of the standard library, if it has common
+Latin characters only. A word's ids never depend on its neighbours.
 """
 
 from __future__ import annotations
 
 import base64
 import re
+import sys
+from array import array
 
 import public_tokenizers
 import tiktoken
@@ -18,37 +21,30 @@ from .words import worker_cache
 # Characters for which the standard library's classes agree with the tokenizer's.
 _COMMON = re.compile("[\t\n\r\x20-\x7eÀ-ɏ]*")
 _WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-MAX_WORDS = 400_000
+LONG_RUN = 10_000
+_SPACES = re.compile(r"\s{%d}" % LONG_RUN)
 
 
-class _Encoded(dict):
-    """Word -> its ids as little-endian 16-bit numbers; emptied when full."""
-
-    def __init__(self, encoding):
-        self.encode = encoding.encode_ordinary
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= MAX_WORDS:
-            self.clear()
-        ids = b"".join(i.to_bytes(2, "little") for i in self.encode(word))
-        if len(word) < 64:
-            self[word] = ids
-        return ids
+def _bytes(ids: list[int]) -> bytes:
+    """Little-endian 16-bit numbers."""
+    return array("H", ids).tobytes() if sys.byteorder == "little" else b"".join(i.to_bytes(2, "little") for i in ids)
 
 
 def encoder(path: str | None = None):
-    """Function from text to ids (bytes, 16 bits each), kept by the worker."""
+    """Function from text to ids (bytes, 16 bits each); its tables are kept by the worker."""
     cache = worker_cache()
     path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
     if ("bpe", path) not in cache:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        cache["bpe", path] = _Encoded(tiktoken.Encoding("public", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}))
-    encoded = cache["bpe", path]
+        cache["bpe", path] = tiktoken.Encoding("public", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    encoding = cache["bpe", path]
+
+    ids_of_word = encoding._core_bpe.encode_single_piece
 
     def encode(text: str) -> bytes:
-        if _COMMON.fullmatch(text):
-            return b"".join(map(encoded.__getitem__, _WORD.findall(text)))
-        return b"".join(i.to_bytes(2, "little") for i in encoded.encode(text))
+        if len(text) >= LONG_RUN and _SPACES.search(text) and _COMMON.fullmatch(text):
+            return b"".join(_bytes(ids_of_word(word.encode())) for word in _WORD.findall(text))
+        return _bytes(encoding.encode_ordinary(text))
 
     return encode

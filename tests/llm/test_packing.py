@@ -1,7 +1,10 @@
+import gc
+import weakref
 import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -9,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from folioquery.llm.packing import BLOCK, WINDOW, Packer, pack, round_robin, served_before
+from folioquery.llm.packing import BLOCK, SLICE, WINDOW, Packer, pack, round_robin, served_before, slices
 from folioquery.llm.tokens import encoder
 
 from .cases import ODD, documents
@@ -98,3 +101,28 @@ def test_a_queue_of_a_block_is_laid_out_once_for_all_its_runs():
             assert [p[0] for p in pieces] == [0, *np.cumsum([p[1] for p in pieces])[:-1]]
             assert sum(p[1] for p in pieces) == length
     assert packer.column.cache_info().misses <= 3 * packer.blocks
+
+
+def test_worker_memory_follows_neither_batches_nor_tasks():
+    rows = pa.RecordBatch.from_arrays([pa.array(range(3 * SLICE + 7))], names=["doc_id"])
+    cut = list(slices(iter([rows, rows.slice(0, 0), rows.slice(5, 2)])))
+    assert [b.num_rows for b in cut] == [SLICE, SLICE, SLICE, 7, 2]
+    assert [v for b in cut for v in b.column(0).to_pylist()] == [*range(3 * SLICE + 7), 5, 6]
+    gc.disable()
+    try:
+        packer = Packer((3_000_000, 70_000))
+        assert sum(n for _, n, _, _ in packer.pieces(0, 100, 50_000)) == 50_000
+        gone = weakref.ref(packer)
+        del packer
+        assert gone() is None  # a task's tables go with the task
+    finally:
+        gc.enable()
+
+
+def test_long_runs_of_spaces_are_encoded():
+    encode = encoder()
+    for run in (" " * 2_000_000, "\n" * 1_000_000, " \t" * 600_000):
+        assert encode(run + "x") == encode(run[:-1]) + encode(run[-1] + "x")
+    text = "a  b" + " " * 12_000 + "c's _1 \n" * 3
+    ids = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(encode(text), "<u2").tolist() == ids
