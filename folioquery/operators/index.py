@@ -323,8 +323,10 @@ class CorpusIndex:
     n_tokens: int
     buckets: int = TERM_BUCKETS
     bounds: DataFrame | None = None
-    # Rows of ``asked_chunks`` with their block, if the index holds some terms alone.
+    # Rows of ``asked_chunks`` with their block, if the index holds some terms alone, and
+    # the bounds with all terms of a block in one row.
     asked: DataFrame | None = None
+    asked_bounds: DataFrame | None = None
 
     @property
     def spark(self) -> SparkSession:
@@ -404,13 +406,17 @@ def open_index(spark: SparkSession, path: str) -> CorpusIndex:
 TASK_MATCHES = 400_000
 
 
-def by_block(asked: DataFrame, matches: int, positions: bool = True) -> DataFrame:
-    """Postings of ``asked`` chunks, all of a block in one partition.
+def by_block(asked: DataFrame, matches: int, positions: bool = True, terms: list[str] | None = None) -> DataFrame:
+    """Postings of ``asked`` chunks, all of a block in one partition; of ``terms`` alone,
+    if they are given and few.
 
     Chunks travel as one row each, before their entries are unfolded; whatever is grouped
     by block and more afterwards needs no further shuffle. Partitions follow the number
-    of ``matches`` to come, so that a task's groups stay few on any corpus.
+    of ``matches`` to come, so that a task's groups stay few on any corpus. The bounds of
+    an index for known questions, a row a block, are dealt and unfolded alike.
     """
+    if terms is not None and len(terms) <= FEW_TERMS:
+        asked = asked.withColumn("entries", F.filter("entries", lambda e: e["term"].isin(terms)))
     rows = asked.filter(F.size("entries") > 0)
     if not positions and "positions" in rows.schema["entries"].dataType.elementType.names:
         rows = rows.withColumn("entries", F.transform("entries", lambda e: e.dropFields("positions")))
@@ -444,8 +450,10 @@ def write_index_for(
     postings = asked.select(*others, F.inline("entries")).withColumn("bucket", bucket)
     document_frequency(postings).write.parquet(f"{path}/terms")
     if bounds:
-        rows = by_block(asked, totals["n_postings"], positions=False).withColumn("bucket", bucket)
-        block_bounds(rows).write.parquet(f"{path}/bounds")
+        rows = block_bounds(by_block(asked, totals["n_postings"], positions=False).withColumn("bucket", bucket))
+        entries = F.collect_list(F.struct(*[c for c in rows.columns if c != "block"])).alias("entries")
+        rows.groupBy("block").agg(entries).write.parquet(f"{path}/bounds")
+    packed = spark.read.parquet(f"{path}/bounds") if bounds else None
     none = spark.createDataFrame([], "bucket int, gram string, surface string, n_grams int, n long")
     return CorpusIndex(
         chunks=as_chunks(chunks).withColumn("id_bucket", id_bucket(F.col("id"), buckets)),
@@ -456,8 +464,9 @@ def write_index_for(
         n_chunks=totals["n_chunks"],
         n_tokens=totals["n_tokens"],
         buckets=buckets,
-        bounds=spark.read.parquet(f"{path}/bounds") if bounds else None,
+        bounds=packed.select("block", F.inline("entries")) if bounds else None,
         asked=asked,
+        asked_bounds=packed,
     )
 
 

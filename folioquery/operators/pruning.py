@@ -7,7 +7,8 @@ first; the k-th hit among them is a threshold that the final k-th hit cannot fal
 and a block whose bound does not reach it holds no hit. The rest are scored exactly.
 
 Bounds of all blocks are rows of a narrow table, several postings to a row; they meet by
-(query, block), so neither a frequent term nor a long question crowds a task.
+(query, block), so neither a frequent term nor a long question crowds a task. In an index
+for known questions a block's bounds are one row, and meet the questions where they lie.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..rules import SearchParams
-from ..session import lookup, new_scratch_path
-from .index import BOUND_COUNTS, CorpusIndex
+from ..session import Small, lookup, new_scratch_path
+from .index import BOUND_COUNTS, CorpusIndex, by_block
 from .scoring import top_hits
 
 # Hits compare scores rounded to six digits, and sums differ in their last bits by order.
@@ -38,20 +39,28 @@ def largest_term_score(index: CorpusIndex, params: SearchParams) -> Column:
     return F.col("idf") * F.greatest(*each, many)
 
 
-def block_scores(index: CorpusIndex, terms: DataFrame, params: SearchParams) -> DataFrame:
+def _found_bounds(index: CorpusIndex, terms: DataFrame | Small, params: SearchParams) -> DataFrame:
+    """Bounds of the asked terms with the rows that ask, all of a question and block in one task."""
+    if index.asked_bounds is not None and isinstance(terms, Small):
+        matches = sum(row["df"] for row in terms.rows)  # at least as many as bounds
+        rows = by_block(index.asked_bounds, matches, terms=terms.values("term"))
+        return rows.drop("bucket").join(F.broadcast(terms.df.drop("bucket")), "term")
+    asked = terms.df if isinstance(terms, Small) else terms
+    return lookup(index.bounds, asked, ["bucket", "term"], params.broadcast_rows).repartition("query_id", "block")
+
+
+def block_scores(index: CorpusIndex, terms: DataFrame | Small, params: SearchParams) -> DataFrame:
     """``(query_id, block, bound)``: no chunk of the block scores above ``bound``.
 
     Mirrors the three levels of ranking: a phrase needs all its terms in the block, the
     best phrase stands for its concept, and under strict coverage a block without some
     concept is left out at once.
     """
-    found = lookup(index.bounds, terms, ["bucket", "term"], params.broadcast_rows)
-    found = found.withColumn("_s", largest_term_score(index, params))
+    found = _found_bounds(index, terms, params).withColumn("_s", largest_term_score(index, params))
     phrase = ["query_id", "block", "n_concepts", "wants_torque", "concept_id", "phrase_id", "phrase_len"]
     torque = F.max("has_torque").alias("has_torque")
     phrases = (
-        found.repartition("query_id", "block")
-        .groupBy(*phrase)
+        found.groupBy(*phrase)
         .agg(
             (F.max("weight") * F.sum("_s")).alias("s"), F.count("*").alias("_found"),
             F.sum(F.col("has_title").cast("int")).alias("_titles"), torque,
@@ -73,7 +82,7 @@ def block_scores(index: CorpusIndex, terms: DataFrame, params: SearchParams) ->
 
 
 def live_blocks(
-    index: CorpusIndex, terms: DataFrame, score: Callable[[DataFrame], DataFrame], params: SearchParams, top_k: int, per_doc: int | None,
+    index: CorpusIndex, terms: DataFrame | Small, score: Callable[[DataFrame], DataFrame], params: SearchParams, top_k: int, per_doc: int | None,
 ) -> DataFrame:
     """``(query_id, block)`` that can hold one of the ``top_k`` hits.
 

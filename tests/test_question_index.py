@@ -109,3 +109,22 @@ def test_pair_scores_are_the_scores_of_all_levels_in_fewer_rows(spark, chunks, f
         columns = ["query_id", "chunk_id", "doc", "covered", "n_concepts", F.round("score", 9)]
         want = sorted(map(tuple, scoring.chunk_scores(levels, params).select(*columns).collect()))
         assert want and want == sorted(map(tuple, scoring.pair_scores(matches, index, params).select(*columns).collect()))
+
+
+def test_block_bounds_meet_their_questions_without_being_shuffled(spark, chunks, full):
+    from folioquery.operators.pruning import block_scores
+    from folioquery.session import small_or_none
+
+    params = SearchParams(fuzzy=False, proximity_bonus=0.0, coverage="soft")
+    queries = spark.createDataFrame(QUESTIONS, "query_id long, query string")
+    own = S.index_for_questions(chunks, queries, None, params, bounds=True)
+
+    def scores(index):
+        terms = small_or_none(S.question_terms(index, queries, None, params), 100)
+        return block_scores(index, terms, params)
+
+    got = {(r.query_id, r.block): round(r.bound, 6) for r in scores(own).collect()}
+    assert got and got == {(r.query_id, r.block): round(r.bound, 6) for r in scores(full).collect()}
+    plan = scores(own)._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line]
+    assert len(dealt) == 1 and "hashpartitioning(block" in dealt[0], plan
