@@ -122,9 +122,9 @@ def nearest_surfaces(unknown: DataFrame, index: CorpusIndex, params: SearchParam
     A word of ``n`` trigrams must share at least ``ceil(threshold * n)`` of them
     with its correction, so one of its ``n - ceil(threshold * n) + 1`` rarest is
     among the shared: candidates meet on those only, and the commonest trigrams,
-    which half the vocabulary has, are never joined. Size and overlap bounds drop
-    pairs that cannot reach the threshold; the rest is compared in full. No
-    candidate at or above the threshold is lost.
+    which half the vocabulary has, are never joined. A pair that meets on several
+    is judged at the rarest trigram it shares, by all trigrams of both, so candidates
+    are neither gathered nor sorted. No candidate at or above the threshold is lost.
     """
     threshold = params.fuzzy_threshold
     slack = threshold - 1e-9
@@ -132,9 +132,10 @@ def nearest_surfaces(unknown: DataFrame, index: CorpusIndex, params: SearchParam
         unknown.withColumn("_grams", trigrams(F.col("surface"))),
         F.col("_grams"), "gram", "surface", F.size("_grams").alias("_asked"),
     ).withColumn("bucket", term_bucket(F.col("gram"), index.buckets))
+    whole = Window.partitionBy("surface")
     # Trigrams the index lacks count as the rarest of all: they use up probes.
     rarest = Window.partitionBy("surface").orderBy("_n", "gram")
-    present = F.count("*").over(Window.partitionBy("surface"))
+    present = F.count("*").over(whole)
     probes = (
         lookup(
             index.gram_counts.withColumnRenamed("n", "_n"), asked, ["bucket", "gram"],
@@ -142,29 +143,25 @@ def nearest_surfaces(unknown: DataFrame, index: CorpusIndex, params: SearchParam
         )
         .withColumn("_order", F.row_number().over(rarest))
         .withColumn("_probes", present - F.ceil(F.col("_asked") * slack) + 1)
+        .withColumn("_rarest", F.transform(
+            F.array_sort(F.collect_list(F.struct("_order", "gram")).over(whole)), lambda g: g["gram"]
+        ))
         .filter(F.col("_order") <= F.col("_probes"))
-        .drop("_n", "_order")
+        .drop("_n", "_order", "_probes")
     )
     possible_size = (F.col("n_grams") >= F.col("_asked") * slack) & (
         F.col("n_grams") * slack <= F.col("_asked")
     )
-    # The test on _seen stays inside the expression: as a filter on the group's key
-    # columns alone, the comparison would be pushed below the join.
-    most_shared = F.col("_seen") + F.ceil(F.col("_asked") * slack) - 1
     least_needed = (F.col("_asked") + F.col("n_grams")) * (slack / (1 + slack))
-    shared = F.when(
-        most_shared >= least_needed,
-        F.size(F.array_intersect(trigrams(F.col("surface")), trigrams(F.col("correction")))),
-    )
+    grams = index.grams.withColumnRenamed("surface", "correction")
+    own = F.col("all_grams") if "all_grams" in grams.columns else trigrams(F.col("correction"))
+    # In the order of the asked word's trigrams, rarest first.
+    common = F.array_intersect("_rarest", own)
     return (
-        lookup(
-            index.grams.withColumnRenamed("surface", "correction"), probes, ["bucket", "gram"],
-            params.broadcast_rows,
-        )
+        lookup(grams, probes, ["bucket", "gram"], params.broadcast_rows)
         .filter(possible_size)
-        .groupBy("surface", "correction", "_asked", "n_grams")
-        .agg(F.count("*").alias("_seen"))
-        .withColumn("shared", shared)
+        .filter((F.size(common) >= least_needed) & (F.get(common, F.lit(0)) == F.col("gram")))
+        .withColumn("shared", F.size(common))
         .withColumn("united", F.col("_asked") + F.col("n_grams") - F.col("shared"))
         .withColumn("_jaccard", F.round(F.col("shared") / F.col("united"), 6))
         .filter(F.col("_jaccard") >= threshold)

@@ -294,12 +294,14 @@ def surface_forms(chunks: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def trigram_index(surfaces: DataFrame, buckets: int = TERM_BUCKETS) -> DataFrame:
-    """``(gram, surface, n_grams)`` for every distinct surface form."""
+def trigram_index(surfaces: DataFrame, buckets: int = TERM_BUCKETS, whole: bool = False) -> DataFrame:
+    """``(gram, surface, n_grams)`` for every distinct surface form; with ``all_grams``, all
+    of the form's trigrams, if ``whole``."""
+    kept = [F.col("_grams").alias("all_grams")] if whole else []
     return (
         explode_once(
             surfaces.withColumn("_grams", trigrams(F.col("surface"))),
-            F.col("_grams"), "gram", "surface", F.size("_grams").alias("n_grams"),
+            F.col("_grams"), "gram", "surface", F.size("_grams").alias("n_grams"), *kept,
         )
         .withColumn("bucket", term_bucket(F.col("gram"), buckets))
     )
@@ -402,8 +404,9 @@ def open_index(spark: SparkSession, path: str) -> CorpusIndex:
     )
 
 
-# Matches that one task scores, about.
+# Matches that one task scores, about, and words whose trigrams it compares.
 TASK_MATCHES = 400_000
+TASK_WORDS = 100_000
 
 
 def by_block(asked: DataFrame, matches: int, positions: bool = True, terms: list[str] | None = None) -> DataFrame:
@@ -473,13 +476,15 @@ def write_index_for(
 def write_vocabulary(chunks: DataFrame, path: str, buckets: int = TERM_BUCKETS) -> CorpusIndex:
     """Words and trigrams of a corpus for typo repair, without postings or texts.
 
-    Distinct words are stored; trigrams are unfolded when they are looked up, all of a word
-    in one partition, so candidates are counted where they are found.
+    Distinct words are stored; trigrams are unfolded when they are looked up, each with all
+    of its word's, so that candidates are judged where they are found. Tasks follow the
+    number of words.
     """
     spark = chunks.sparkSession
     surface_forms(chunks).write.parquet(f"{path}/surfaces")
     surfaces = spark.read.parquet(f"{path}/surfaces")
-    grams = trigram_index(surfaces.repartition("surface"), buckets)
+    tasks = max(spark.sparkContext.defaultParallelism, surfaces.count() // TASK_WORDS)  # from file footers
+    grams = trigram_index(surfaces.repartition(tasks, "surface"), buckets, whole=True)
     terms = surfaces.select(stem(F.col("surface")).alias("term")).withColumn("bucket", term_bucket(F.col("term"), buckets))
     return CorpusIndex(
         chunks=as_chunks(chunks), postings=terms, terms=terms, grams=grams,

@@ -128,3 +128,26 @@ def test_block_bounds_meet_their_questions_without_being_shuffled(spark, chunks,
     plan = scores(own)._jdf.queryExecution().executedPlan().toString()
     dealt = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line]
     assert len(dealt) == 1 and "hashpartitioning(block" in dealt[0], plan
+
+
+def test_repairs_gather_no_candidates(spark, chunks, full, tmp_path):
+    from folioquery.functions.text import trigrams
+    from folioquery.operators.expansion import nearest_surfaces
+
+    params = SearchParams()
+    unknown = spark.createDataFrame([("gearboks",), ("clutchh",), ("leveel",), ("zzzz",), ("cabl",)], "surface string")
+    own = I.write_vocabulary(chunks, str(tmp_path / "words"), buckets=2)
+    near = nearest_surfaces(unknown, own, params)
+    got = sorted(map(tuple, near.collect()))
+    assert got == sorted(map(tuple, nearest_surfaces(unknown, full, params).collect()))
+    grams = {r.s: set(r.g) for r in I.surface_forms(chunks).unionByName(unknown).select(F.col("surface").alias("s"), trigrams(F.col("surface")).alias("g")).collect()}
+    known = [r.surface for r in I.surface_forms(chunks).collect()]
+    best = []
+    for (word,) in unknown.collect():
+        pairs = [(-round(len(grams[word] & grams[k]) / len(grams[word] | grams[k]), 6), k, len(grams[word] & grams[k]), len(grams[word] | grams[k])) for k in known]
+        if -min(pairs)[0] >= params.fuzzy_threshold:
+            best.append((word, *min(pairs)[1:]))
+    assert got == sorted(best) and len(got) >= 3
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    keys = [line for line in plan.split("\n") if "Aggregate(key=[" in line.replace("keys=", "key=")]
+    assert keys and not any("correction" in line.split("functions=")[0] for line in keys), plan
