@@ -59,3 +59,49 @@ def test_odd_vectors_and_empty_table(spark):
     assert all(got[i] == (0, i, True) for i in range(3, 10))
     assert {got[1][0], got[2][0], got[10][0]} == {2} and {got[i][1] for i in (1, 2, 10)} == {1}
     assert link_vectors(df.limit(0)).count() == 0
+
+
+def test_filters_stay_few_and_pairs_at_the_limit_share_one():
+    rng = np.random.default_rng(5)
+    x, z = rng.normal(size=(2, 400, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    y = 0.9 * x + 0.19**0.5 * z / np.linalg.norm(z, axis=1, keepdims=True)
+    for n, most in ((500, 6), (600_000, 6), (3_000_000, 9), (10_000_000, 11)):
+        k = vector_links.filter_count(n)
+        assert k <= most and n * k / 2**k <= vector_links.CELL
+        decoder = vector_links.Decoder(k)
+        mine, its = ([set(decoder.filters(v).tolist()) for v in vectors] for vectors in (x, y))
+        assert {len(found) for found in mine + its} == {k}
+        assert np.mean([bool(a & b) for a, b in zip(mine, its, strict=True)]) >= 0.99
+
+
+def test_vectors_travel_a_few_times_each(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(400, 24))
+    x = np.vstack([x, x[:200] + 0.02 * rng.normal(size=(200, 24))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    sent, compare = [], vector_links._compare
+
+    def counted(groups, size):
+        sent.append(groups.count())
+        return compare(groups, size)
+
+    monkeypatch.setattr(vector_links, "_compare", counted)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in link_vectors(df).collect()}
+    assert sent[0] <= 8 * len(x)
+    near, root = brute(np.arange(len(x)), x / np.linalg.norm(x, axis=1, keepdims=True))
+    assert got == {i: (int(row.sum()), int(r)) for i, (row, r) in enumerate(zip(near, root, strict=True))}
+
+
+def test_short_and_uneven_vectors_near_each_other_link(spark):
+    rng = np.random.default_rng(2)
+    flat = [[float(np.cos(a)), float(np.sin(a))] for a in rng.uniform(0, 2 * np.pi, 150)]
+    spiky = [[0.0] * 60 + rng.normal(size=4).tolist() for _ in range(150)]
+    df = spark.createDataFrame(list(enumerate(flat + spiky)), "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in link_vectors(df).collect()}
+    for at, vectors in ((0, flat), (150, spiky)):
+        x = np.array(vectors)
+        near, _ = brute(np.arange(len(x)), x / np.linalg.norm(x, axis=1, keepdims=True))
+        links = np.array([got[at + i] for i in range(len(x))])
+        assert (links <= near.sum(axis=1)).all() and links.sum() >= 0.98 * near.sum()
