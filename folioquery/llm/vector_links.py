@@ -36,9 +36,9 @@ from .tables import stored
 
 LEAST = 0.9
 BLOCKS = 4  # code blocks
-FILTERS, CELL = 6, 60_000  # least number of filters of a vector; vectors wanted in a bucket at most
+FILTERS, CELL = 6, 80_000  # least number of filters of a vector; vectors wanted in a bucket at most
 THIN = 81  # directions of the product code for each that counts, at least
-GROUP, USUAL_DIM = 120_000, 64  # vectors of the usual length in a block of a bucket, about
+GROUP, USUAL_DIM = 160_000, 64  # vectors of the usual length in a block of a bucket, about
 TILE, PAIRS = 768, 1_000_000  # vectors of a side compared at once; near pairs held at once, about
 
 
@@ -185,12 +185,10 @@ def linked(ids: np.ndarray, units: np.ndarray, filters: Callable[[np.ndarray], n
         for row in np.flatnonzero(asked & ~known):
             mine[row] = filters(units[row])
         known |= asked
-        counted = np.zeros(len(i), bool)  # in a smaller filter
-        for x in (mine[i, a] for a in range(k)):
-            if (lower := x < here).any():
-                for b in range(k):
-                    counted |= lower & (x == mine[j, b])
-        i, j = i[~counted], j[~counted]
+        for a in range(k):  # those with a smaller common filter count there
+            x = mine[i, a]
+            counted = (x < here) & (x[:, None] == mine[j]).any(axis=1)
+            i, j = i[~counted], j[~counted]
         links += np.bincount(i, minlength=n) + np.bincount(j, minlength=n)
         root = joined(root, i, j)
     return links, root
