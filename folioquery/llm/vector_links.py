@@ -185,10 +185,16 @@ def linked(ids: np.ndarray, units: np.ndarray, filters: Callable[[np.ndarray], n
         for row in np.flatnonzero(asked & ~known):
             mine[row] = filters(units[row])
         known |= asked
-        for a in range(k):  # those with a smaller common filter count there
-            x = mine[i, a]
-            counted = (x < here) & (x[:, None] == mine[j]).any(axis=1)
-            i, j = i[~counted], j[~counted]
+        for a in range(k):  # pairs with a smaller common filter count there; filters are sorted
+            low = np.flatnonzero(mine[i, a] < here)
+            if not len(low):
+                break
+            x, y, counted = mine[i[low], a], mine[j[low]], np.zeros(len(low), bool)
+            for b in range(k):
+                counted |= x == y[:, b]
+            keep = np.ones(len(i), bool)
+            keep[low[counted]] = False
+            i, j = i[keep], j[keep]
         links += np.bincount(i, minlength=n) + np.bincount(j, minlength=n)
         root = joined(root, i, j)
     return links, root
